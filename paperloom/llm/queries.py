@@ -17,6 +17,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), words=2, threshold=80)
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archive_round_trip
 
@@ -35,6 +41,6 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_packing, op6_warc, op7_token_files, op9_url_filter)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_packing, op5_near_dup, op6_warc, op7_token_files, op9_url_filter)}
 
 ORACLE: dict[str, str] = {}
