@@ -41,6 +41,12 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_packing, op5_near_dup, op6_warc, op7_token_files, op9_url_filter)}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_scores
+
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_packing, op5_near_dup, op6_warc, op7_token_files, op9_url_filter, op10_quality)}
 
 ORACLE: dict[str, str] = {}
