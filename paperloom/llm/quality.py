@@ -1,6 +1,7 @@
 """Quality scores by voting of the nearest labelled documents in a latent semantic space.
 
-Texts become counts of hashed byte trigrams, dampened, weighted by rarity and scaled to length one;
+Texts become counts of hashed byte trigrams, dampened, weighted by rarity and scaled to length one,
+beside a few shares that tell how they are written (repeated words, marks, capitals, line ends);
 the leading singular vectors of a bounded sample of labelled documents span the latent space. Each
 task holds the sample's latent vectors (a broadcast of fixed size) and takes exact cosine products
 with blocks of documents; the labels of the nearest ones vote, weighted by similarity.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -30,16 +32,32 @@ DIMENSIONS = 48
 NEIGHBOURS = 15
 MAX_LABELLED = 3000
 BLOCK = 128
+#: Shares beside the trigrams: six kinds of bytes, words like the one before, distinct words, words a byte; and the length.
+SHARES = 10
+#: How much the shares weigh against the trigrams.
+SHARE_WEIGHT = 0.15
+_KIND = np.zeros(256, np.int64)  # letters, capitals, digits, spaces, other marks, bytes of other letters
+for _chars, _kind in ((range(0x41, 0x5B), 1), (range(0x30, 0x3A), 2), (b" \t\n\r", 3), (range(0x80, 0x100), 5)):
+    _KIND[[*_chars]] = _kind
+_KIND[[c for c in range(0x21, 0x7F) if not chr(c).isalnum()]] = 4
 #: Similarities are raised to this power before they weight a vote.
 SHARPNESS = 8
 
 
 def counts_of(text: str | None) -> np.ndarray:
-    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint32)
+    """Counts of the hashed trigrams, then ``SHARES`` shares of the text in thousandths."""
+    data = (text or "").encode("utf-8", "surrogatepass")
+    raw = np.frombuffer(data, np.uint8).astype(np.uint32)
+    out = np.zeros(FEATURES + SHARES, np.int64)
     if len(raw) < 3:
-        return np.zeros(FEATURES, np.int64)
+        return out
     code = (raw[:-2] << np.uint32(16)) | (raw[1:-1] << np.uint32(8)) | raw[2:]
-    return np.bincount((code * np.uint32(2654435761)) >> np.uint32(20), minlength=FEATURES)
+    out[:FEATURES] = np.bincount((code * np.uint32(2654435761)) >> np.uint32(20), minlength=FEATURES)
+    kinds = np.bincount(_KIND[raw], minlength=6)
+    words = data.split()
+    n = max(1, len(words))
+    out[FEATURES:] = [*(1000 * kinds // len(raw)), 1000 * sum(map(eq, words, words[1:])) // n, 1000 * len(set(words)) // n, 1000 * n // len(raw), int(100 * np.log1p(n))]
+    return out
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
@@ -52,24 +70,36 @@ class LatentNeighbours:
     """The fitted model."""
 
     rarity: np.ndarray
+    centre: np.ndarray
+    spread: np.ndarray
     axes: np.ndarray
     vectors: np.ndarray
     labels: np.ndarray
 
     @classmethod
     def fit(cls, counts: np.ndarray, labels: np.ndarray, seed: int = 7) -> LatentNeighbours:
-        rarity = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 1
-        x = unit_rows(np.log1p(counts).astype(np.float32) * rarity)
+        terms, shares = counts[:, :FEATURES], counts[:, FEATURES:]
+        rarity = np.log((1 + len(terms)) / (1 + (terms > 0).sum(axis=0))).astype(np.float32) + 1
+        centre, spread = shares.mean(axis=0), shares.std(axis=0) + 1
+        model = cls(rarity, centre, spread, np.zeros((0, 0)), np.zeros((0, 0)), labels.astype(np.float32))
+        x = model.weighted(counts)
         # randomized singular vectors with power iterations
         q = np.random.default_rng(seed).standard_normal((x.shape[1], DIMENSIONS + 16), np.float32)
         for _ in range(4):
             q, _ = np.linalg.qr(x.T @ (x @ q))
         _, _, turn = np.linalg.svd(x @ q, full_matrices=False)
-        axes = (q @ turn.T)[:, :DIMENSIONS].astype(np.float32)
-        return cls(rarity, axes, unit_rows(x @ axes), labels.astype(np.float32))
+        model.axes = (q @ turn.T)[:, :DIMENSIONS].astype(np.float32)
+        model.vectors = unit_rows(x @ model.axes)
+        return model
+
+    def weighted(self, counts: np.ndarray) -> np.ndarray:
+        terms = unit_rows(np.log1p(counts[:, :FEATURES], dtype=np.float32) * self.rarity)
+        shares = np.clip((counts[:, FEATURES:] - self.centre) / self.spread, -4, 4) * SHARE_WEIGHT
+        shares[~terms.any(axis=1)] = 0
+        return np.hstack([terms, shares.astype(np.float32)])
 
     def latent(self, counts: np.ndarray) -> np.ndarray:
-        return unit_rows((np.log1p(counts).astype(np.float32) * self.rarity) @ self.axes)
+        return unit_rows(self.weighted(counts) @ self.axes)
 
     def score(self, counts: np.ndarray) -> np.ndarray:
         if not len(self.labels):
@@ -108,12 +138,12 @@ def fit_classifier(documents: DataFrame, labels: DataFrame, max_labelled: int =
 
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "quality").mapInArrow(count, "doc_id long, quality int, at array<int>, n array<int>").orderBy("doc_id").limit(max_labelled).collect()
-    counts = np.zeros((len(found), FEATURES), np.float32)
+    counts = np.zeros((len(found), FEATURES + SHARES), np.float32)
     for row, one in zip(counts, found, strict=True):
         row[one["at"]] = one["n"]
     quality = np.array([one["quality"] for one in found], np.float32)
     if not len(found):
-        return LatentNeighbours(np.ones(FEATURES, np.float32), np.zeros((FEATURES, DIMENSIONS), np.float32), np.zeros((0, DIMENSIONS), np.float32), quality)
+        return LatentNeighbours(np.ones(FEATURES, np.float32), np.zeros(SHARES), np.ones(SHARES), np.zeros((FEATURES + SHARES, DIMENSIONS), np.float32), np.zeros((0, DIMENSIONS), np.float32), quality)
     return LatentNeighbours.fit(counts, quality)
 
 
