@@ -11,6 +11,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import repeated_words
+
+    return repeated_words(_table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination
 
@@ -59,6 +65,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_decontaminate, op3_pii, op4_packing, op5_near_dup, op6_warc, op7_token_files, op9_url_filter, op10_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_decontaminate, op3_pii, op4_packing, op5_near_dup, op6_warc, op7_token_files, op9_url_filter, op10_quality)}
 
 ORACLE: dict[str, str] = {}
