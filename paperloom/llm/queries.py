@@ -53,6 +53,12 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_round_trip(_table(spark, sf_dir, "documents"))
 
 
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import integer_vectors, top_inner_products
+
+    return top_inner_products(integer_vectors(_table(spark, sf_dir, "embeddings")), "vec_id % 20 = 0")
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filter import judge_urls
 
@@ -65,6 +71,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_decontaminate, op3_pii, op4_packing, op5_near_dup, op6_warc, op7_token_files, op9_url_filter, op10_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_decontaminate, op3_pii, op4_packing, op5_near_dup, op6_warc, op7_token_files, op8_topk, op9_url_filter, op10_quality)}
 
 ORACLE: dict[str, str] = {}
