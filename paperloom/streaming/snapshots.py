@@ -1,0 +1,49 @@
+"""Versioned tables for micro-batches: a batch writes its own version, then moves the pointer.
+
+A repeated batch replaces its version only; a version being read is never written.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+
+class Snapshots:
+    """The tables of one folder."""
+
+    def __init__(self, spark: SparkSession, root: str, schemas: dict[str, T.StructType]):
+        self.spark, self.root, self.schemas = spark, root.rstrip("/"), schemas
+        jvm = spark.sparkContext._jvm
+        self._path = jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def version(self, before: int | None = None) -> int | None:
+        """The newest complete version (older than ``before``)."""
+        folder = self._path(f"{self.root}/complete")
+        if not self._fs.exists(folder):
+            return None
+        found = [int(f.getPath().getName()) for f in self._fs.listStatus(folder)]
+        return max((v for v in found if before is None or v < before), default=None)
+
+    def read(self, table: str, before: int | None = None) -> DataFrame:
+        version = self.version(before)
+        if version is None:
+            return self.spark.createDataFrame([], self.schemas[table])
+        return self.spark.read.schema(self.schemas[table]).parquet(f"{self.root}/v={version}/{table}")
+
+    def write(self, version: int, tables: dict[str, DataFrame]) -> None:
+        for name, df in tables.items():
+            df.select(*self.schemas[name].names).write.mode("overwrite").parquet(f"{self.root}/v={version}/{name}")
+        self._fs.mkdirs(self._path(f"{self.root}/complete/{version}"))
+
+    def apply(self, step: Callable[[dict[str, DataFrame], DataFrame], dict[str, DataFrame]]) -> Callable[[DataFrame, int], None]:
+        """A ``foreachBatch`` function: the state before the batch and the batch to the state after it."""
+
+        def run(batch: DataFrame, batch_id: int) -> None:
+            state = {name: self.read(name, before=batch_id) for name in self.schemas}
+            self.write(batch_id, state | step(state, batch))
+
+        return run
