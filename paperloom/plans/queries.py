@@ -258,13 +258,13 @@ def unwind_gate(spark, d):
     return edges.select(part(F.when(wrote, F.col("dst")).otherwise(F.col("src")), 2).cast("long").alias("event_id"), part(F.when(wrote, F.col("src")).otherwise(F.col("dst")), 2).alias("name"), "type")
 
 
-@query(f"""with t as (select event_id, {_LISTS.format('event_id')} as i, {_LISTS.format('user_id')} as t, {_LISTS.format('(event_id + user_id)')} as s from events)
+@query(f"""with t as (select event_id, {_LISTS.format('event_id')} as i, {_LISTS.format('user_id')} as t, {_LISTS.format('(event_id // 3)')} as s from events)
 select event_id, unnest(i) as name, 'AFFILIATED_WITH' as type from t union
 select event_id, unnest(t), 'USES_TECH' from t where coalesce(len(i), 0) > 0 union
 select event_id, unnest(s), 'TESTED_ON' from t where coalesce(len(i), 0) > 0 and coalesce(len(t), 0) > 0""")
 def unwind_gate_findings(spark, d):
     """The chain of three lists."""
-    rows = table(spark, d, "events").withColumn("both", F.col("event_id") + F.col("user_id"))
+    rows = table(spark, d, "events").withColumn("both", F.floor(F.col("event_id") / 3))
     found = rows.select(F.col("event_id").cast("string").alias("id"), _lists("event_id").alias("institutions"), _lists("user_id").alias("tech_tools"), _lists("both").alias("datasets"))
     nodes = rows.select(graph.paper_node(F.col("event_id").cast("string"), F.lit("t")).alias("element_id"), F.lit("Paper").alias("label"), F.create_map(F.lit("id"), F.col("event_id").cast("string")).alias("props"))
     _, edges = graph.finding_graph(found, nodes)
