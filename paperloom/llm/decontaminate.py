@@ -142,5 +142,5 @@ def contamination(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW
 def uncontaminated(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: int = 20) -> DataFrame:
     """The rows of ``documents``, all columns, that aren't contaminated."""
     bad = contamination(documents, benchmark, size, share).where("contaminated").select("doc_id", "text_hash").distinct()
-    hashed = documents.withColumn("_text_hash", F.coalesce(F.xxhash64(F.col("text").cast("string")), F.lit(0)))
-    return hashed.join(bad, F.col("_text_hash").eqNullSafe(bad["text_hash"]) & hashed["doc_id"].cast("long").eqNullSafe(bad["doc_id"]), "left_anti").select(*documents.columns)
+    hashed = documents.withColumn("_paperloom_hash", F.coalesce(F.xxhash64(F.col("text").cast("string")), F.lit(0)))
+    return hashed.join(bad, F.col("_paperloom_hash").eqNullSafe(bad["text_hash"]) & hashed["doc_id"].cast("long").eqNullSafe(bad["doc_id"]), "left_anti").select(*documents.columns)

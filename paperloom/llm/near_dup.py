@@ -7,9 +7,10 @@ round. Rounds run over all elements of a document at once.
 * Equal shingle sets are one class from the start (a digest groups them with map-side combining).
 * ``BANDS`` bands of ``ROWS`` ranks propose pairs: one at the threshold of 0.8 is missed with a
   probability of (1 - 0.8**4)**24, about 3 in a million; nothing is capped.
-* In each bucket, members are first held against the bucket's least id. Components follow. Then
-  members of the same bucket but of different components are held against each other, so a group of
-  near copies costs about as many checks as it has members, and no link between components is lost.
+* In each bucket, members are first held against its most central member. Components follow. Then
+  members of the same bucket but of different components are held against each other, unless codes
+  that only one of them holds rule a link out. So a group of near copies costs about as many checks
+  as it has members, and no link between components is lost.
 * Every check intersects full sets, of 64-bit shingle codes. One-bit sketches of the signatures drop
   pairs that differ in more than ``SKETCH_BITS`` of 96 bits first (at 0.8, one in a million does).
 
@@ -108,36 +109,80 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(sign, _SIGNED)
 
 
-def _plausible(threshold: int) -> str:
-    """Of pairs (n, s1, s2) and (m, t1, t2): sizes that allow the threshold, in percent, and close sketches."""
-    return f"100 * least(n, m) >= {threshold} * greatest(n, m) and bit_count(s1 ^ t1) + bit_count(s2 ^ t2) <= {SKETCH_BITS}"
+#: Of pairs (n, s1, s2) and (m, t1, t2): close sketches.
+_CLOSE = f"bit_count(s1 ^ t1) + bit_count(s2 ^ t2) <= {SKETCH_BITS}"
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, words: int, threshold: int) -> DataFrame:
-    """Of pairs (a, b) those whose full sets reach the threshold. Texts of other documents are left behind."""
+def _reachable(shared: str, n: str, m: str, threshold: int) -> str:
+    """Whether sets of n and m that share at most so many can reach the threshold (percent)."""
+    return f"100 * {shared} >= {threshold} * ({n} + {m} - {shared})"
+
+
+def _sets(docs: DataFrame, asked: DataFrame, words: int) -> DataFrame:
+    """(a, codes): full sets of the asked documents (a). Texts of all others are left behind."""
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, words).tobytes() for t in strings(batch.column(1))], pa.binary())], names=["doc_id", "codes"])
+            for at in range(0, len(batch), 512):
+                some = batch.slice(at, 512)
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([shingle_set(t, words).astype(np.int64) for t in strings(some.column(1))], pa.list_(pa.int64()))], names=["a", "codes"])
+
+    return docs.select(F.col("doc_id").alias("a"), "text").join(asked, "a", "left_semi").mapInArrow(sets, "a long, codes array<long>")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Of pairs (a, b) those whose full sets reach the threshold."""
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for at in range(0, len(batch), 256):
-                some = batch.slice(at, 256)
-                for x, y in zip(some.column(2).to_pylist(), some.column(3).to_pylist(), strict=True):
-                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(100 * both >= threshold * (len(x) + len(y) - both))
+            for k in range(len(batch)):
+                x, y = (batch.column(c)[k].values.to_numpy() for c in (2, 3))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(100 * both >= threshold * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
-    asked = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    full = materialize(docs.join(asked, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, codes binary"), "sets")
-    x = full.select(F.col("doc_id").alias("a"), F.col("codes").alias("x"))
-    y = full.select(F.col("doc_id").alias("b"), F.col("codes").alias("y"))
+    x = sets.select("a", F.col("codes").alias("x"))
+    y = sets.select(F.col("a").alias("b"), F.col("codes").alias("y"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct()
 
 
+def _central(rows: DataFrame) -> DataFrame:
+    """(key, b): of each bucket the class that meets most classes over all its buckets.
+
+    In a group of near copies this is one close to the text they were copied from: the others are
+    linked with it more likely than with each other.
+    """
+    met = rows.groupBy("a").agg(F.sum("members").alias("met"))
+    return rows.join(met, "a").groupBy("key").agg(F.max_by("a", F.struct("met", -F.col("a"))).alias("b"))
+
+
+def _between(rows: DataFrame, sets: DataFrame, facts: DataFrame, found: DataFrame, threshold: int) -> DataFrame:
+    """Pairs of one bucket but of different components that may still reach the threshold.
+
+    Codes that only one of these classes holds are in no other's set. What a class holds beyond them
+    bounds all its intersections, which settles most strays of a large group one by one; only what
+    is left is paired, inside the join's condition, with all but the bucket's largest component.
+    """
+    placed = rows.select("key", "a").join(found.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
+    several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    placed = materialize(placed.join(several, "key"), "placed")
+    codes = sets.join(placed.select("a").distinct(), "a", "left_semi").select("a", F.explode("codes").alias("code"))
+    single = codes.groupBy("code").agg(F.count("*").alias("holders"), F.min("a").alias("a")).where("holders = 1").groupBy("a").agg(F.count("*").alias("own"))
+    weighed = placed.join(facts, "a").join(single, "a", "left").withColumn("common", F.col("n") - F.coalesce("own", F.lit(0).cast("long"))).drop("own")
+    weighed = materialize(weighed, "weighed")
+    least = weighed.groupBy("key").agg(F.min("n").alias("least"))
+    able = weighed.join(least, "key").where(_reachable("common", "n", "greatest(least, common)", threshold)).drop("least")
+    sizes = able.groupBy("key", "component").agg(F.count("*").alias("size"))
+    largest = sizes.groupBy("key").agg(F.count("*").alias("groups"), F.max_by("component", F.struct("size", -F.col("component"))).alias("largest")).where("groups > 1")
+    able = materialize(able.join(largest.select("key", "largest"), "key"), "able")
+    x = able.where("component <> largest").drop("largest")
+    y = able.select("key", F.col("a").alias("b"), F.col("component").alias("second"), F.col("n").alias("m"), F.col("common").alias("least_common"), F.col("s1").alias("t1"), F.col("s2").alias("t2"), "largest")
+    shared = "least(common, least_common)"
+    apart = F.expr(f"component <> second and (second = largest or a < b) and {_reachable(shared, 'n', 'm', threshold)} and {_CLOSE}")
+    return x.join(y, (x["key"] == y["key"]) & apart).select("a", "b").distinct()
+
+
 def near_duplicates(documents: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of ``documents`` (doc_id, text).
 
@@ -153,34 +198,20 @@ def near_duplicates(documents: DataFrame, words: int = 5, threshold: int = 80) -
     facts = classes.select("a", "n", "s1", "s2")
     other = classes.select(F.col("a").alias("b"), F.col("n").alias("m"), F.col("s1").alias("t1"), F.col("s2").alias("t2"))
     rows = classes.select("a", F.explode("bands").alias("key"))
-    buckets = rows.groupBy("key").agg(F.count("*").alias("members"), F.min("a").alias("b")).where("members > 1").select("key", "b")
-    rows = materialize(rows.join(buckets, "key"), "buckets")  # of buckets that hold more than one class
+    shared_keys = rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    rows = materialize(rows.join(shared_keys, "key"), "buckets")  # of buckets that hold more than one class
+    sets = materialize(_sets(docs, rows.select("a").distinct(), words), "sets")
 
-    star = rows.where("a <> b").select("a", "b").distinct().join(facts, "a").join(other, "b").where(_plausible(threshold)).select("a", "b")
-    links = materialize(_verified(materialize(star, "pairs"), docs, words, threshold), "links")
+    star = rows.join(_central(rows), "key").where("a <> b").select("a", "b").distinct().join(facts, "a").join(other, "b")
+    star = materialize(star.where(f"{_reachable('least(n, m)', 'n', 'm', threshold)} and {_CLOSE}").select("a", "b"), "pairs")
+    links = materialize(_verified(star, sets, threshold), "links")
     found = materialize(components(links), "components")
 
-    placed = rows.select("key", "a").join(found.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
-    groups = placed.select("key", "component").distinct()
-    several = groups.groupBy("key").agg(F.count("*").alias("groups")).where("groups > 1").select("key")
-    placed = materialize(placed.join(several, "key").distinct(), "placed")
-    groups = placed.select("key", "component").distinct()
-    meets = groups.join(groups.select("key", F.col("component").alias("second")), "key").where("component < second").select("key", "component", "second")
-    cross = (
-        meets.join(placed, ["key", "component"])
-        .join(placed.select("key", F.col("component").alias("second"), F.col("a").alias("b")), ["key", "second"])
-        .select("a", "b")
-        .distinct()
-        .join(facts, "a")
-        .join(other, "b")
-        .where(_plausible(threshold))
-        .select("a", "b")
-    )
     # both ways round the star's pairs, which have been judged
     judged = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = materialize(cross.join(judged, ["a", "b"], "left_anti"), "pairs")
+    more = materialize(_between(rows, sets, facts, found, threshold).join(judged, ["a", "b"], "left_anti"), "pairs")
     if not more.isEmpty():
-        links = links.unionByName(_verified(more, docs, words, threshold))
+        links = links.unionByName(_verified(more, sets, threshold))
         found = materialize(components(links), "components")
 
     named = classes.select("digest", "a").join(found.withColumnRenamed("node", "a"), "a", "left").select("digest", F.coalesce("component", "a").alias("named"))

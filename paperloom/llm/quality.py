@@ -147,8 +147,8 @@ def fit_classifier(documents: DataFrame, labels: DataFrame, max_labelled: int =
     return LatentNeighbours.fit(counts, quality)
 
 
-def score_documents(documents: DataFrame, model: LatentNeighbours, columns: list[str] | None = None) -> DataFrame:
-    """``columns`` of ``documents`` (doc_id by default) and ``score``; one scan, no shuffle."""
+def score_documents(documents: DataFrame, model: LatentNeighbours, columns: list[str] | None = None, score_name: str = "score") -> DataFrame:
+    """``columns`` of ``documents`` (doc_id by default) and their score; one scan, no shuffle."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
     kept = columns or ["doc_id"]
 
@@ -161,8 +161,8 @@ def score_documents(documents: DataFrame, model: LatentNeighbours, columns: list
                 yield pa.RecordBatch.from_arrays([*(c.slice(at, BLOCK) for c in batch.columns[:-1]), pa.array(fitted.score(block), pa.float64())], names=names)
 
     picked = documents.select(*kept, F.col("text").cast("string").alias("scored_text"))
-    names = [*kept, "score"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1]) + ", score double"
+    names = [*kept, score_name]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1]) + f", `{score_name}` double"
     return picked.mapInArrow(score, schema)
 
 
@@ -175,5 +175,5 @@ def quality_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 def good_documents(documents: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of ``documents``, all columns, that score at least ``least``."""
-    scored = score_documents(documents, fit_classifier(documents, labels), documents.columns)
-    return scored.where(F.col("score") >= least).select(*documents.columns)
+    scored = score_documents(documents, fit_classifier(documents, labels), documents.columns, "_paperloom_score")
+    return scored.where(F.col("_paperloom_score") >= least).select(*documents.columns)

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracle
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -73,4 +75,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_decontaminate, op3_pii, op4_packing, op5_near_dup, op6_warc, op7_token_files, op8_topk, op9_url_filter, op10_quality)}
 
-ORACLE: dict[str, str] = {}
+#: SQL can't express the tokenizers' ids (4, 7), the field (3) and the classifier (10).
+ORACLE: dict[str, str] = {
+    "op1_substring_dedup": oracle.OP1,
+    "op2_decontaminate": oracle.OP2,
+    "op5_near_dup": oracle.OP5,
+    "op6_warc": oracle.OP6,
+    "op8_topk": oracle.OP8,
+    "op9_url_filter": oracle.OP9,
+}
