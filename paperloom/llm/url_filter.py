@@ -46,7 +46,7 @@ class Rule:
 
 
 #: The named rules.
-NAMED = (Rule("com", "/en/", "block"), Rule("example.com", "/en/7", "allow"), Rule("net", "/de/", "block"), Rule("example.net", "/de/8", "block"), Rule("org", "/es/", "block"))
+NAMED = (Rule("com", "/en/", "block"), Rule("example.com", "/en/7", "allow"), Rule("net", "/de/", "allow"), Rule("example.net", "/de/8", "block"), Rule("org", "/es/", "block"))
 #: The method's own globs judge what no named rule fits.
 GLOBS = tuple(Rule(f"*.{h}*", "*", "block", exact=False) for h in ("casino-*", "*-casino", "free-bets", "*-bets", "cheap-pills", "*-pills", "adult-*", "xxx*")) + (Rule("*", "*/wp-login*", "block", exact=False),)
 
