@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import SparkSession
 
+_PACKAGE = os.path.dirname(os.path.abspath(__file__))
+
 
 def session(name: str = "paperloom", master: str | None = None, **conf: str) -> SparkSession:
     """A session in UTC with ANSI SQL and adaptive plans; sizes are left to the cluster."""
@@ -12,3 +18,21 @@ def session(name: str = "paperloom", master: str | None = None, **conf: str) ->
         builder = builder.master(master)
     fixed = {"spark.sql.session.timeZone": "UTC", "spark.sql.ansi.enabled": "true", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true"}
     return builder.config(map=fixed | conf).getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors once a session, unless their Python path holds it already."""
+    root = os.path.dirname(_PACKAGE)
+    sc = spark.sparkContext
+    on_path = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if root in map(os.path.abspath, filter(None, on_path)) or getattr(sc, "_paperloom_shipped", False):
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="paperloom-"), "paperloom.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(_PACKAGE):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, root))
+    sc.addPyFile(archive)
+    sc._paperloom_shipped = True
