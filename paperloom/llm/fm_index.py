@@ -48,8 +48,8 @@ class FMIndex:
     """Over pieces of symbols, for patterns of up to ``reach`` symbols.
 
     Suffixes are ordered by their first ``reach`` symbols, by doubling; that is all that patterns of
-    this length can tell apart. ``values`` gives each piece a number; the least over any interval of
-    suffixes is read from a table of powers of two.
+    this length can tell apart. ``values`` gives each piece a number; the least over intervals of
+    suffixes is found for all intervals together, by lengths that double, one length in memory at a time.
     """
 
     def __init__(self, pieces: np.ndarray, lengths: np.ndarray, values: np.ndarray, reach: int):
@@ -86,11 +86,7 @@ class FMIndex:
         self.base = np.zeros(sigma, np.int64)
         change = np.flatnonzero(np.concatenate([[True], shape[1:] != shape[:-1]]))
         self.base[shape[change]] = change
-        least = np.repeat(values, lengths + 1)[order]
-        self.least = [least]
-        while len(self.least[-1]) > 1 << (len(self.least) - 1):
-            half = 1 << (len(self.least) - 1)
-            self.least.append(np.minimum(self.least[-1][:-half], self.least[-1][half:]))
+        self.values = np.repeat(values, lengths + 1)[order]
 
     def step(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Intervals of the suffixes that start with the symbol and go on as those of [low, high)."""
@@ -98,33 +94,38 @@ class FMIndex:
         both = self.tree.rank(np.concatenate([symbol, symbol]), np.concatenate([low, high]), np.concatenate([base, base]))
         return start + both[: len(symbol)], start + both[len(symbol) :]
 
-    def least_value(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    def least_values(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """The least piece value over each interval, none of them empty."""
-        power = np.frexp((high - low).astype(np.float64))[1] - 1
-        out = np.empty(len(low), self.least[0].dtype)
-        for k in np.unique(power):
-            at = power == k
-            out[at] = np.minimum(self.least[k][low[at]], self.least[k][high[at] - (1 << k)])
+        power = (np.frexp((high - low).astype(np.float32))[1] - 1).astype(np.int8)
+        # a rounded length may reach the next power of two
+        power -= (np.int64(1) << power.astype(np.int64)) > high - low
+        out = np.empty(len(low), self.values.dtype)
+        least = self.values
+        for k in range(int(power.max(initial=-1)) + 1):
+            if k:
+                half = 1 << (k - 1)
+                least = np.minimum(least[:-half], least[half:])
+            at = np.flatnonzero(power == k)
+            out[at] = np.minimum(least[low[at]], least[high[at] - (1 << k)])
         return out
 
     def matches(self, starts: np.ndarray, length: int, block: int = 1 << 17) -> np.ndarray:
         """Matching of the indexed text's own windows: for each start the least value of a piece that holds
         the ``length`` symbols there. A window whose interval has narrowed to itself is done."""
-        out = np.empty(len(starts), self.least[0].dtype)
+        from_, to = np.empty(len(starts), np.int32), np.empty(len(starts), np.int32)
         for at in range(0, len(starts), block):
             some = starts[at : at + block]
             symbol = self.text[some + length - 1]
-            low, high = self.first[symbol], self.first[symbol + 1]
+            lows, highs = self.first[symbol], self.first[symbol + 1]
             live = np.arange(len(some))
-            lows, highs = low.copy(), high.copy()
             for back in range(length - 2, -1, -1):
                 live = live[highs[live] - lows[live] > 1]
                 if not len(live):
                     break
                 lows[live], highs[live] = self.step(self.text[some[live] + back], lows[live], highs[live])
-            # an interval that stopped early still holds one suffix only, of its own piece
-            out[at : at + block] = self.least_value(lows, highs)
-        return out
+            from_[at : at + block], to[at : at + block] = lows, highs
+        # an interval that stopped early still holds one suffix only, of its own piece
+        return self.least_values(from_, to)
 
     def matching_statistics(self, query: np.ndarray, reach: int) -> np.ndarray:
         """For each end in ``query`` (raw symbols) the longest match that ends there, up to ``reach``."""
