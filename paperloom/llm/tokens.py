@@ -27,14 +27,18 @@ class PieceEncoder:
     piece by piece, cut before each single space; most pieces recur, and their ids are looked up.
     Texts where such a cut may fall inside a run of white space (double or trailing spaces, or
     nothing but white space between two spaces) are encoded whole. The ids equal those of one ``encode`` call over the text.
+
+    ``literal`` spells special tokens that stand in a text as plain characters; else they are one id each, as in the
+    library's plain call. Texts that hold one are then encoded whole: white space before it is split otherwise.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, literal: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        self._tokenizer.encode_special_tokens = literal
+        self._special = [] if literal else [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._memo: dict[str, bytes] = {}
         self._marks = dict(zip(MARKS, self._encode(list(MARKS)), strict=True))
 
@@ -45,7 +49,8 @@ class PieceEncoder:
         """Little-endian unsigned 32-bit ids of each text; null is empty; ``end_id`` closes each."""
         end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
         texts = [t or "" for t in texts]
-        split = [None if "  " in t or t[-1:].isspace() else t.split(" ") for t in texts]
+        whole = lambda t: "  " in t or t[-1:].isspace() or any(s in t for s in self._special)
+        split = [None if whole(t) else t.split(" ") for t in texts]
         if len(self._memo) > MEMO_PIECES:
             self._memo = {}
         memo = self._memo
@@ -76,8 +81,8 @@ class PieceEncoder:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> PieceEncoder:
-    """One encoder per worker process and file."""
-    return PieceEncoder(path)
+    """One encoder per worker process and file, with the ids of the library's plain call."""
+    return PieceEncoder(path, literal=False)
 
 
 def default_tokenizer() -> str:
