@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from paperloom.llm.decontaminate import uncontaminated
-from paperloom.llm.near_dup import near_duplicates
+from paperloom.llm.near_dup import one_of_each
 from paperloom.llm.packing import pack
 from paperloom.llm.pii import redact_personal_data
 from paperloom.llm.quality import good_documents
@@ -22,9 +22,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least id stays; rows without an id stay."""
-    gone = near_duplicates(docs, words=5, threshold=80).where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
+    """Of each group of near duplicates the document with the least id stays, and of its repeated rows one.
+
+    Rows without an id go if a document with an id, or another such row that stays, has their shingle
+    set; what is only near to them doesn't remove them, and those without words all stay.
+    """
+    return one_of_each(docs, words=5, threshold=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

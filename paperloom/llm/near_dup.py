@@ -25,7 +25,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -85,8 +85,12 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
 _SIGNED = "doc_id long, n_shingles long, digest binary, bands array<long>, s1 long, s2 long"
 
 
-def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, band keys and sketch; null digest: no words."""
+def signatures(docs: DataFrame, words: int, hashed: bool = False) -> DataFrame:
+    """doc_id, n_shingles, digest of the set, band keys and sketch; null digest: no words.
+
+    ``hashed`` adds text_hash, by which rows without an id can be told apart (null for all others).
+    """
+    schema = f"{_SIGNED}, text_hash binary" if hashed else _SIGNED
 
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,9 +108,10 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                 a, b = sketch_of(sig)
                 s1.append(a)
                 s2.append(b)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(s1, pa.int64()), pa.array(s2, pa.int64())], names=[x.split()[0] for x in _SIGNED.split(", ")])
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(s1, pa.int64()), pa.array(s2, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, *batch.columns[2:]], names=[x.split()[0] for x in schema.split(", ")])
 
-    return docs.mapInArrow(sign, _SIGNED)
+    return docs.mapInArrow(sign, schema)
 
 
 #: Of pairs (n, s1, s2) and (m, t1, t2): close sketches.
@@ -189,8 +194,19 @@ def near_duplicates(documents: DataFrame, words: int = 5, threshold: int = 80) -
     Links join documents whose sets of ``words``-word shingles have a Jaccard similarity of at
     least ``threshold`` percent; a component is named by its least doc_id.
     """
+    return _judged(documents, words, threshold, False).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _text_hash() -> Column:
+    return F.unhex(F.sha2(F.encode(F.col("text").cast("string"), "UTF-8"), 256))
+
+
+def _judged(documents: DataFrame, words: int, threshold: int, hashed: bool) -> DataFrame:
+    """What ``near_duplicates`` gives, with the digests of the sets and, if ``hashed``, of the texts without an id."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = materialize(signatures(docs, words), "signatures")
+    if hashed:
+        docs = docs.withColumn("text_hash", F.when(F.col("doc_id").isNull(), _text_hash()))
+    signed = materialize(signatures(docs, words, hashed), "signatures")
     classes = materialize(
         signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("a"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("s1").alias("s1"), F.first("s2").alias("s2")),
         "classes",
@@ -215,4 +231,33 @@ def near_duplicates(documents: DataFrame, words: int = 5, threshold: int = 80) -
         found = materialize(components(links), "components")
 
     named = classes.select("digest", "a").join(found.withColumnRenamed("node", "a"), "a", "left").select("digest", F.coalesce("component", "a").alias("named"))
-    return signed.join(named, "digest", "left").select("doc_id", "n_shingles", F.coalesce("named", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("named", "doc_id"), F.lit(False)).alias("kept"))
+    extra = ["text_hash"] if hashed else []
+    return signed.join(named, "digest", "left").select("digest", *extra, "doc_id", "n_shingles", F.coalesce("named", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("named", "doc_id"), F.lit(False)).alias("kept"))
+
+
+def one_of_each(documents: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame:
+    """The rows of ``documents``, all columns, that stay when one document of each group is kept.
+
+    Repeated rows (same id, same text) are one row. Rows without an id go if a document with an id has
+    their shingle set; of those left with one set a single row stays. Near copies among rows without
+    an id, and such rows without words, all stay.
+    """
+    judged = _judged(documents, words, threshold, True)
+    doc_id = F.col("doc_id").cast("long")
+    gone = judged.where("not kept and doc_id is not null").select(F.col("doc_id").alias("_paperloom_id")).distinct()
+    known = documents.where(doc_id.isNotNull()).join(gone, doc_id == F.col("_paperloom_id"), "left_anti")
+    loose = judged.where("doc_id is null and digest is not null").select("digest", "component_id", "text_hash").distinct()
+    first = loose.groupBy("digest").agg(F.min("text_hash").alias("first"))
+    settled = loose.join(first, "digest").where("component_id is not null or text_hash <> first").select(F.col("text_hash").alias("_paperloom_text")).distinct()
+    unknown = documents.where(doc_id.isNull()).join(settled, _text_hash() == F.col("_paperloom_text"), "left_anti")
+
+    has_words = F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    key = F.when(doc_id.isNotNull() | has_words, F.struct(doc_id.isNull().alias("no_id"), F.coalesce(doc_id, F.lit(0)).alias("id"), F.coalesce(_text_hash(), F.lit(b"")).alias("text")))
+    rows = known.unionByName(unknown).withColumn("_paperloom_key", key)
+    # only digests are grouped over all rows; texts of repeated rows alone
+    repeated = materialize(rows.where("_paperloom_key is not null").groupBy("_paperloom_key").agg(F.count("*").alias("n")).where("n > 1").select("_paperloom_key"), "repeated")
+    if repeated.isEmpty():
+        return rows.drop("_paperloom_key")
+    single = rows.join(repeated, "_paperloom_key", "left_anti")
+    several = rows.join(repeated, "_paperloom_key", "left_semi").dropDuplicates(["_paperloom_key"])
+    return single.unionByName(several).drop("_paperloom_key")

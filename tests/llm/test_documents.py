@@ -437,3 +437,16 @@ def test_pipeline_on_odd_rows(spark, edge_docs, no_docs, tmp_path):
         out = pipeline.run(spark, d)
         assert {"doc_id", "sequence_id", "offset"} <= set(out.columns)
         assert (out.count() == 0) == (name == "none")
+
+
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    a, b, c = ("one two three four five six seven", "eight nine ten eleven twelve", "red green blue white black grey")
+    rows = [(1, a), (1, a), (2, a), (None, a), (None, a.upper()), (3, b), (4, None), (4, None), (None, c), (None, c), (None, c.upper()), (None, ""), (None, "")]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, row long").repartition(4)
+    left = pipeline.near_dedup(spark, docs, "")
+    assert left.columns == docs.columns
+    got = Counter((r["doc_id"], r["text"] and r["text"].lower()) for r in left.collect())
+    assert got == Counter([(1, a), (3, b), (4, None), (None, c), (None, ""), (None, "")])
+    unique = spark.createDataFrame([(1, a), (2, b), (3, a)], "doc_id int, text string")
+    assert texts_of(pipeline.near_dedup(spark, unique, "")) == [(1, a), (2, b)]
