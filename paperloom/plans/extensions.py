@@ -28,8 +28,14 @@ def search(rows: DataFrame, text: str, query: str) -> DataFrame:
     return rows.where(F.contains(F.lower(text), F.lower(F.lit(query))))
 
 
-def top_similar(vectors: DataFrame, query: list[float], k: int = 10) -> DataFrame:
-    """The k vectors with the largest inner product with one query vector, ties to the smaller id."""
-    products = F.zip_with("embedding", F.array(*(F.lit(float(x)) for x in query)), lambda a, b: a.cast("double") * b)
-    score = F.round(F.aggregate(products, F.lit(0.0), lambda a, x: a + x), 6)
+def top_similar(vectors: DataFrame, query: list[float] | None, k: int = 10) -> DataFrame:
+    """The k vectors with the largest inner product with one query vector, ties to the smaller id.
+
+    Without a query vector all scores are null.
+    """
+    if query is None:
+        score = F.lit(None).cast("double")
+    else:
+        products = F.zip_with("embedding", F.array(*(F.lit(float(x)) for x in query)), lambda a, b: a.cast("double") * b)
+        score = F.round(F.aggregate(products, F.lit(0.0), lambda a, x: a + x), 6)
     return vectors.select("vec_id", score.alias("score")).orderBy(F.desc("score"), "vec_id").limit(k)

@@ -371,4 +371,5 @@ def search(spark, d):
 select vec_id, round(list_dot_product(embedding::double[], (select q from q)), 6) as score from embeddings order by score desc, vec_id limit 10""")
 def vector_topk(spark, d):
     vectors = table(spark, d, "embeddings")
-    return extensions.top_similar(vectors, vectors.where("vec_id = 0").first()["embedding"], 10)
+    row = vectors.where("vec_id = 0").first()
+    return extensions.top_similar(vectors, row and row["embedding"], 10)

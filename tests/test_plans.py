@@ -282,3 +282,10 @@ def test_merges_are_idempotent(spark):
     once = graph.merge_graph(*start, graph.task_graph(tasks))
     twice = graph.merge_graph(*once, graph.task_graph(tasks))
     assert [x.count() for x in once] == [x.count() for x in twice] == [4, 3]
+
+
+def test_vector_topk_without_its_query_vector(spark, tmp_path):
+    for name, rows in (("none", []), ("other", [(k, [1.0, float(k)]) for k in range(12, 0, -1)])):
+        d = str(tmp_path / name)
+        spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{d}/embeddings.parquet")
+        assert [tuple(r) for r in queries.QUERIES["vector_topk"](spark, d).collect()] == [(r[0], None) for r in sorted(rows)[:10]]
