@@ -5,17 +5,22 @@ round in the order of its own permutation; rounds stop once every slot holds a r
 round. Rounds run over all elements of a document at once.
 
 * Equal shingle sets are one class from the start (a digest groups them with map-side combining).
-* ``BANDS`` bands of ``ROWS`` ranks propose pairs: one at the threshold of 0.8 is missed with a
-  probability of (1 - 0.8**4)**24, about 3 in a million; nothing is capped.
-* In each bucket, members are first held against its most central member. Components follow. Then
-  members of the same bucket but of different components are held against each other, unless codes
-  that only one of them holds rule a link out. So a group of near copies costs about as many checks
-  as it has members, and no link between components is lost.
-* Every check intersects full sets, of 64-bit shingle codes. One-bit sketches of the signatures drop
-  pairs that differ in more than ``SKETCH_BITS`` of 96 bits first (at 0.8, one in a million does).
+* ``BANDS`` bands of ``ROWS`` ranks propose buckets: a pair at the threshold of 0.8 shares none with
+  a probability of (1 - 0.8**4)**24, about 3 in a million. Nothing after banding loses a link.
+* In each bucket, members are first held against its most central member. Components follow.
+* What is left are members of one bucket in different components. Buckets of at most ``DIRECT``
+  classes compare them with each other. A larger one is split: of two sets that are linked while one
+  of them isn't linked with the central member, both differ from that member by a common shingle. So
+  shingles that several differ by make smaller buckets, which are treated alike (``_split``). A group
+  of near copies costs about as many checks as it has members, however large it is.
+* Before full sets are compared, sizes and parities rule pairs out. The parities count shingles in
+  512 slots by one bit each; where they differ the sets differ, so this bound is exact.
+* Every link is confirmed on full sets, of 64-bit shingle codes. Components come from star
+  contraction rather than from a union-find structure in one place.
 
 Defined results: a text without words, or a null one, has no shingles and stays alone; rows that
-share an id are one node; a row without an id stands with its copies but is never the one kept.
+share an id are one node; a row without an id stands with its copies but is never the one kept; an
+empty table gives no rows; columns beside doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -28,13 +33,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
-from .shared import materialize, strings
+from .components import components, extended
+from .shared import Scratch, strings
 from .words import codes_of, mixed, shingles, words_of
 
-BANDS, ROWS = 24, 4
+BANDS, ROWS = 32, 6
 SIZE = BANDS * ROWS
-SKETCH_BITS = 25
+#: Buckets of so many classes compare all that is undecided; larger ones are split.
+DIRECT = 512
+#: Ids that are sent to every task; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
+#: Sets that one task holds against the same set, at most.
+SHARE = 2048
+#: 64-bit columns that hold the parities of a set.
+PARITY = [f"p{k}" for k in range(8)]
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -72,21 +84,21 @@ def bands_of(sig: np.ndarray) -> np.ndarray:
     return key
 
 
-def sketch_of(sig: np.ndarray) -> tuple[int, int]:
-    bits = np.packbits((mixed(sig) & np.uint64(1)).astype(np.uint8))
-    a, b = np.frombuffer(bits.tobytes().ljust(16, b"\0"), np.int64)
-    return int(a), int(b)
+def parity_of(codes: np.ndarray) -> np.ndarray:
+    """Whether each of 512 slots holds an odd number of the codes, as eight 64-bit values."""
+    odd = np.bincount((codes >> np.uint64(55)).astype(np.intp), minlength=512) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
     return np.unique(shingles(codes_of(words_of(text, lower=True)), words))
 
 
-_SIGNED = "doc_id long, n_shingles long, digest binary, bands array<long>, s1 long, s2 long"
+_SIGNED = "doc_id long, n_shingles long, digest binary, bands array<long>, parity array<long>"
 
 
 def signatures(docs: DataFrame, words: int, hashed: bool = False) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, band keys and sketch; null digest: no words.
+    """doc_id, n_shingles, digest of the set, band keys and parities; null digest: no words.
 
     ``hashed`` adds text_hash, by which rows without an id can be told apart (null for all others).
     """
@@ -94,37 +106,33 @@ def signatures(docs: DataFrame, words: int, hashed: bool = False) -> DataFrame:
 
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, digest, bands, s1, s2 = [], [], [], [], []
+            n, digest, bands, parity = [], [], [], []
             for text in strings(batch.column(1)):
                 found = shingle_set(text, words)
+                some = len(found) > 0
                 n.append(len(found))
-                if not len(found):
-                    for column in (digest, bands, s1, s2):
-                        column.append(None)
-                    continue
-                sig = super_minhash(found)
-                digest.append(xxhash.xxh3_128_digest(found.tobytes()))
-                bands.append(bands_of(sig).astype(np.int64))
-                a, b = sketch_of(sig)
-                s1.append(a)
-                s2.append(b)
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(s1, pa.int64()), pa.array(s2, pa.int64())]
+                digest.append(xxhash.xxh3_128_digest(found.tobytes()) if some else None)
+                bands.append(bands_of(super_minhash(found)).astype(np.int64) if some else None)
+                parity.append(parity_of(found) if some else None)
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(parity, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*columns, *batch.columns[2:]], names=[x.split()[0] for x in schema.split(", ")])
 
     return docs.mapInArrow(sign, schema)
 
 
-#: Of pairs (n, s1, s2) and (m, t1, t2): close sketches.
-_CLOSE = f"bit_count(s1 ^ t1) + bit_count(s2 ^ t2) <= {SKETCH_BITS}"
+def _possible(threshold: int) -> str:
+    """Whether sets of n and m codes with parities p and q can reach the threshold (percent)."""
+    apart = " + ".join(f"bit_count({p} ^ q{k})" for k, p in enumerate(PARITY))
+    return f"100 * least(n, m) >= {threshold} * greatest(n, m) and {100 + threshold} * ({apart}) <= {100 - threshold} * (n + m)"
 
 
-def _reachable(shared: str, n: str, m: str, threshold: int) -> str:
-    """Whether sets of n and m that share at most so many can reach the threshold (percent)."""
-    return f"100 * {shared} >= {threshold} * ({n} + {m} - {shared})"
+def _other(facts: DataFrame, **names: str) -> DataFrame:
+    """facts (a, n, p...) as (b, m, q...), for the other end of a pair."""
+    return facts.select(*(F.col(c).alias({"a": "b", "n": "m"}.get(c, names.get(c, c.replace("p", "q")))) for c in facts.columns))
 
 
 def _sets(docs: DataFrame, asked: DataFrame, words: int) -> DataFrame:
-    """(a, codes): full sets of the asked documents (a). Texts of all others are left behind."""
+    """(a, codes): full sets of the asked documents (a, distinct). Texts of all others are left behind."""
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,9 +140,18 @@ def _sets(docs: DataFrame, asked: DataFrame, words: int) -> DataFrame:
                 some = batch.slice(at, 512)
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array([shingle_set(t, words).astype(np.int64) for t in strings(some.column(1))], pa.list_(pa.int64()))], names=["a", "codes"])
 
+    asked = F.broadcast(asked) if asked.count() <= BROADCAST_IDS else asked
     return docs.select(F.col("doc_id").alias("a"), "text").join(asked, "a", "left_semi").mapInArrow(sets, "a long, codes array<long>")
 
 
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (a, b, ...) with the sets x of a and y of b; a set that many ask for goes to several tasks."""
+    asked = pairs.groupBy("b").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
+    y = sets.select(F.col("a").alias("b"), F.col("codes").alias("y")).join(asked, "b").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+    x = pairs.join(asked, "b").withColumn("share", F.pmod(F.xxhash64("a"), F.col("shares")).cast("int")).drop("shares").join(sets.withColumnRenamed("codes", "x"), "a")
+    return x.join(y, ["b", "share"]).drop("share")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """Of pairs (a, b) those whose full sets reach the threshold."""
 
@@ -147,9 +164,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
                 keep.append(100 * both >= threshold * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
-    x = sets.select("a", F.col("codes").alias("x"))
-    y = sets.select(F.col("a").alias("b"), F.col("codes").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct()
+    return _with_sets(pairs.select("a", "b"), sets).select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct()
 
 
 def _central(rows: DataFrame) -> DataFrame:
@@ -162,30 +177,96 @@ def _central(rows: DataFrame) -> DataFrame:
     return rows.join(met, "a").groupBy("key").agg(F.max_by("a", F.struct("met", -F.col("a"))).alias("b"))
 
 
-def _between(rows: DataFrame, sets: DataFrame, facts: DataFrame, found: DataFrame, threshold: int) -> DataFrame:
-    """Pairs of one bucket but of different components that may still reach the threshold.
+_DIFFERENCES = "a long, b long, linked boolean, t long, extra array<long>, lost array<long>, d long"
+
+
+def _differences(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Of pairs (a, b): whether they are linked, b's size, the codes that only a holds, and those that only b holds.
 
-    Codes that only one of these classes holds are in no other's set. What a class holds beyond them
-    bounds all its intersections, which settles most strays of a large group one by one; only what
-    is left is paired, inside the join's condition, with all but the bucket's largest component.
+    The latter only where a link of a with a set that shares no extra code is possible (see ``_split``).
+    """
+    # sets x and y with Jaccard at least h differ in at most far * (|x| + |y|) codes
+    far = (100 - threshold) / (100 + threshold)
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            linked, t, extras, losses, d = [], [], [], [], []
+            for k in range(len(batch)):
+                x, y = (batch.column(c)[k].values.to_numpy() for c in (2, 3))
+                extra, lost = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
+                both = len(x) - len(extra)
+                linked.append(100 * both >= threshold * (len(x) + len(y) - both))
+                t.append(len(y))
+                extras.append(extra)
+                d.append(len(lost))
+                losses.append(lost if (1 - far) * len(extra) + 2 * far * len(lost) <= 2 * far * len(y) + 1e-6 else None)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:2], pa.array(linked, pa.bool_()), pa.array(t, pa.int64()), pa.array(extras, pa.list_(pa.int64())), pa.array(losses, pa.list_(pa.int64())), pa.array(d, pa.int64())],
+                names=[x.split()[0] for x in _DIFFERENCES.split(", ")],
+            )
+
+    return _with_sets(pairs.select("a", "b"), sets).select("a", "b", "x", "y").mapInArrow(compare, _DIFFERENCES)
+
+
+def _shared_first(rows: DataFrame, codes: str, need: str) -> DataFrame:
+    """(key, a): new buckets from codes (an array of each row (key, a, component, stray)).
+
+    Two rows that are to meet share at least ``need`` (of either row) of the codes that several rows
+    hold. In one order of all codes, the rarest first, the first of those they share is among the
+    first ``size - need + 1`` of both, so only these make buckets.
+    """
+    each = rows.select("key", "a", "component", "stray", F.expr(need).alias("need"), F.explode(codes).alias("code"))
+    held = each.groupBy("key", "code").agg(F.count("*").alias("holders"), F.max("stray").alias("strays"), F.min("component").alias("low"), F.max("component").alias("high"))
+    held = held.where("holders > 1 and strays and low < high").select("key", "code", "holders")
+    ranked = each.join(held, ["key", "code"]).groupBy("key", "a", "need").agg(F.array_sort(F.collect_list(F.struct("holders", "code"))).alias("by"))
+    first = F.greatest(F.lit(0), F.size("by") - F.greatest(F.lit(1), F.col("need")) + 1).cast("int")
+    made = ranked.select("key", "a", F.explode(F.slice("by", F.lit(1), first)).alias("one"))
+    return made.select(F.xxhash64("key", F.lit(codes), "one.code").alias("key"), "a")
+
+
+def _split(members: DataFrame, differences: DataFrame, threshold: int) -> DataFrame:
+    """(key, a): smaller buckets for what is undecided in the buckets of ``members`` (key, a, component, b, center).
+
+    b is a bucket's central set of t codes, center its component. A set is a stray if it is neither
+    linked with b nor in its component; undecided pairs hold a stray x. Let x and y be linked: they
+    differ in at most r * (|x| + |y|) codes, with r = (1 - h) / (1 + h) at a Jaccard index of h. With e
+    the number of extra codes over b and d of lost ones, |x| = t - d + e, and so, if k extra codes are
+    common to both, (1 - r)(ex + ey) - 2k + |dx - dy| + r(dx + dy) <= 2rt. The left side is least for
+    ey = k and dy = dx, which bounds k from below by x alone:
+
+        k >= ((1 - r) ex + 2r dx - 2rt) / (1 + r)
+
+    Where this allows k = 0, x and y may share lost codes alone, then at least
+    ((1 - r) ex + (1 + r) dx - 2rt) / (1 - r), which is above 0 for a stray. There must also be a set in
+    the bucket whose numbers fit the inequality for k = 0; numbers are kept in steps of t / 64.
     """
-    placed = rows.select("key", "a").join(found.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
+    r = (100 - threshold) / (100 + threshold)
+    rows = members.join(differences, ["a", "b"]).withColumn("stray", ~F.col("linked") & (F.col("component") != F.col("center")))
+    rows = rows.select("key", "a", "t", "stray", F.when(F.col("linked"), F.col("center")).otherwise(F.col("component")).alias("component"), "extra", "lost", F.size("extra").alias("e"), "d")
+    by_extra = f"cast(ceil(({1 - r} * e + {2 * r} * d - {2 * r} * t) / {1 + r} - 1e-6) as int)"
+    extra = _shared_first(rows, "extra", by_extra)
+    step = "greatest(1L, t div 64)"
+    kinds = rows.where("lost is not null").groupBy("key").agg(F.collect_set(F.struct("stray", F.expr(f"(e div {step}) * {step}").alias("e"), F.expr(f"(d div {step}) * {step}").alias("d"))).alias("kinds"))
+    # of the other set: e is at least kind.e, d from kind.d to kind.d + step - 1
+    fits = f"""exists(kinds, kind -> (stray or kind.stray) and
+        {1 - r} * (e + kind.e) + greatest(0, d - kind.d - {step} + 1, kind.d - d) + {r} * (d + kind.d) <= {2 * r} * t + 1e-6)"""
+    by_lost = f"cast(ceil(({1 - r} * e + {1 + r} * d - {2 * r} * t) / {1 - r} - 1e-6) as int)"
+    lost = _shared_first(rows.where("lost is not null").join(kinds, "key").where(fits), "lost", by_lost)
+    return extra.unionByName(lost)
+
+
+def _distinct_buckets(rows: DataFrame) -> DataFrame:
+    """(key, a, members) of rows (key, a): of buckets with the same members one, and none with a single member."""
+    made = rows.groupBy("key").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("a")).alias("h1"), F.bit_xor(F.xxhash64("a", F.lit(1))).alias("h2"))
+    kept = made.where("members > 1").groupBy("members", "h1", "h2").agg(F.min("key").alias("key")).select("key", "members")
+    return rows.join(kept, "key").select("key", "a", "members")
+
+
+def _undecided(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows (key, a, ...) with their component, of buckets that hold several components."""
+    placed = rows.join(found.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
     several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    placed = materialize(placed.join(several, "key"), "placed")
-    codes = sets.join(placed.select("a").distinct(), "a", "left_semi").select("a", F.explode("codes").alias("code"))
-    single = codes.groupBy("code").agg(F.count("*").alias("holders"), F.min("a").alias("a")).where("holders = 1").groupBy("a").agg(F.count("*").alias("own"))
-    weighed = placed.join(facts, "a").join(single, "a", "left").withColumn("common", F.col("n") - F.coalesce("own", F.lit(0).cast("long"))).drop("own")
-    weighed = materialize(weighed, "weighed")
-    least = weighed.groupBy("key").agg(F.min("n").alias("least"))
-    able = weighed.join(least, "key").where(_reachable("common", "n", "greatest(least, common)", threshold)).drop("least")
-    sizes = able.groupBy("key", "component").agg(F.count("*").alias("size"))
-    largest = sizes.groupBy("key").agg(F.count("*").alias("groups"), F.max_by("component", F.struct("size", -F.col("component"))).alias("largest")).where("groups > 1")
-    able = materialize(able.join(largest.select("key", "largest"), "key"), "able")
-    x = able.where("component <> largest").drop("largest")
-    y = able.select("key", F.col("a").alias("b"), F.col("component").alias("second"), F.col("n").alias("m"), F.col("common").alias("least_common"), F.col("s1").alias("t1"), F.col("s2").alias("t2"), "largest")
-    shared = "least(common, least_common)"
-    apart = F.expr(f"component <> second and (second = largest or a < b) and {_reachable(shared, 'n', 'm', threshold)} and {_CLOSE}")
-    return x.join(y, (x["key"] == y["key"]) & apart).select("a", "b").distinct()
+    return placed.join(several, "key")
 
 
 def near_duplicates(documents: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame:
@@ -206,33 +287,62 @@ def _judged(documents: DataFrame, words: int, threshold: int, hashed: bool) -> D
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if hashed:
         docs = docs.withColumn("text_hash", F.when(F.col("doc_id").isNull(), _text_hash()))
-    signed = materialize(signatures(docs, words, hashed), "signatures")
-    classes = materialize(
-        signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("a"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("s1").alias("s1"), F.first("s2").alias("s2")),
+    scratch = Scratch(docs.sparkSession)
+    table = scratch.table
+    signed = table(signatures(docs, words, hashed), "signatures")
+    classes = table(
+        signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("a"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("parity").alias("parity")),
         "classes",
     )
-    facts = classes.select("a", "n", "s1", "s2")
-    other = classes.select(F.col("a").alias("b"), F.col("n").alias("m"), F.col("s1").alias("t1"), F.col("s2").alias("t2"))
+    facts = classes.select("a", "n", *(F.col("parity")[k].alias(p) for k, p in enumerate(PARITY)))
     rows = classes.select("a", F.explode("bands").alias("key"))
     shared_keys = rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    rows = materialize(rows.join(shared_keys, "key"), "buckets")  # of buckets that hold more than one class
-    sets = materialize(_sets(docs, rows.select("a").distinct(), words), "sets")
-
-    star = rows.join(_central(rows), "key").where("a <> b").select("a", "b").distinct().join(facts, "a").join(other, "b")
-    star = materialize(star.where(f"{_reachable('least(n, m)', 'n', 'm', threshold)} and {_CLOSE}").select("a", "b"), "pairs")
-    links = materialize(_verified(star, sets, threshold), "links")
-    found = materialize(components(links), "components")
-
+    met = table(rows.join(shared_keys, "key"), "buckets")  # of buckets that hold more than one class
+    rows = table(met.join(_central(met), "key"), "starred")
+    scratch.drop(met)
+
+    star = rows.where("a <> b").select("a", "b").distinct()
+    star = table(star.join(facts, "a").join(_other(facts), "b").where(_possible(threshold)).select("a", "b"), "pairs")
+    sets = table(_sets(docs, star.select("a").union(star.select("b")).distinct(), words), "sets")
+    links = table(_verified(star, sets, threshold), "links")
+    scratch.drop(sets)
+    found = components(links)
+
+    starred = rows
+    rows = table(_undecided(rows, found), "undecided")
+    scratch.drop(starred)
+    small = rows.where(F.col("members") <= DIRECT).select("key", "a", "component")
+    large = rows.where(F.col("members") > DIRECT)
+    # buckets with one central member are one from here on
+    large = large.select(F.col("b").alias("key"), "a", "component", "b").distinct()
+    while not large.isEmpty():
+        center = large.select("b").distinct().join(found.withColumnRenamed("node", "b"), "b", "left").select("b", F.coalesce("component", "b").alias("center"))
+        members = table(large.where("a <> b").join(center, "b"), "members")
+        asked = table(_sets(docs, members.select("a").union(members.select("b")).distinct(), words), "sets")
+        differences = table(_differences(members.select("a", "b").distinct(), asked, threshold), "differences")
+        scratch.drop(asked)
+        found = extended(found, differences.where("linked").select("a", "b"))
+        split = table(_split(members, differences, threshold), "split")
+        scratch.drop(differences, members)
+        made = table(_undecided(_distinct_buckets(split), found), "undecided")
+        scratch.drop(split)
+        small = small.unionByName(made.where(F.col("members") <= DIRECT).select("key", "a", "component"))
+        large = made.where(F.col("members") > DIRECT)
+        large = table(large.join(_central(large), "key").select("key", "a", "component", "b"), "large")
+
+    left = table(small.join(facts, "a"), "small")
+    y = _other(left, key="key", component="second")
+    more = left.join(y, (left["key"] == y["key"]) & F.expr(f"a < b and component <> second and {_possible(threshold)}")).select("a", "b").distinct()
     # both ways round the star's pairs, which have been judged
     judged = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = materialize(_between(rows, sets, facts, found, threshold).join(judged, ["a", "b"], "left_anti"), "pairs")
+    more = table(more.join(judged, ["a", "b"], "left_anti"), "pairs")
     if not more.isEmpty():
-        links = links.unionByName(_verified(more, sets, threshold))
-        found = materialize(components(links), "components")
-
+        sets = table(_sets(docs, more.select("a").union(more.select("b")).distinct(), words), "sets")
+        found = extended(found, table(_verified(more, sets, threshold), "links"))
     named = classes.select("digest", "a").join(found.withColumnRenamed("node", "a"), "a", "left").select("digest", F.coalesce("component", "a").alias("named"))
     extra = ["text_hash"] if hashed else []
-    return signed.join(named, "digest", "left").select("digest", *extra, "doc_id", "n_shingles", F.coalesce("named", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("named", "doc_id"), F.lit(False)).alias("kept"))
+    judged = signed.join(named, "digest", "left").select("digest", *extra, "doc_id", "n_shingles", F.coalesce("named", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("named", "doc_id"), F.lit(False)).alias("kept"))
+    return scratch.only(judged, "judged")
 
 
 def one_of_each(documents: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame:

@@ -14,11 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine), a folder of this process is set.
+    Only where the session names none and runs on one machine (tests), a folder of this process is set.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = f"file://{tempfile.mkdtemp(prefix='paperloom-')}"
         sc.setCheckpointDir(named)
         named = sc.getCheckpointDir()
@@ -46,18 +48,43 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def materialize(df: DataFrame, name: str, keep: list[str] | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: lineage ends there.
 
-    Executors lost later cost no recomputation, and what follows may read it many times. ``keep``
-    gets the path, for callers that drop the table as soon as nothing reads it.
+    Executors lost later cost no recomputation, and what follows may read it many times. The table
+    stays until the driver ends; see ``Scratch`` for tables that go sooner.
     """
-    spark = df.sparkSession
-    path = new_path(spark, name)
+    return _written(df, new_path(df.sparkSession, name))
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
-    if keep is not None:
-        keep.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Tables of one operator in the shared folder, deleted as soon as nothing reads them."""
+
+    def __init__(self, spark: SparkSession):
+        self._spark = spark
+        self._paths: list[tuple[DataFrame, str]] = []
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        path = new_path(self._spark, name)
+        self._paths.append((made := _written(df, path), path))
+        return made
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table, path in self._paths:
+            if any(table is t for t in tables):
+                drop_path(self._spark, path)
+        self._paths = [(table, path) for table, path in self._paths if not any(table is t for t in tables)]
+
+    def only(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` as a table; all others of this scratch go."""
+        made = materialize(df, name)
+        self.drop(*(table for table, _ in self._paths))
+        return made
 
 
 def strings(column: pa.ChunkedArray | pa.Array) -> Iterator[str | None]:
