@@ -1,4 +1,4 @@
-"""A compressed FM-index over sequences of words, searched backward by many patterns at once."""
+"""A run-length compressed FM-index over sequences of words, through which sequences are streamed backward."""
 
 from __future__ import annotations
 
@@ -34,64 +34,64 @@ class WaveletTree:
             self.levels.append(BitVector(bits))
             self.zeros.append(len(symbols) - self.levels[-1].ones)
             symbols = np.concatenate([symbols[bits == 0], symbols[bits == 1]])
+        # where each symbol's places begin on the last level
+        self.base = np.zeros(sigma, np.int32)
+        change = np.flatnonzero(np.concatenate([[True], symbols[1:] != symbols[:-1]]))
+        self.base[symbols[change]] = change
 
-    def rank(self, symbol: np.ndarray, at: np.ndarray, base: np.ndarray) -> np.ndarray:
-        """How often each symbol stands before each position; base: where the symbol's run starts on the last level."""
+    def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """How often each symbol stands before each position."""
         for level, (bits, zeros) in enumerate(zip(self.levels, self.zeros, strict=True)):
             one = (symbol >> (self.depth - 1 - level)) & 1 == 1
             ones = bits.rank(at)
             at = np.where(one, zeros + ones, at - ones)
-        return at - base
+        return at - self.base[symbol]
 
 
 class FMIndex:
-    """Over pieces of symbols, for patterns of up to ``reach`` symbols.
+    """Over pieces of symbols, for matches of up to ``reach`` symbols.
 
-    Suffixes are ordered by their first ``reach`` symbols, by doubling; that is all that patterns of
-    this length can tell apart. ``values`` gives each piece a number; the least over intervals of
-    suffixes is found for all intervals together, by lengths that double, one length in memory at a time.
+    Suffixes are ordered by their first ``reach`` symbols, by doubling; that is all that matches of
+    this length can tell apart. Of the last column only its runs are kept: a wavelet tree over the
+    runs' symbols, where each run starts, and the lengths of each symbol's runs added up. Neither the
+    text nor its order stays. ``values`` gives each piece a number; a suffix keeps the rank of its
+    piece's number in 32 bits.
     """
 
     def __init__(self, pieces: np.ndarray, lengths: np.ndarray, values: np.ndarray, reach: int):
         self.alphabet, codes = np.unique(pieces, return_inverse=True)
         sigma = len(self.alphabet) + 1
         ends = np.cumsum(lengths)
-        self.starts = ends - lengths + np.arange(len(lengths))
-        text = np.zeros(len(codes) + len(lengths), np.int64)  # a closing 0 after each piece
+        starts = ends - lengths + np.arange(len(lengths))
+        text = np.zeros(len(codes) + len(lengths), np.int32)  # a closing 0 after each piece
         inside = np.ones(len(text), bool)
-        inside[self.starts + lengths] = False
+        inside[starts + lengths] = False
         text[inside] = codes + 1
-        self.text = text
-        rank, reached = text, 1
-        order = np.argsort(rank, kind="stable")
-        while reached < reach:
-            follow = np.zeros_like(rank)
-            follow[:-reached] = rank[reached:] + 1
-            key = rank * (int(follow.max()) + 1) + follow
-            order = np.argsort(key, kind="stable")
-            ordered = key[order]
-            fresh = np.concatenate([[0], (ordered[1:] != ordered[:-1]).cumsum()])
-            rank = np.empty_like(rank)
-            rank[order] = fresh
-            reached *= 2
-            if fresh[-1] == len(rank) - 1:
-                break
+        order = _suffixes(text, reach)
+        self.length = len(text)
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=sigma))]).astype(np.int32)
         last = text[order - 1]  # the symbol before each suffix
-        self.tree = WaveletTree(last, sigma)
-        self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=sigma))])
-        shape = last
-        for level in range(self.tree.depth):
-            bit = (shape >> (self.tree.depth - 1 - level)) & 1
-            shape = np.concatenate([shape[bit == 0], shape[bit == 1]])
-        self.base = np.zeros(sigma, np.int64)
-        change = np.flatnonzero(np.concatenate([[True], shape[1:] != shape[:-1]]))
-        self.base[shape[change]] = change
-        self.values = np.repeat(values, lengths + 1)[order]
+        self.run_start = np.flatnonzero(np.concatenate([[True], last[1:] != last[:-1]])).astype(np.int32)
+        self.run_symbol = last[self.run_start]
+        self.tree = WaveletTree(self.run_symbol, sigma)
+        by_symbol = np.argsort(self.run_symbol, kind="stable")
+        lengths_of_runs = np.diff(np.append(self.run_start, self.length))
+        self.run_sum = np.concatenate([[0], np.cumsum(lengths_of_runs[by_symbol])]).astype(np.int32)
+        self.run_first = np.concatenate([[0], np.cumsum(np.bincount(self.run_symbol, minlength=sigma))]).astype(np.int32)
+        self.ranked = np.unique(values)
+        self.least = np.repeat(np.searchsorted(self.ranked, values).astype(np.int32), lengths + 1)[order]
+
+    def before(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """How often each symbol stands in the last column before each position."""
+        run = np.searchsorted(self.run_start, at, side="right") - 1
+        whole = self.run_first[symbol] + self.tree.rank(symbol, run)
+        partly = np.where(self.run_symbol[run] == symbol, at - self.run_start[run], 0)
+        return self.run_sum[whole] - self.run_sum[self.run_first[symbol]] + partly
 
     def step(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Intervals of the suffixes that start with the symbol and go on as those of [low, high)."""
-        start, base = self.first[symbol], self.base[symbol]
-        both = self.tree.rank(np.concatenate([symbol, symbol]), np.concatenate([low, high]), np.concatenate([base, base]))
+        both = self.before(np.concatenate([symbol, symbol]), np.concatenate([low, high]))
+        start = self.first[symbol]
         return start + both[: len(symbol)], start + both[len(symbol) :]
 
     def least_values(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -99,49 +99,65 @@ class FMIndex:
         power = (np.frexp((high - low).astype(np.float32))[1] - 1).astype(np.int8)
         # a rounded length may reach the next power of two
         power -= (np.int64(1) << power.astype(np.int64)) > high - low
-        out = np.empty(len(low), self.values.dtype)
-        least = self.values
+        out = np.empty(len(low), np.int32)
+        least = self.least
         for k in range(int(power.max(initial=-1)) + 1):
             if k:
                 half = 1 << (k - 1)
                 least = np.minimum(least[:-half], least[half:])
             at = np.flatnonzero(power == k)
             out[at] = np.minimum(least[low[at]], least[high[at] - (1 << k)])
-        return out
-
-    def matches(self, starts: np.ndarray, length: int, block: int = 1 << 17) -> np.ndarray:
-        """Matching of the indexed text's own windows: for each start the least value of a piece that holds
-        the ``length`` symbols there. A window whose interval has narrowed to itself is done."""
-        from_, to = np.empty(len(starts), np.int32), np.empty(len(starts), np.int32)
-        for at in range(0, len(starts), block):
-            some = starts[at : at + block]
-            symbol = self.text[some + length - 1]
-            lows, highs = self.first[symbol], self.first[symbol + 1]
-            live = np.arange(len(some))
-            for back in range(length - 2, -1, -1):
-                live = live[highs[live] - lows[live] > 1]
-                if not len(live):
-                    break
-                lows[live], highs[live] = self.step(self.text[some[live] + back], lows[live], highs[live])
-            from_[at : at + block], to[at : at + block] = lows, highs
-        # an interval that stopped early still holds one suffix only, of its own piece
-        return self.least_values(from_, to)
+        return self.ranked[out]
+
+    def matching_statistics(self, query: np.ndarray, lengths: np.ndarray, reach: int, indexed: bool = False, block: int = 1 << 17) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Stream pieces (raw symbols, one after the other) through the index.
 
-    def matching_statistics(self, query: np.ndarray, reach: int) -> np.ndarray:
-        """For each end in ``query`` (raw symbols) the longest match that ends there, up to ``reach``."""
+        For each end in ``query`` the length of the longest match that ends there, up to ``reach``
+        and within the end's own piece, and the interval of suffixes that start with the match.
+        ``indexed`` says that the pieces are in the index: a match whose interval is a single suffix
+        is then the piece itself, and its length is known without further steps.
+        """
+        ends = np.cumsum(lengths)
+        room = np.arange(len(query)) - np.repeat(ends - lengths, lengths) + 1
         at = np.searchsorted(self.alphabet, query)
         known = at < len(self.alphabet)
         known[known] = self.alphabet[at[known]] == query[known]
         symbol = np.where(known, at + 1, 0)
-        out = np.zeros(len(query), np.int64)
-        live = np.flatnonzero(known)
-        low, high = self.first[symbol], self.first[symbol + 1]
-        for n in range(1, reach + 1):
-            out[live] = n
-            live = live[(live - n >= 0)]
-            live = live[known[live - n]]
-            if n == reach or not len(live):
-                break
-            low[live], high[live] = self.step(symbol[live - n], low[live], high[live])
-            live = live[high[live] > low[live]]
-        return out
+        length = np.zeros(len(query), np.int32)
+        low, high = np.zeros(len(query), np.int32), np.zeros(len(query), np.int32)
+        for begin in range(0, len(query), block):
+            live = begin + np.flatnonzero(known[begin : begin + block])
+            length[live], low[live], high[live] = 1, self.first[symbol[live]], self.first[symbol[live] + 1]
+            for n in range(1, reach):
+                live = live[room[live] > n]
+                if indexed:
+                    single = live[high[live] - low[live] == 1]
+                    length[single] = np.minimum(room[single], reach)
+                    live = live[high[live] - low[live] > 1]
+                live = live[known[live - n]]
+                if not len(live):
+                    break
+                new_low, new_high = self.step(symbol[live - n], low[live], high[live])
+                longer = new_high > new_low
+                live = live[longer]
+                length[live], low[live], high[live] = n + 1, new_low[longer], new_high[longer]
+        return length, low, high
+
+
+def _suffixes(text: np.ndarray, reach: int) -> np.ndarray:
+    """Positions in the order of their first ``reach`` symbols, at least."""
+    rank, reached = text.astype(np.int64), 1
+    order = np.argsort(rank, kind="stable")
+    while reached < reach:
+        follow = np.zeros_like(rank)
+        follow[:-reached] = rank[reached:] + 1
+        key = rank * (int(follow.max()) + 1) + follow
+        order = np.argsort(key, kind="stable")
+        ordered = key[order]
+        fresh = np.concatenate([[0], (ordered[1:] != ordered[:-1]).cumsum()])
+        rank = np.empty_like(rank)
+        rank[order] = fresh
+        reached *= 2
+        if fresh[-1] == len(rank) - 1:
+            break
+    return order

@@ -5,18 +5,24 @@ A window is ``size`` consecutive words. Equal windows have the same anchor, the
 where it can match:
 
 1. Documents are written in chunks of about ``CHUNK_BYTES``; each chunk sends each of its distinct
-   anchors once to the anchor's shard, which answers with a bit: seen in another chunk or not.
+   anchors once to the anchor's shard, which answers whether other chunks have it, and whether many do.
 2. Each chunk sends the passages whose anchors recur (runs of windows with one anchor), each distinct
-   passage once with its least document, to the shards. A shard builds a compressed FM-index (a
-   wavelet tree over the last column) of the distinct passages and finds for each window, by backward
-   search, the least document that holds it.
-3. Each chunk marks the words of windows whose least document is smaller than their own.
-
-A passage in a third of all documents is sent once for each chunk, never once for each document;
-answers go to chunks, so no key gathers rows. Words are told apart by 48 bits of a hash in shards.
+   passage once with its least document, to the shards. Windows of an anchor that many chunks have are
+   told apart by their next least run too, so a frequent run spreads over shards.
+3. A shard builds a compressed FM-index (runs of the last column, under a wavelet tree) of its distinct
+   passages and streams every passage through it: matching statistics by backward search give, for
+   each end, the longest match and its interval. Where it reaches ``size`` words the least document of
+   the interval is reported, as intervals of the passage.
+4. Each chunk marks the words of windows whose least document is smaller than their own.
+
+The number of shards grows with the bytes of the corpus (``SHARD_BYTES``), so an index doesn't. A
+passage in a third of all documents is sent once for each chunk, never once for each document; answers
+go to chunks, so no key gathers rows. Words are told apart by 48 bits of a hash in shards, and equal
+passages by 64 bits of a hash of these and their length.
 
 Defined results: null, empty and short texts lose nothing; rows with equal ids don't remove from
-each other; rows without an id rank after all others.
+each other; rows without an id rank after all others; an empty table gives no rows; other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -24,6 +30,7 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +40,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fm_index import FMIndex
-from .shared import materialize, shuffle_partitions, strings
+from .shared import Scratch, shuffle_partitions, strings
 from .words import codes_of, mixed, words_of
 
 WINDOW = 13
 ANCHOR = 4
 CHUNK_BYTES = 2 << 20
+#: Text for which there is a shard.
+SHARD_BYTES = 16 << 20
+#: An anchor in more chunks is split.
+MANY_CHUNKS = 256
 #: A row without an id ranks after all others.
 NO_ID = np.iinfo(np.int64).max
 _LOW48 = np.uint64(0xFFFFFFFFFFFF)
@@ -62,7 +73,7 @@ def _unpack(blob: bytes, *dtypes: str) -> list[np.ndarray]:
 
 
 def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Rows (chunk, docs): many whole documents, compressed together."""
+    """Rows (chunk, docs, size): many whole documents, compressed together, and their bytes."""
 
     def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, ids, known, texts, size = TaskContext.get().partitionId() << 32, [], [], [], 0
@@ -70,7 +81,7 @@ def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
         def row() -> pa.RecordBatch:
             lengths = np.array([len(t) for t in texts], np.int64)
             blob = _pack(np.array(ids, np.int64), np.array(known, np.uint8), lengths, np.frombuffer(b"".join(texts), np.uint8))
-            return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([blob], pa.binary())], names=["chunk", "docs"])
+            return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([blob], pa.binary()), pa.array([size], pa.int64())], names=["chunk", "docs", "size"])
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), strings(batch.column(1)), strict=True):
@@ -84,7 +95,7 @@ def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
         if ids:
             yield row()
 
-    return docs.mapInArrow(gather, "chunk long, docs binary")
+    return docs.mapInArrow(gather, "chunk long, docs binary, size long")
 
 
 class Chunk:
@@ -125,25 +136,47 @@ class Chunk:
         np.maximum.at(high, at, self.owner)
         return distinct, low < high
 
-    def passages(self, recurs: np.ndarray, shards: int) -> tuple[np.ndarray, ...]:
-        """Of runs whose anchor recurs: (run indices, passage of each run, first run, least owner, shard of each passage).
-
-        Passages are distinct word sequences, in the order of shard, then content code.
-        """
+    def passages(self, recurs: np.ndarray, many: np.ndarray, shards: int) -> Passages:
+        """Passages of the distinct anchors that recur; those of anchors that many chunks have are cut where the next least run changes."""
         distinct = np.unique(self.anchor)
-        runs = np.flatnonzero(recurs[np.searchsorted(distinct, self.anchor)]) if len(distinct) else np.zeros(0, np.int64)
-        length = self.windows[runs] + self.size - 1
-        where, inside = _spread(self.start[runs], length)
-        content = np.add.reduceat(mixed(self.codes[where] ^ mixed(inside.astype(np.uint64) + np.uint64(1))), np.cumsum(length) - length) if len(runs) else np.zeros(0, np.uint64)
-        key = np.rec.fromarrays([shard_of(self.anchor[runs], shards), content, length])
-        passages, first, of = np.unique(key, return_index=True, return_inverse=True)
-        least = np.full(len(passages), NO_ID)
-        np.minimum.at(least, of, self.owner[runs])
-        return runs, of, runs[first], least, np.asarray(passages.f0, np.int64)
-
-
-def _anchors(codes: np.ndarray, size: int) -> np.ndarray:
-    """The least code of the ANCHOR-word runs in each window."""
+        at = np.searchsorted(distinct, self.anchor)
+        runs = np.flatnonzero(recurs[at]) if len(distinct) else np.zeros(0, np.int64)
+        start, windows, route, owner = self.start[runs], self.windows[runs], self.anchor[runs], self.owner[runs]
+        if len(runs) and many.any():
+            where, inside = _spread(start, windows)
+            of = np.repeat(np.arange(len(runs)), windows)
+            feature = np.repeat(route, windows)
+            split = many[at[runs]][of]
+            feature[split] = mixed(feature[split] ^ mixed(_anchors(self.codes, self.size, besides=True)[where[split]]))
+            cut = np.flatnonzero((inside == 0) | np.concatenate([[True], feature[1:] != feature[:-1]]))
+            start, route, owner = where[cut], feature[cut], owner[of[cut]]
+            windows = np.diff(np.append(cut, len(where)))
+        length = windows + self.size - 1
+        where, inside = _spread(start, length)
+        content = np.add.reduceat(mixed(self.codes[where] ^ mixed(inside.astype(np.uint64) + np.uint64(1))), np.cumsum(length) - length) if len(start) else np.zeros(0, np.uint64)
+        key = np.rec.fromarrays([shard_of(route, shards), content, length])
+        found, first, of = np.unique(key, return_index=True, return_inverse=True)
+        least = np.full(len(found), NO_ID)
+        np.minimum.at(least, of, owner)
+        return Passages(start, windows, owner, of, first, least, np.asarray(found.f0, np.int64))
+
+
+@dataclass
+class Passages:
+    """Runs of windows (start, windows, owner), the distinct passage of each (``of``), and the passages:
+    their first run, least owner and shard, in the order of shard, then content."""
+
+    start: np.ndarray
+    windows: np.ndarray
+    owner: np.ndarray
+    of: np.ndarray
+    first: np.ndarray
+    least: np.ndarray
+    shard: np.ndarray
+
+
+def _anchors(codes: np.ndarray, size: int, besides: bool = False) -> np.ndarray:
+    """The least code of the ANCHOR-word runs in each window, or the least ``besides`` that one."""
     run = min(ANCHOR, size)
     n = len(codes) - run + 1
     grams = np.full(n, run, np.uint64)
@@ -152,7 +185,13 @@ def _anchors(codes: np.ndarray, size: int) -> np.ndarray:
     least = grams[: len(codes) - size + 1].copy()
     for k in range(1, size - run + 1):
         np.minimum(least, grams[k : k + len(least)], out=least)
-    return least
+    if not besides:
+        return least
+    second = np.full(len(least), np.iinfo(np.uint64).max, np.uint64)
+    for k in range(size - run + 1):
+        gram = grams[k : k + len(least)]
+        np.minimum(second, gram, out=second, where=gram != least)
+    return second
 
 
 def _spread(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -208,7 +247,8 @@ def _seen_elsewhere(blobs: list[bytes]) -> Iterator[bytes]:
     anchors = [np.frombuffer(b, np.uint64) for b in blobs]
     distinct, counts = np.unique(np.concatenate(anchors), return_counts=True)
     for a in anchors:
-        yield np.packbits(counts[np.searchsorted(distinct, a)] > 1).tobytes()
+        held = counts[np.searchsorted(distinct, a)]
+        yield np.packbits(np.concatenate([held > 1, held > MANY_CHUNKS])).tobytes()
 
 
 def _least_owners(blobs: list[bytes], size: int) -> Iterator[bytes]:
@@ -229,33 +269,43 @@ def _least_owners(blobs: list[bytes], size: int) -> Iterator[bytes]:
     np.minimum.at(least, of, owner)
     where, _ = _spread((ends - length)[first], length[first])
     index = FMIndex(codes[where], length[first], least, size)
+    matched, low, high = index.matching_statistics(codes[where], length[first], size, indexed=True)
+    # every window of the passages is in the index, so every end with enough room reaches the threshold
+    at = np.flatnonzero(matched >= size)
+    found = index.least_values(low[at], high[at])
     windows = length[first] - size + 1
-    at, _ = _spread(index.starts, windows)
-    found = index.matches(at, size)
     begins = np.cumsum(windows) - windows
     at = 0
     for p in parts:
         mine = of[at : at + len(p[0])]
         at += len(p[0])
-        yield _pack(found[_spread(begins[mine], windows[mine])[0]])
+        value = found[_spread(begins[mine], windows[mine])[0]]
+        # as intervals of windows with one least owner
+        cut = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+        yield _pack(np.diff(np.append(cut, len(value))), value[cut])
 
 
-def _recurring(chunk: Chunk, answers: list[dict], shards: int) -> np.ndarray:
-    """Which distinct anchors of the chunk belong to several documents, here or elsewhere."""
+def _recurring(chunk: Chunk, answers: list[dict], shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which distinct anchors of the chunk belong to several documents, here or elsewhere, and which to many chunks."""
     distinct, several = chunk.anchors()
+    many = np.zeros(len(distinct), bool)
     shard = shard_of(distinct, shards)
     for a in answers or []:
         mine = np.flatnonzero(shard == a["shard"])
-        several[mine] |= np.unpackbits(np.frombuffer(a["blob"], np.uint8), count=len(mine)).astype(bool)
-    return several
+        bits = np.unpackbits(np.frombuffer(a["blob"], np.uint8), count=2 * len(mine)).astype(bool)
+        several[mine] |= bits[: len(mine)]
+        many[mine] = bits[len(mine) :]
+    return several, many
 
 
 def repeated_words(documents: DataFrame, size: int = WINDOW, shards: int | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept_text of each row of ``documents`` (doc_id, text)."""
     spark = documents.sparkSession
-    shards = shards or shuffle_partitions(spark)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chunks = materialize(chunked(docs), "chunks")
+    scratch = Scratch(spark)
+    chunks = scratch.table(chunked(docs), "chunks")
+    size_of_all = chunks.agg(F.sum("size")).first()[0] or 0
+    shards = shards or max(shuffle_partitions(spark), -(-size_of_all // SHARD_BYTES))
 
     def send_anchors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -266,7 +316,7 @@ def repeated_words(documents: DataFrame, size: int = WINDOW, shards: int | None
                 cuts = np.flatnonzero(np.diff(shard[order])) + 1
                 yield _rows([(int(shard[part[0]]), name, distinct[part].tobytes()) for part in np.split(order, cuts) if len(part)])
 
-    seen = materialize(_ask(chunks.mapInArrow(send_anchors, _EXCHANGE), _seen_elsewhere, shards), "anchors")
+    seen = scratch.table(_ask(chunks.mapInArrow(send_anchors, _EXCHANGE), _seen_elsewhere, shards), "anchors")
     known = chunks.join(seen, "chunk", "left").select("chunk", "docs", F.col("answers").alias("seen"))
 
     def send_passages(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,17 +324,17 @@ def repeated_words(documents: DataFrame, size: int = WINDOW, shards: int | None
             for k in range(len(batch)):
                 name, blob, answers = (batch.column(c)[k].as_py() for c in range(3))
                 chunk = Chunk(blob, size)
-                _, _, first, least, shard = chunk.passages(_recurring(chunk, answers, shards), shards)
-                length = chunk.windows[first] + size - 1
+                found = chunk.passages(*_recurring(chunk, answers, shards), shards)
+                length = found.windows[found.first] + size - 1
                 six = chunk.codes.view(np.uint8).reshape(-1, 8)[:, :6]
                 rows = []
-                for part in np.split(np.arange(len(first)), np.flatnonzero(np.diff(shard)) + 1):
+                for part in np.split(np.arange(len(length)), np.flatnonzero(np.diff(found.shard)) + 1):
                     if len(part):
-                        where, _ = _spread(chunk.start[first[part]], length[part])
-                        rows.append((int(shard[part[0]]), name, _pack(length[part], least[part], six[where])))
+                        where, _ = _spread(found.start[found.first[part]], length[part])
+                        rows.append((int(found.shard[part[0]]), name, _pack(length[part], found.least[part], six[where])))
                 yield _rows(rows)
 
-    owners = materialize(_ask(known.mapInArrow(send_passages, _EXCHANGE), lambda blobs: _least_owners(blobs, size), shards), "owners")
+    owners = scratch.table(_ask(known.mapInArrow(send_passages, _EXCHANGE), lambda blobs: _least_owners(blobs, size), shards), "owners")
     answered = known.join(owners, "chunk", "left").select("docs", "seen", F.col("answers").alias("owners"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
 
@@ -293,7 +343,7 @@ def repeated_words(documents: DataFrame, size: int = WINDOW, shards: int | None
             for k in range(len(batch)):
                 blob, seen_there, owners_there = (batch.column(c)[k].as_py() for c in range(3))
                 chunk = Chunk(blob, size)
-                gone = _removed(chunk, _recurring(chunk, seen_there, shards), owners_there, shards)
+                gone = _removed(chunk, chunk.passages(*_recurring(chunk, seen_there, shards), shards), owners_there)
                 texts, removed = [], []
                 for words, end in zip(chunk.words, chunk.ends.tolist(), strict=True):
                     mask = gone[end - len(words) : end]
@@ -314,19 +364,17 @@ def repeated_words(documents: DataFrame, size: int = WINDOW, shards: int | None
     return answered.mapInArrow(remove, schema)
 
 
-def _removed(chunk: Chunk, recurs: np.ndarray, owners: list[dict] | None, shards: int) -> np.ndarray:
+def _removed(chunk: Chunk, found: Passages, owners: list[dict] | None) -> np.ndarray:
     """Which words of the chunk are covered by a window that a smaller document holds."""
-    runs, of, first, _, _ = chunk.passages(recurs, shards)
     marks = np.zeros(len(chunk.codes) + 1, np.int64)
-    if len(runs):
+    if len(found.start):
         # answers come by shard, passages are in the order of shards: they line up
-        least = np.concatenate([_unpack(a["blob"], "<i8")[0] for a in owners])
-        windows = chunk.windows[first]
+        least = np.concatenate([np.repeat(value, n) for n, value in (_unpack(a["blob"], "<i8", "<i8") for a in owners)])
+        windows = found.windows[found.first]
         begins = np.cumsum(windows) - windows
-        mine = chunk.windows[runs]
-        value = least[_spread(begins[of], mine)[0]]
-        where, _ = _spread(chunk.start[runs], mine)
-        where = where[value < np.repeat(chunk.owner[runs], mine)]
+        value = least[_spread(begins[found.of], found.windows)[0]]
+        where, _ = _spread(found.start, found.windows)
+        where = where[value < np.repeat(found.owner, found.windows)]
         np.add.at(marks, where, 1)
         np.add.at(marks, where + chunk.size, -1)
     return np.cumsum(marks)[:-1] > 0
