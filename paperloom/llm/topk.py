@@ -4,16 +4,19 @@ Vectors become points of a metric space: one more coordinate gives all the same
 inner products are smaller distances. The corpus is split by bounded pivots into shards, of about
 the same size; each is an M-tree of pages whose entries keep covering radii and distances to their
 parent. A query searches its own shard first, and then, with the score it must beat, only the
-shards whose ball can hold better ones. Inside a tree the nearest page comes first, and stored
-distances rule out entries before any distance to them is computed. The tree only prunes: scores
-are exact integers, and bounds are loosened by more than rounding can amount to.
+shards whose ball can hold better ones. Inside a tree blocks of queries go to the nearest pages first, and
+stored distances rule out entries before any distance to them is computed. The tree only prunes:
+scores are exact integers, and bounds are loosened by more than rounding can amount to. Vectors
+without any structure (independent components, many dimensions) leave a metric tree nothing to rule
+out: then all pages are read, in matrix products of blocks.
 
 Sizes: ``PIVOTS`` pivots from ``PIVOT_SAMPLE`` vectors; one shard's vectors (at most
 ``SHARD_ROWS``, or a share of the table) and a batch of queries are in a task at a time.
 
 Defined results: vectors that are null, empty or hold null or non-finite components, and rows
 without an id, take no part; shorter vectors count as padded with zeros; rows with the query's own
-id aren't its candidates; a repeated query is one, a repeated candidate is several.
+id aren't its candidates; a repeated query is one (of several vectors the least), a repeated
+candidate is several; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import Scratch
 
 PIVOTS, PIVOT_SAMPLE = 32, 2048
 SHARD_ROWS = 200_000
-PAGE, FANOUT = 256, 16
+PAGE, FANOUT = 128, 16
+#: Queries that go down a tree together.
+QUERY_BLOCK = 256
 K = 20
 
 
@@ -70,14 +75,16 @@ class MTree:
     """Bulk-loaded: pages of at most PAGE points, FANOUT pages below a routing page."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, longest: float):
-        """vectors: integers; longest: the largest squared length of all vectors of the table."""
+        """vectors: integers; longest: the largest squared length of all vectors of the table.
+
+        No sum of products, nor any part of it, exceeds ``longest``: below 2**52 floats are exact.
+        """
         self.longest = longest
-        exact = np.float64 if np.abs(vectors).max(initial=0) ** 2 * max(1, vectors.shape[1]) < 2**52 else object
-        self.exact = exact
+        self.exact = longest < 2**52
         points = augmented(vectors, longest)
         order = np.argsort(ids, kind="stable")
         self.root_point = points[order[0]]
-        self.computed = 0  # distances and products, for tests of the pruning
+        self.visited = 0  # pairs of a query and a point or routing point whose distance was asked for
         self.root = self._build(points[order], ids[order], self.root_point)
 
     def _build(self, points: np.ndarray, ids: np.ndarray, parent: np.ndarray) -> Node:
@@ -94,48 +101,64 @@ class MTree:
         radii = np.array([_distances(points[g], r).max() for g, r in zip(groups, routes, strict=True)])
         return Node(routes, _distances(routes, parent), radii=radii, children=[self._build(points[g], ids[g], r) for g, r in zip(groups, routes, strict=True)])
 
-    def search(self, query_id: int, vector: np.ndarray, k: int, beat: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
-        """ids and scores of the k best that score at least ``beat``, best first, ties to smaller ids."""
-        q = np.append(vector.astype(np.float64), 0.0)
-        square = float(q @ q) + self.longest
+    def search(self, query_ids: np.ndarray, vectors: np.ndarray, k: int, beat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query_id, id, score) of each query's k best that score at least its ``beat``, best first, ties to smaller ids.
+
+        A block of queries goes down the tree together. Pages wait in the order of the least bound of
+        any query; a page is read for those queries alone whose bound is within their reach, and of its
+        entries only those are computed that the stored distances to the parent leave possible.
+        """
+        q = np.hstack([vectors.astype(np.float64), np.zeros((len(vectors), 1))])
+        square = (q**2).sum(axis=1) + self.longest
         slack = 1e-9 * square + 1e-6
-        best_ids, best = np.zeros(0, np.int64), np.zeros(0)
-        worst = beat
-        reach = np.sqrt(max(0.0, square - 2 * worst + slack)) if np.isfinite(worst) else np.inf
-        start = float(_distances(q, self.root_point))
-        heap = [(0.0, 0, start, self.root)]
+        worst = beat.astype(np.float64)
+        with np.errstate(invalid="ignore"):
+            reach = np.where(np.isfinite(worst), np.sqrt(np.maximum(square - 2 * worst + slack, 0)) + slack**0.5, np.inf)
+        best_ids = [np.zeros(0, np.int64) for _ in q]
+        best = [np.zeros(0) for _ in q]
+        everyone = np.arange(len(q))
+        heap = [(0.0, 0, everyone, np.zeros(len(q)), _distances(q, self.root_point), self.root)]
         count = 0
         while heap:
-            bound, _, to_route, node = heapq.heappop(heap)
-            if bound > reach:
-                break
+            _, _, who, bound, to_route, node = heapq.heappop(heap)
+            live = bound <= reach[who]
+            who, to_route = who[live], to_route[live]
+            if not len(who):
+                continue
             radii = node.radii if node.radii is not None else 0.0
-            # by the triangle inequality alone: too far to matter
-            near = np.flatnonzero(np.abs(to_route - node.to_parent) - radii <= reach)
-            if not len(near):
+            # by the triangle inequality alone: entries too far to matter
+            near = np.abs(to_route[:, None] - node.to_parent) - radii <= reach[who][:, None]
+            some = np.flatnonzero(near.any(axis=0))
+            if not len(some):
                 continue
-            points = node.points if len(near) == len(node.points) else node.points[near]
-            self.computed += len(near)
+            near = near[:, some]
+            self.visited += int(near.sum())
+            points = node.points[some]
             if node.ids is None:
-                d = np.sqrt(np.maximum(square - 2 * (points @ q), 0))
-                low = np.maximum(d - node.radii[near] - slack**0.5, 0)
-                for e, b, x in zip(near.tolist(), low.tolist(), d.tolist(), strict=True):
-                    if b <= reach:
-                        count += 1
-                        heapq.heappush(heap, (b, count, x, node.children[e]))
-                continue
-            ids = node.ids[near]
-            score = np.rint(points @ q) if self.exact is np.float64 else np.array([sum(int(a) * int(b) for a, b in zip(p[:-1], vector, strict=True)) for p in points], object)
-            hit = np.flatnonzero((score >= worst) & (ids != query_id))
-            if not len(hit):
+                d = np.sqrt(np.maximum(square[who][:, None] - 2 * (q[who] @ points.T), 0))
+                low = np.maximum(d - node.radii[some] - slack[who][:, None] ** 0.5, 0)
+                asked = near & (low <= reach[who][:, None])
+                for e in np.flatnonzero(asked.any(axis=0)).tolist():
+                    of = asked[:, e]
+                    count += 1
+                    heapq.heappush(heap, (float(low[of, e].min()), count, who[of], low[of, e], d[of, e], node.children[int(some[e])]))
                 continue
-            best_ids, best = np.concatenate([best_ids, ids[hit]]), np.concatenate([best, score[hit]])
-            top = np.lexsort((best_ids, -best))[:k]
-            best_ids, best = best_ids[top], best[top]
-            if len(best) == k and best[-1] >= worst:
-                worst = best[-1]
-                reach = np.sqrt(max(0.0, square - 2 * float(worst) + slack)) + slack**0.5
-        return best_ids, best
+            ids = node.ids[some]
+            if self.exact:
+                score = np.rint(q[who] @ points.T)
+            else:
+                score = np.array([[sum(int(x) * int(y) for x, y in zip(p[:-1], vectors[w], strict=True)) for p in points] for w in who], object)
+            hit = near & (score >= worst[who][:, None]) & (ids != query_ids[who][:, None])
+            for r in np.flatnonzero(hit.any(axis=1)).tolist():
+                w, h = who[r], hit[r]
+                one_ids, one = np.concatenate([best_ids[w], ids[h]]), np.concatenate([best[w], score[r][h]])
+                top = np.lexsort((one_ids, -one))[:k]
+                best_ids[w], best[w] = one_ids[top], one[top]
+                if len(top) == k and best[w][-1] >= worst[w]:
+                    worst[w] = best[w][-1] if self.exact else np.nextafter(float(best[w][-1]), -np.inf)
+                    reach[w] = np.sqrt(max(0.0, square[w] - 2 * float(worst[w]) + slack[w])) + slack[w] ** 0.5
+        found = np.array([len(x) for x in best_ids])
+        return np.repeat(query_ids, found), np.concatenate([np.zeros(0, np.int64), *best_ids]), np.concatenate([np.zeros(0), *best])
 
 
 def augmented(vectors: np.ndarray, longest: float) -> np.ndarray:
@@ -198,12 +221,11 @@ def _search(rows: DataFrame, shards: Shards, k: int) -> DataFrame:
                 if not ids:
                     continue
                 tree = tree or MTree(np.concatenate(ids), np.concatenate(vectors), shards.longest)
-                out: list[tuple[np.ndarray, ...]] = []
-                beats = part.column(4).to_pylist()
-                for q, v, beat in zip(part.column(2).to_pylist(), _matrix(part.column(3), shards.dimension), beats, strict=True):
-                    found, score = tree.search(q, v, k, -np.inf if beat is None else beat)
-                    out.append((np.full(len(found), q), found, score.astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out, strict=True)], names=[f.split()[0] for f in _FOUND.split(", ")])
+                for at in range(0, len(part), QUERY_BLOCK):
+                    block = part.slice(at, QUERY_BLOCK)
+                    beat = np.array([-np.inf if b is None else b for b in block.column(4).to_pylist()], np.float64)
+                    found = tree.search(block.column(2).to_numpy(), _matrix(block.column(3), shards.dimension), k, beat)
+                    yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64), pa.int64()) for c in found], names=[f.split()[0] for f in _FOUND.split(", ")])
 
     return rows.repartition(len(shards.pivot_of), "shard").sortWithinPartitions("shard", "kind").mapInArrow(serve, _FOUND)
 
@@ -219,7 +241,8 @@ def integer_vectors(embeddings: DataFrame, scale: int = 64) -> DataFrame:
 def top_inner_products(vectors: DataFrame, is_query: str, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of ``vectors`` (vec_id, v) that fits ``is_query`` its k best."""
     square = F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c)
-    vectors = materialize(vectors.withColumn("square", square), "vectors")
+    scratch = Scratch(vectors.sparkSession)
+    vectors = scratch.table(vectors.withColumn("square", square), "vectors")
     facts = vectors.agg(F.max("square").alias("longest"), F.max(F.size("v")).alias("dimension"), F.count("*").alias("n")).first()
     if not facts["n"]:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -237,7 +260,7 @@ def top_inner_products(vectors: DataFrame, is_query: str, k: int = K) -> DataFra
             near = _square_distances(p, pivots).argmin(axis=1) if len(p) else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.int64()), pa.array(_distances(p, pivots[near]), pa.float64())], names=["vec_id", "v", "pivot", "distance"])
 
-    placed = materialize(vectors.select("vec_id", "v").mapInArrow(place, "vec_id long, v array<long>, pivot long, distance double"), "placed")
+    placed = scratch.table(vectors.select("vec_id", "v").mapInArrow(place, "vec_id long, v array<long>, pivot long, distance double"), "placed")
     counts = {r["pivot"]: (r["n"], r["radius"]) for r in placed.groupBy("pivot").agg(F.count("*").alias("n"), F.max("distance").alias("radius")).collect()}
     # a pivot that is near to many vectors gets several shards
     most = min(SHARD_ROWS, -(-facts["n"] // len(pivots)))
@@ -249,8 +272,10 @@ def top_inner_products(vectors: DataFrame, is_query: str, k: int = K) -> DataFra
 
     none = F.lit(None).cast("long")
     corpus = placed.select("shard", F.lit(0).alias("kind"), F.col("vec_id").alias("id"), "v", none.alias("beat"))
-    queries = placed.where(is_query).dropDuplicates(["vec_id"])
-    home = materialize(_search(corpus.unionByName(queries.select("shard", F.lit(1).alias("kind"), F.col("vec_id").alias("id"), "v", none.alias("beat"))), shards, k), "home")
+    # of several vectors with one id the least asks
+    queries = placed.where(is_query).groupBy("vec_id").agg(F.min(F.struct("v", "pivot", "shard")).alias("least")).select("vec_id", "least.v", "least.shard")
+    queries = scratch.table(queries, "queries")
+    home = scratch.table(_search(corpus.unionByName(queries.select("shard", F.lit(1).alias("kind"), F.col("vec_id").alias("id"), "v", none.alias("beat"))), shards, k), "home")
     beat = home.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("beat"))
 
     def route(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,4 +294,4 @@ def top_inner_products(vectors: DataFrame, is_query: str, k: int = K) -> DataFra
     routed = asked.mapInArrow(route, "shard long, id long, v array<long>, beat long").select("shard", F.lit(1).alias("kind"), "id", "v", "beat")
     found = home.unionByName(_search(corpus.unionByName(routed), shards, k))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return scratch.only(found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "found")
