@@ -58,7 +58,7 @@ def write_file(sink, docs: Iterable[tuple[int | None, bytes]], frame_bytes: int
 
     for doc_id, ids in docs:
         n = len(ids) // 4
-        ids = ids if item_bytes == 4 else np.frombuffer(ids, "<u4").astype(f"<u{item_bytes}").tobytes()
+        ids = ids if item_bytes == 4 else _narrow(ids, item_bytes)
         if held and size + len(ids) > frame_bytes:
             flush()
         index.append((doc_id or 0, doc_id is not None, len(seek), n))
@@ -74,6 +74,13 @@ def write_file(sink, docs: Iterable[tuple[int | None, bytes]], frame_bytes: int
     return len(index), total
 
 
+def _narrow(ids: bytes, item_bytes: int) -> bytes:
+    wide = np.frombuffer(ids, "<u4")
+    if len(wide) and int(wide.max()) >> 8 * item_bytes:
+        raise ValueError(f"id {int(wide.max())} doesn't fit in {item_bytes} bytes")
+    return wide.astype(f"<u{item_bytes}").tobytes()
+
+
 class TokenFile:
     """Reads a file by its seek table; frames are checked against their checksums."""
 
@@ -123,6 +130,11 @@ class TokenFile:
             offset += size
 
 
+def _file_system(path: str) -> tuple[pa.fs.FileSystem, str]:
+    """The file system of a path as Spark writes it, and the path there."""
+    return pa.fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+
+
 def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 0, item_bytes: int = 4) -> DataFrame:
     """Encode ``docs`` (doc_id, text) into files below ``path``; one row per file.
 
@@ -145,12 +157,15 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
         rows = pairs()
         if (first := next(rows, None)) is None:
             return
-        fs, folder = pa.fs.FileSystem.from_uri(path)
+        fs, folder = _file_system(path)
         fs.create_dir(folder, recursive=True)
         name = f"{folder}/ids-{shard:06d}.zst"
         attempt = f"{name}.{TaskContext.get().taskAttemptId()}"
-        with fs.open_output_stream(attempt) as sink:
+        # frames are compressed already: pyarrow must not go by the name's ending
+        with fs.open_output_stream(attempt, compression=None) as sink:
             n_docs, n_ids = write_file(sink, (x for part in ([first], rows) for x in part), item_bytes=item_bytes)
+        if fs.get_file_info(name).type != pa.fs.FileType.NotFound:  # an earlier attempt got as far
+            fs.delete_file(name)
         fs.move(attempt, name)
         yield pa.RecordBatch.from_pydict({"shard": [shard], "file": [f"ids-{shard:06d}.zst"], "n_docs": [n_docs], "n_ids": [n_ids]})
 
@@ -167,7 +182,7 @@ def read_token_files(spark: SparkSession, path: str, files: DataFrame, wanted: l
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                fs, folder = pa.fs.FileSystem.from_uri(path)
+                fs, folder = _file_system(path)
                 with fs.open_input_file(f"{folder}/{name}") as source:
                     held, size = [], 0
                     for doc_id, start, ids in TokenFile(source).documents(chosen):

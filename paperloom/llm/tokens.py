@@ -28,17 +28,16 @@ class PieceEncoder:
     Texts where such a cut may fall inside a run of white space (double or trailing spaces, or
     nothing but white space between two spaces) are encoded whole. The ids equal those of one ``encode`` call over the text.
 
-    ``literal`` spells special tokens that stand in a text as plain characters; else they are one id each, as in the
-    library's plain call. Texts that hold one are then encoded whole: white space before it is split otherwise.
+    Special tokens that stand in a text are one id each, as in the library's plain call. Texts that hold one are
+    encoded whole: white space before it is split otherwise.
     """
 
-    def __init__(self, path: str, literal: bool = True):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = literal
-        self._special = [] if literal else [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
+        self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._memo: dict[str, bytes] = {}
         self._marks = dict(zip(MARKS, self._encode(list(MARKS)), strict=True))
 
@@ -82,7 +81,7 @@ class PieceEncoder:
 @lru_cache(maxsize=2)
 def encoder(path: str) -> PieceEncoder:
     """One encoder per worker process and file, with the ids of the library's plain call."""
-    return PieceEncoder(path, literal=False)
+    return PieceEncoder(path)
 
 
 def default_tokenizer() -> str:
