@@ -11,7 +11,9 @@ Bounds (all parameters): ``MAX_LABELLED`` labelled rows, those with the least ha
 
 Defined results: an empty, null or one-character text has no trigram, is like no document and gets
 the share of label 1 in the sample; null or other labels than 0 and 1 teach nothing; without any
-labelled row all scores are 0.5. A repeated labelled row may vote once for each copy.
+labelled row all scores are 0.5. A repeated labelled row may vote once for each copy. Neighbours
+whose similarities agree to six digits rank by doc_id. Very long texts are counted whole; repeated
+rows all appear; an empty table gives no rows; columns beside doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -105,8 +107,11 @@ class LatentNeighbours:
         if not len(self.labels):
             return np.full(len(counts), 0.5)
         near = np.clip(self.latent(counts) @ self.vectors.T, 0, 1)
-        k = min(NEIGHBOURS, near.shape[1])
-        best = np.argpartition(-near, k - 1, axis=1)[:, :k]
+        n = near.shape[1]
+        k = min(NEIGHBOURS, n)
+        # similarities count to six digits, and of equal ones the first in the sample: products of blocks differ in the last bits
+        order = np.rint(near * 1e6).astype(np.int64) * n + np.arange(n - 1, -1, -1)
+        best = np.argpartition(-order, k - 1, axis=1)[:, :k]
         weight = np.take_along_axis(near, best, axis=1).astype(np.float64) ** SHARPNESS
         total = weight.sum(axis=1)
         votes = (weight * self.labels[best]).sum(axis=1)
@@ -137,7 +142,7 @@ def fit_classifier(documents: DataFrame, labels: DataFrame, max_labelled: int =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.int32()))], names=["doc_id", "quality", "at", "n"])
 
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "quality").mapInArrow(count, "doc_id long, quality int, at array<int>, n array<int>").orderBy("doc_id").limit(max_labelled).collect()
+    found = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "quality").mapInArrow(count, "doc_id long, quality int, at array<int>, n array<int>").orderBy("doc_id", "quality", "at", "n").limit(max_labelled).collect()
     counts = np.zeros((len(found), FEATURES + SHARES), np.float32)
     for row, one in zip(counts, found, strict=True):
         row[one["at"]] = one["n"]
