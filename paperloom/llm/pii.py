@@ -4,16 +4,22 @@ The field reads regions: runs of neighbouring words with a digit or an at sign,
 letters, digits, spaces and marks. A segment of at most ``LONGEST`` tokens is scored as a whole, for
 each kind, by what it holds (digit counts, check digit, groups, separators, cues before it), and a
 dynamic program over bounded segments chooses boundaries and kinds jointly. Weights maximize the
-likelihood of a bounded sample: regions of at most ``SAMPLE_DOCS`` documents, labelled by the fixed
-patterns, and the labelled examples below. Text outside regions can hold no span.
+likelihood of a bounded sample: at most ``TRAIN_REGIONS`` regions of ``SAMPLE_DOCS`` documents,
+labelled by the fixed patterns, and ``INVENTED`` examples in forms that the patterns miss or must not
+be taken for (see ``invented_examples``). Only training leaves out regions of more than
+``TRAIN_TOKENS`` tokens or ``TRAIN_CHARS`` characters; decoding takes regions of any length. Text
+outside regions can hold no span, and a span has at most ``LONGEST`` tokens.
 
 Defined results: a null text is empty; spans of the field that touch one of the fixed patterns are
-left out; positions are code points, ends exclusive; every row gives a row.
+left out, and so are those whose log-odds against no span there fall short of ``MARGIN``; positions
+are code points, ends exclusive; every row gives a row, repeated rows alike; rows without an id teach
+nothing; an empty table gives no rows; columns beside doc_id and text are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -29,6 +35,8 @@ KINDS = ("email", "ip", "card", "phone")
 LONGEST = 16
 SAMPLE_DOCS = 2000
 TRAIN_REGIONS = 400
+TRAIN_TOKENS, TRAIN_CHARS = 60, 200
+INVENTED = 240
 EPOCHS = 6
 #: An added span's log-odds against no span there, at least.
 MARGIN = 2.0
@@ -298,7 +306,7 @@ def labelled(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[Reg
     """Regions of a text with those spans that fit whole tokens and the field's bounds."""
     for region in regions(text):
         offsets = region.offsets
-        if len(region.tokens) > 60:
+        if len(region.tokens) > TRAIN_TOKENS:
             continue
         at = {o: k for k, o in enumerate(offsets)}
         gold, last = [], -1
@@ -335,8 +343,39 @@ EXAMPLES = (
 )
 
 
+#: Forms of spans: # is a digit from 0, 1 to 9 one from 1, a a letter, C a whole card number in groups of four.
+FORMS = {
+    "phone": ("(1##) ###-####", "1##-###-####", "1##.###.####", "0## #### ####", "0### ######", "(0##) ### ####", "1## ### ####", "00## ## #######", "(1#) ###-####"),
+    "card": ("C.", "C/", "C_"),
+    "email": ("müaa.##@aaaa#.aaa.aaa", "aaaé#@aaaa.aaa", "ñaa_aa@aaaa##.aaa"),
+}
+#: Forms of what is none.
+OTHERS = ("20##-20##", "1######", "#.#.##", "1###############", "1##.### euros", "##:##:##", "4##.5##.6##.7##", "## #### ### ##", "1#.##.20##", "a#a##aa#a##a####", "§ 1## (2#)", "@aaaa", "v#.##.#-aa", "##% of ###", "1,###,###.##")
+_NEUTRAL = ("from", "page", "about", "version", "in", "order", "at", "of", "see")
+
+
+def invented_examples(n: int = INVENTED, seed: int = 11) -> list[tuple[str, str | None, str | None]]:
+    """Examples (text, kind, span) of random forms, digits, cue words and surroundings; kind None for none."""
+    rng = random.Random(seed)
+
+    def filled(form: str) -> str:
+        if form[0] == "C":
+            digits = "4" + "".join(rng.choice("0123456789") for _ in range(14))
+            digits += next(c for c in "0123456789" if luhn(digits + c))
+            return form[1].join(digits[k : k + 4] for k in range(0, 16, 4))
+        return "".join(rng.choice("0123456789") if c == "#" else rng.choice("abcdefghijklmnopqrstuvwxyz") if c == "a" else c for c in form)
+
+    out = []
+    for k in range(n):
+        kind = ("phone", "card", "email", None)[k % 4]
+        span = filled(rng.choice(OTHERS if kind is None else FORMS[kind]))
+        before = rng.choice(_NEUTRAL if kind is None else CUES[kind]) + rng.choice((" ", ": "))
+        out.append((f"{before}{span}{rng.choice((' now', '.', ', and', ' on'))}", kind, None if kind is None else span))
+    return out
+
+
 def example_regions() -> Iterator[tuple[Region, list[tuple[int, int, int]]]]:
-    for text, kind, span in EXAMPLES:
+    for text, kind, span in (*EXAMPLES, *invented_examples()):
         yield from labelled(text, [] if kind is None else [(text.index(span), KINDS.index(kind), text.index(span) + len(span))])
 
 
@@ -351,7 +390,7 @@ def fit_field(documents: DataFrame, sample_docs: int = SAMPLE_DOCS) -> SemiMarko
             out = set()
             for text in strings(batch.column(0)):
                 for r in regions(text):
-                    if r.offsets[-1] - r.start <= 200:
+                    if r.offsets[-1] - r.start <= TRAIN_CHARS:
                         out.add(text[max(0, r.start - 24) : r.offsets[-1] + 2])
             yield pa.RecordBatch.from_pydict({"piece": pa.array(sorted(out), pa.string())})
 
