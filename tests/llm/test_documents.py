@@ -1,6 +1,7 @@
 """Operators over documents, against brute force and on rows that break things."""
 
 import hashlib
+import io
 import random
 import re
 import zlib
@@ -75,6 +76,37 @@ def test_substring_dedup(spark, edge_docs, no_docs, monkeypatch):
         got = S.repeated_words(df, shards=3).drop("kept_text").collect()
         assert sorted((tuple(r) for r in got), key=str) == removed(rows)
     assert S.repeated_words(no_docs).count() == 0
+    # anchors that many chunks have are split, with the same result
+    monkeypatch.setattr(S, "MANY_CHUNKS", 1)
+    rows, df = invented(spark)
+    assert sorted((tuple(r) for r in S.repeated_words(df, shards=3).drop("kept_text").collect()), key=str) == removed(rows)
+
+
+def test_matching_statistics():
+    from paperloom.llm.fm_index import FMIndex
+
+    rng = random.Random(2)
+    pieces = [[rng.randrange(6) * 10 for _ in range(rng.randrange(1, 30))] for _ in range(40)]
+    flat, lengths = np.array(sum(pieces, []), np.uint64), np.array([len(p) for p in pieces])
+    values = np.array([rng.randrange(1000) for _ in pieces])
+    index = FMIndex(flat, lengths, values, 5)
+    streamed = [[rng.choice([0, 10, 20, 30, 40, 50, 7]) for _ in range(rng.randrange(1, 25))] for _ in range(30)]
+    length, low, high = index.matching_statistics(np.array(sum(streamed, []), np.uint64), np.array([len(p) for p in streamed]), 5)
+    at = 0
+    for q in streamed:
+        for e in range(len(q)):
+            holds = lambda n: [v for p, v in zip(pieces, values.tolist(), strict=True) if any(p[k : k + n] == q[e + 1 - n : e + 1] for k in range(len(p) - n + 1))]  # noqa: E731, B023
+            want = max((n for n in range(1, min(5, e + 1) + 1) if holds(n)), default=0)
+            assert length[at] == want
+            if want:
+                assert index.least_values(low[at : at + 1], high[at : at + 1])[0] == min(holds(want))
+            at += 1
+    # pieces of the index itself reach as far as they have room
+    length, low, high = index.matching_statistics(flat, lengths, 5, indexed=True)
+    assert length.tolist() == [min(5, k + 1) for n in lengths for k in range(n)]
+    # runs are fewer than symbols
+    text = np.array(list(range(20)) * 50, np.uint64)
+    assert len(FMIndex(text, np.full(50, 20), np.arange(50), 13).run_start) < 60
 
 
 # -- 2
@@ -118,15 +150,20 @@ def test_index_blocks_and_proximity(spark, monkeypatch):
     from pyspark.sql import functions as F
 
     from paperloom.llm import decontaminate as D
+    from paperloom.llm.shared import Scratch
 
     rows, df = invented(spark, 40)
     bench = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows[:12])], "item_id long, text string")
     whole = sorted(map(tuple, D.contamination(df, bench).collect()))
-    monkeypatch.setattr(D, "BLOCK_WINDOWS", 30)
+    for name, size in (("BLOCK_WINDOWS", 30), ("BLOCK_TERMS", 40), ("BROADCAST_ROWS", 0)):
+        monkeypatch.setattr(D, name, size)
     assert sorted(map(tuple, D.contamination(df, bench).collect())) == whole
-    docs = spark.createDataFrame([(1, "a x b y a"), (2, "b b a"), (3, None)], "doc_id long, text string").select("doc_id", D.words_column(F.col("text")).alias("words"))
-    pairs = spark.createDataFrame([("a", "b")], "first string, second string")
-    got = sorted(tuple(r) for r in D.proximity_matches(docs, pairs, 2).select("doc_id", "pos", "second_pos").collect())
+    docs = spark.createDataFrame([(1, "a x b y a"), (2, "b b a"), (3, None), (4, "a x x x b")], "doc_id long, text string").select("doc_id", D.words_column(F.col("text")).alias("words"))
+    terms = spark.createDataFrame([("a", 0), ("b", 1)], "term string, term_id long")
+    index = D.positional_index(docs, terms, Scratch(spark))
+    ids = index.where("term_id is null").select("row", "doc_id")
+    pairs = spark.createDataFrame([(0, 1)], "first long, second long")
+    got = sorted(tuple(r) for r in D.proximity_matches(index, pairs, 2).join(ids, "row").select("doc_id", "pos", "second_pos").collect())
     assert got == [(1, 0, 2), (1, 4, 2), (2, 2, 0), (2, 2, 1)]
 
 
@@ -226,7 +263,6 @@ def encode():
     from paperloom.llm.tokens import default_tokenizer
 
     t = Tokenizer.from_file(default_tokenizer())
-    t.encode_special_tokens = True
     return lambda text: [*t.encode(text or "", add_special_tokens=False).ids, 0]
 
 
@@ -304,8 +340,10 @@ def test_frames_are_read_alone_and_checked(tmp_path):
 
     fs, path = pyarrow.fs.LocalFileSystem(), str(tmp_path / "f.zst")
     docs = [(k, np.arange(k * 10, dtype="<u4").tobytes()) for k in range(50)]
-    with fs.open_output_stream(path) as sink:
+    with fs.open_output_stream(path, compression=None) as sink:
         write_file(sink, docs, frame_bytes=1000, item_bytes=2)
+    with pytest.raises(ValueError, match="doesn't fit"):
+        write_file(io.BytesIO(), [(1, np.array([65536], "<u4").tobytes())], item_bytes=2)
     with fs.open_input_file(path) as source:
         f = TokenFile(source)
         assert [(i, ids) for i, _, ids in f.documents()] == docs and len(f.seek) > 5
@@ -378,6 +416,46 @@ def test_group_of_near_copies_around_one_text(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == near_components(rows, 2)
 
 
+@pytest.mark.parametrize("direct", [1000, 40])
+def test_large_buckets_are_split_without_losing_links(spark, monkeypatch, direct):
+    """Edited, shortened and extended copies of one text, with edits that recur; buckets of more than ``direct`` are split."""
+    from paperloom.llm import near_dup
+
+    monkeypatch.setattr(near_dup, "DIRECT", direct)
+    monkeypatch.setattr(near_dup, "BROADCAST_IDS", 10)
+    monkeypatch.setattr(near_dup, "SHARE", 16)
+    rng = random.Random(7)
+    rows = []
+    for k in range(260):
+        parts = [f"b{j}" for j in range(60)]
+        if rng.random() < 0.3:
+            cut = rng.randrange(30)
+            del parts[cut : cut + rng.randrange(5, 25)]
+        for _ in range(rng.randrange(14)):
+            at, kind = rng.randrange(len(parts)), rng.random()
+            if kind < 0.5:
+                parts[at] = f"e{rng.randrange(40)}"
+            elif kind < 0.75:
+                parts.insert(at, f"e{rng.randrange(40)}")
+            else:
+                del parts[at]
+        rows.append((k, " ".join(parts)))
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == near_components(rows, 2)
+
+
+def test_parities_bound_what_sets_differ_in():
+    from paperloom.llm.near_dup import parity_of
+
+    rng = np.random.default_rng(8)
+    for n in (1, 30, 500, 5000):
+        for share in (0.0, 0.5, 0.9, 1.0):
+            both = rng.integers(0, 2**64, int(n * share), dtype=np.uint64)
+            x, y = (np.unique(np.concatenate([both, rng.integers(0, 2**64, n - len(both), dtype=np.uint64)])) for _ in range(2))
+            bits = int(np.bitwise_count((parity_of(x) ^ parity_of(y)).view(np.uint64)).sum())
+            assert bits <= len(np.setxor1d(x, y)) and (bits > 0 or share == 1.0)
+
+
 def test_super_minhash_estimates_jaccard():
     from paperloom.llm.near_dup import super_minhash
 
@@ -426,6 +504,44 @@ def test_quality(spark, edge_docs, no_docs):
     assert quality.quality_scores(no_docs, labels).count() == 0
 
 
+def test_votes_equal_plain_loops(spark):
+    from paperloom.llm import quality
+
+    rows, df = invented(spark, 90)
+    rows = sorted(rows) + [(1001, ""), (1002, None), (1004, rows[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = [(i, (i // 3) % 2) for i, _ in rows]
+    model = quality.fit_classifier(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+    taught = sorted((i, q) for i, q in labels if zlib.crc32(str(i).encode()) % 3 != 1)
+    assert model.labels.tolist() == [q for _, q in taught]
+    space = {i: model.latent(quality.counts_of(t)[None, :].astype(np.float32))[0] for i, t in rows}
+    got = {r["doc_id"]: r["score"] for r in quality.score_documents(docs, model).collect()}
+    for i, _ in rows:
+        near = []
+        for n, (j, q) in enumerate(taught):
+            cosine = min(1.0, max(0.0, sum(float(a) * float(b) for a, b in zip(space[i], space[j], strict=True))))
+            near.append((-round(cosine, 6), n, cosine, q))
+        best = sorted(near)[: quality.NEIGHBOURS]
+        total = sum(c**quality.SHARPNESS for _, _, c, _ in best)
+        want = sum(c**quality.SHARPNESS * q for _, _, c, q in best) / total if total else sum(q for _, q in taught) / len(taught)
+        assert abs(got[i] - want) < 0.02, i
+
+
+def test_added_spans_on_unseen_examples(spark, no_docs):
+    """Precision and recall of what the field adds, on forms filled with other digits and words than those it learnt from."""
+    from paperloom.llm import pii
+
+    field = pii.fit_field(no_docs)
+    found = right = wanted = 0
+    for text, kind, span in pii.invented_examples(400, seed=99):
+        base, spans = pii.all_spans(text, field)
+        added = set(spans) - set(base)
+        gold = set() if kind is None else {(text.index(span), pii.KINDS.index(kind), text.index(span) + len(span))}
+        gold = {g for g in gold if not any(g[0] < e and s < g[2] for s, _, e in base)}
+        found, right, wanted = found + len(added), right + len(added & gold), wanted + len(gold)
+    assert wanted > 200 and right >= 0.9 * found and right >= 0.8 * wanted, (found, right, wanted)
+
+
 def test_pipeline_on_odd_rows(spark, edge_docs, no_docs, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     labels = spark.createDataFrame([(1, 1, 0), (10, 1, 0), (7, 0, 0)], "doc_id long, quality int, toxic int")
@@ -450,3 +566,43 @@ def test_pipeline_keeps_one_row_of_each_group(spark):
     assert got == Counter([(1, a), (3, b), (4, None), (None, c), (None, ""), (None, "")])
     unique = spark.createDataFrame([(1, a), (2, b), (3, a)], "doc_id int, text string")
     assert texts_of(pipeline.near_dedup(spark, unique, "")) == [(1, a), (2, b)]
+
+
+def test_each_stage_equals_brute_force(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    from paperloom.llm import pii, quality
+    from paperloom.llm.tokens import default_tokenizer, encoder
+
+    rows, df = invented(spark, 100)
+    rows = [(i, f"{t} mail a.b{k}@c.example.com" if k % 9 == 0 else t) for k, (i, t) in enumerate(rows)]
+    df = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i, _ in rows], "doc_id long, quality int")
+    passage = next(t for _, t in rows if len(t.split()) > 30)
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    stages = dict(pipeline.STAGES)
+    scores = {r["doc_id"]: r["score"] for r in quality.quality_scores(df, labels).collect()}
+    good = quality.good_documents(df, labels)
+    assert {r["doc_id"] for r in good.collect()} == {i for i, s in scores.items() if s >= 0.5} and good.columns == df.columns
+    kept = stages["near_dedup"](spark, df, "")
+    want = near_components(rows, 5)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i in want if want[i] == i)
+    from paperloom.llm.decontaminate import uncontaminated
+
+    windows = {tuple(passage.lower().split()[k : k + 13]) for k in range(len(passage.split()) - 12)}
+
+    def dirty(text):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
+        hit = {j for k in range(len(w) - 12) if tuple(w[k : k + 13]) in windows for j in range(k, k + 13)}
+        return bool(hit) and 20 * len(hit) >= len(w)
+
+    clean = uncontaminated(df, bench)
+    assert sorted(r["doc_id"] for r in clean.collect()) == sorted(i for i, t in rows if not dirty(t)) and any(dirty(t) for _, t in rows)
+    field = pii.fit_field(df)
+    masked = {r["doc_id"]: (r["text"], r["n_chars"]) for r in stages["pii"](spark, df, "").collect()}
+    assert masked == {i: (m, len(m)) for i, t in rows for m in [pii.redacted(t, pii.all_spans(t, field)[1])]} and any("[EMAIL]" in m for m, _ in masked.values())
+    encode = encoder(default_tokenizer()).encode
+    pieces = stages["packing"](spark, df, "").collect()
+    lengths = Counter()
+    for p in pieces:
+        lengths[p["doc_id"]] += p["length"]
+    assert lengths == {i: len(encode([t])[0]) // 4 for i, t in rows}

@@ -152,10 +152,36 @@ def test_tree_prunes(monkeypatch):
     centres = rng.normal(size=(40, 8)) * 60
     vectors = np.rint(centres[rng.integers(0, 40, 8000)] + rng.normal(size=(8000, 8))).astype(np.int64)
     tree = topk.MTree(np.arange(8000), vectors, float((vectors**2).sum(axis=1).max()))
-    for q in range(0, 200, 20):
-        ids, scores = tree.search(q, vectors[q], 20)
+    queries = np.arange(0, 200, 20)
+    asked, ids, scores = tree.search(queries, vectors[queries], 20, np.full(10, -np.inf))
+    for n, q in enumerate(queries):
         all_scores = vectors @ vectors[q]
         all_scores[q] = -(10**15)
         want = np.lexsort((np.arange(8000), -all_scores))[:20]
-        assert ids.tolist() == want.tolist() and scores.tolist() == all_scores[want].tolist()
-    assert tree.computed < 0.7 * 10 * 8000
+        mine = slice(20 * n, 20 * n + 20)
+        assert set(asked[mine]) == {q} and ids[mine].tolist() == want.tolist() and scores[mine].tolist() == all_scores[want].tolist()
+    assert tree.visited < 0.7 * 10 * 8000
+    # a query that must beat a score gets nothing below it
+    least = scores[:20].min() + 1
+    assert set(tree.search(queries[:1], vectors[queries[:1]], 20, np.array([least]))[2]) == {s for s in scores[:20] if s >= least}
+    # independent components in 64 dimensions: next to nothing can be ruled out, and results are the same
+    vectors = np.floor(64 * (lambda x: x / np.linalg.norm(x, axis=1, keepdims=True))(rng.normal(size=(2000, 64)))).astype(np.int64)
+    tree = topk.MTree(np.arange(2000), vectors, float((vectors**2).sum(axis=1).max()))
+    _, ids, _ = tree.search(queries, vectors[queries], 20, np.full(10, -np.inf))
+    assert 0.9 * 10 * 2000 < tree.visited < 1.2 * 10 * 2000
+    for n, q in enumerate(queries):
+        score = vectors @ vectors[q]
+        assert ids[20 * n : 20 * n + 20].tolist() == [i for i in np.lexsort((np.arange(2000), -score)).tolist() if i != q][:20]
+
+
+def test_large_integers_and_repeated_ids(spark):
+    big = 2**31
+    rows = [(k, [big + k, 1, -k]) for k in range(30)] + [(0, [7, 7, 7])]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    got = sorted(tuple(r) for r in topk.top_inner_products(df, "vec_id = 20", 5).collect())
+    product = lambda v, w: sum(a * b for a, b in zip(v, w, strict=True))
+    want = sorted((-product(rows[20][1], v), i) for i, v in rows if i != 20)[:5]
+    assert got == sorted((20, n + 1, i, -s) for n, (s, i) in enumerate(want))
+    # of the two vectors with id 0 the least asks
+    got = sorted(tuple(r) for r in topk.top_inner_products(df, "vec_id = 0", 1).collect())
+    assert [r[3] for r in got] == [max(product([7, 7, 7], v) for i, v in rows if i)]

@@ -13,7 +13,6 @@ def test_ids_equal_those_of_whole_texts():
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(default_tokenizer())
-    whole.encode_special_tokens = True
     pieces, rng = PieceEncoder(default_tokenizer()), random.Random(5)
     texts = [None, "", *("".join(rng.choices(ATOMS, k=rng.randint(0, 9))) for _ in range(5000))]
     for text, ids in zip(texts, pieces.encode(texts, None), strict=True):
