@@ -16,7 +16,7 @@ class Config:
     store_endpoint: str = "localhost"
     store_port: int = 9000
     store_ssl: bool = False
-    store_bucket: str = "scholarly-pdfs"
+    store_bucket: str = "papers"
     # engine parameters
     feed_page: int = 100
     list_size: int = 50
@@ -26,6 +26,14 @@ class Config:
     model_chars: int = 60000
     rate_limit: int = 100
     rate_seconds: int = 60
+    poll_seconds: int = 3600
+    fetch_attempts: int = 3
+    fetch_wait: int = 5
+    categories: str = "cs.LG,cs.AI"
+
+    @property
+    def store_address(self) -> str:
+        return f"{self.store_endpoint}:{self.store_port}"
 
 
 def _int_prefix(value: str, default: int) -> int:

@@ -37,3 +37,9 @@ def list_field(doc: Column, key: str) -> Column:
         .when(F.is_variant_null(value), F.lit(None).cast("array<string>"))
         .otherwise(F.coalesce(listed, F.when(single.isNotNull(), F.array(single))))
     )
+
+
+def event_json(event: Column, paper_id: Column, title: Column | None = None) -> Column:
+    """An event as it is published; a null title is left out."""
+    title = F.lit(None).cast("string") if title is None else title
+    return F.to_json(F.struct(event.alias("event"), paper_id.cast("string").alias("id"), title.alias("title")))

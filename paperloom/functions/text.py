@@ -57,6 +57,11 @@ def is_blank(text: Column) -> Column:
     return ~F.regexp_replace(text, "[\u001c-\u001f]", "").rlike(r"(?U)\S")
 
 
+def has_suffix(name: Column, suffix: str) -> Column:
+    """Whether a name ends so; upper and lower case differ."""
+    return F.endswith(name, F.lit(suffix))
+
+
 def or_no_text(text: Column) -> Column:
     return F.when(is_blank(text), F.lit(NO_TEXT)).otherwise(text)
 

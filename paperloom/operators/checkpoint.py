@@ -22,6 +22,11 @@ def emitted(page: DataFrame, checkpoint: str | None, by: str = "published") -> D
     return page.where(F.coalesce(is_new(F.col(by), checkpoint), F.lit(False)))
 
 
+def oldest_first(entries: DataFrame, pos: str = "pos") -> DataFrame:
+    """Entries in the order in which they are sent on: a page lists the newest first."""
+    return entries.orderBy(F.desc(pos))
+
+
 def advanced(entries: DataFrame, checkpoint: str | None, by: str = "published", pos: str = "pos") -> DataFrame:
     """The next checkpoint: the time of the entry emitted last, which need not be the largest; else the old one."""
-    return entries.agg(F.coalesce(F.max_by(by, -F.col(pos)), F.lit(checkpoint).cast("string")).alias("checkpoint"))
+    return entries.agg(F.coalesce(F.min_by(by, pos), F.lit(checkpoint).cast("string")).alias("checkpoint"))

@@ -5,7 +5,7 @@ All are idempotent: the same batch again changes nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -21,6 +21,10 @@ def latest_of_each(rows: DataFrame, key: str, value: str, *order: str) -> DataFr
     return rows.groupBy(key).agg(F.max_by(value, F.struct(*order)).alias(value))
 
 
+#: Names on the short side of a comparison by containment that are sent to every task.
+SHORT_LIST = 10_000
+
+
 def insert_absent(current: DataFrame, batch: DataFrame, key: str, *order: str) -> DataFrame:
     """First write wins: of the batch only keys that are new, and of those the earliest row."""
     fresh = first_of_each(batch, key, *order).join(current.select(key), key, "left_anti")
@@ -59,12 +63,14 @@ def joined_in_order(rows: DataFrame, key: str, text: str, *order: str) -> DataFr
     return rows.groupBy(key).agg(parts.alias("parts")).select(key, F.concat(F.array_join(F.transform("parts", lambda p: F.coalesce(p[text], F.lit(""))), "\n"), F.lit("\n")).alias(text))
 
 
-def numbered(rows: DataFrame, key: str, *order: str) -> DataFrame:
-    """Rows of each key, numbered from 1."""
-    return rows.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
-
-
 def missing(required: DataFrame, available: DataFrame, name: str = "name") -> DataFrame:
-    """Required names that no available name contains. Both are short lists of names (a model catalogue)."""
+    """Required names that no available name contains.
+
+    The required names are the short list: up to ``SHORT_LIST`` of them are sent to every task, and
+    the available ones are read once, whatever their number.
+    """
+    wanted = required.select(name).distinct()
+    short = wanted.limit(SHORT_LIST + 1).count() <= SHORT_LIST
     have = available.select(F.col(name).alias("_have"))
-    return required.join(F.broadcast(have), F.contains(F.col("_have"), F.col(name)), "left_anti")
+    found = have.join(F.broadcast(wanted) if short else wanted, F.contains(F.col("_have"), F.col(name))).select(name).distinct()
+    return required.join(found, name, "left_anti")

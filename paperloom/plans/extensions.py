@@ -12,6 +12,20 @@ def shared_tags(tags: DataFrame, paper: object) -> DataFrame:
     return tags.where(F.col("paper") != F.lit(paper)).join(own, "tag").groupBy("paper").agg(F.count_distinct("tag").alias("shared"))
 
 
+def neighbourhood(nodes: DataFrame, edges: DataFrame, paper: str, types: tuple[str, ...]) -> DataFrame:
+    """Of one paper (an element id) what it is joined to by edges of these types, either way: label, element_id and type."""
+    near = edges.where(F.col("type").isin(*types) & ((F.col("src") == paper) | (F.col("dst") == paper)))
+    other = near.select(F.when(F.col("src") == paper, F.col("dst")).otherwise(F.col("src")).alias("element_id"), "type")
+    return nodes.select("element_id", "label").join(other, "element_id").select("label", "element_id", "type").distinct()
+
+
+def related_authors(wrote: DataFrame, tags: DataFrame, author: object, n: int = 20) -> DataFrame:
+    """Of ``wrote`` (paper, author) and ``tags`` (paper, tag): the authors who share most tags with one author."""
+    used = tags.join(wrote, "paper").select("author", "tag").distinct()
+    own = used.where(F.col("author") == F.lit(author)).select("tag")
+    return used.where(F.col("author") != F.lit(author)).join(own, "tag").groupBy("author").agg(F.count("*").alias("shared")).orderBy(F.desc("shared"), "author").limit(n)
+
+
 def coauthors(wrote: DataFrame) -> DataFrame:
     """Of ``wrote`` (paper, author): pairs of authors and their common papers. A paper's authors are few."""
     pairs = wrote.distinct()

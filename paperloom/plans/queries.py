@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.documents import event_json as event_json_of
 from ..operators import checkpoint, graph, tables
 from . import extensions, serve
 from .testdata import graph as test_graph
-from .testdata import table, tags
+from .testdata import reader_graph, table, tags
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -54,8 +55,34 @@ def paper_detail(spark, d):
     """Every paper with its authors, topics and citations, as the detail route builds them."""
     nodes, edges = test_graph(spark, d)
     detail = serve.paper_detail(nodes, edges.where("type <> 'BELONGS_TO'"))
-    names = lambda c: F.array_join(F.array_sort(F.array_distinct(F.transform(c, lambda n: F.get_json_object(n["props"], "$.name")))), "|")
-    return detail.select(F.col("props")["id"].cast("long").alias("id"), names("authors").alias("authors"), names("topics").alias("topics"), F.size("topics").cast("long").alias("n_topics"), F.size("citations").cast("long").alias("n_citations"))
+    return detail.select(F.col("props")["id"].cast("long").alias("id"), _names("authors").alias("authors"), _names("topics").alias("topics"), F.size("topics").cast("long").alias("n_topics"), F.size("citations").cast("long").alias("n_citations"))
+
+
+def _names(column: str):
+    return F.array_join(F.array_sort(F.array_distinct(F.transform(column, lambda n: n["props"]["name"]))), "|")
+
+
+@query("""
+with a as (select o_orderkey as id, list_sort(list(distinct c_name)) as authors from orders join customer on o_custkey = c_custkey group by o_orderkey),
+t as (select l_orderkey as id, list_sort(list(distinct s_name)) as topics from lineitem join supplier on l_suppkey = s_suppkey group by l_orderkey),
+c as (select l_orderkey as id, list_sort(list(distinct cited.o_orderkey::varchar)) as cited from lineitem join orders cited on l_partkey = cited.o_orderkey group by l_orderkey)
+select o_orderkey as id, coalesce(array_to_string(authors, '|'), '') as authors, coalesce(array_to_string(topics, '|'), '') as topics, coalesce(array_to_string(cited, '|'), '') as citations
+from orders left join a on o_orderkey = a.id left join t on o_orderkey = t.id left join c on o_orderkey = c.id""")
+def paper_detail_reader(spark, d):
+    """The detail route in the names that readers expect, with citations, a self join of papers."""
+    detail = serve.paper_detail(*reader_graph(spark, d), vocabulary="reader")
+    cited = F.array_join(F.array_sort(F.transform("citations", lambda n: n["props"]["id"])), "|")
+    return detail.select(F.col("props")["id"].cast("long").alias("id"), _names("authors").alias("authors"), _names("topics").alias("topics"), cited.alias("citations"))
+
+
+@query(f"""
+select o_orderkey as id, (select coalesce(string_agg(distinct c_name, '|' order by c_name), '') from customer where c_custkey = o_custkey) as authors,
+(select count(distinct l_suppkey) from lineitem where l_orderkey = o_orderkey) as n_topics,
+(select count(distinct l_partkey) from lineitem where l_orderkey = o_orderkey and l_partkey in (select o_orderkey from orders)) as n_citations from orders where o_orderkey = {PAPER_ID}""")
+def paper_by_id(spark, d):
+    """The detail route for one paper."""
+    detail = serve.paper_detail(*reader_graph(spark, d), str(PAPER_ID), "reader")
+    return detail.select(F.col("props")["id"].cast("long").alias("id"), _names("authors").alias("authors"), F.size("topics").cast("long").alias("n_topics"), F.size("citations").cast("long").alias("n_citations"))
 
 
 @query(f"select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority from orders where o_orderkey = {PAPER_ID}")
@@ -70,7 +97,8 @@ _EXPAND = "with r as (select distinct l_orderkey as k, l_partkey as m from linei
 def optional_outgoing(spark, d):
     """Every paper and what it leads to; papers without edges stay, with null."""
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("p"))
-    return orders.join(tags(spark, d).select(F.col("paper").alias("p"), F.col("tag").alias("m")), "p", "left").select("p", "m")
+    edges = tags(spark, d).select(F.col("paper").alias("src"), F.col("tag").alias("dst"), F.lit("USES_TECH").alias("type"))
+    return serve.outgoing(orders, edges).select("p", "m")
 
 
 @query(f"{_EXPAND} select o_orderkey as p from orders where o_orderkey not in (select k from r)")
@@ -212,11 +240,9 @@ _REQUIRED = ("cold", "widget", "gemma", "small wid", "embed")
 
 @query(f"select name from (values {', '.join(f'({chr(39)}{r}{chr(39)})' for r in _REQUIRED)}) e(name) where not exists (select 1 from part where contains(p_name, name))")
 def theta_anti(spark, d):
-    """Required names that no part's name contains; the required list is the short side and is broadcast."""
+    """Required names that no part's name contains."""
     required = spark.createDataFrame([(r,) for r in _REQUIRED], "name string")
-    parts = table(spark, d, "part").select(F.col("p_name").alias("have"))
-    found = parts.join(F.broadcast(required), F.contains(F.col("have"), F.col("name"))).select("name").distinct()
-    return required.join(found, "name", "left_anti")
+    return tables.missing(required, table(spark, d, "part").select(F.col("p_name").alias("name")))
 
 
 # -- the graph
@@ -324,7 +350,7 @@ def byte_length(spark, d):
 
 @query("select page_id, url from pages where ends_with(url, '#top')")
 def suffix_filter(spark, d):
-    return table(spark, d, "pages").where(F.endswith("url", F.lit("#top"))).select("page_id", "url")
+    return table(spark, d, "pages").where(X.has_suffix(F.col("url"), "#top")).select("page_id", "url")
 
 
 @query("select event_id, cast(json_extract_string(props, '$.k') as bigint) as k, 'none' as missing from events")
@@ -338,8 +364,7 @@ def json_extract(spark, d):
 @query("select event_id, '{\"event\":\"' || event_type || '\",\"id\":\"' || event_id || '\"}' as event from events")
 def event_json(spark, d):
     """Events as they are published: a null title is left out."""
-    row = F.struct(F.col("event_type").alias("event"), F.col("event_id").cast("string").alias("id"), F.lit(None).cast("string").alias("title"))
-    return table(spark, d, "events").select("event_id", F.to_json(row).alias("event"))
+    return table(spark, d, "events").select("event_id", event_json_of(F.col("event_type"), F.col("event_id")).alias("event"))
 
 
 # -- extensions
@@ -357,6 +382,25 @@ def coauthor(spark, d):
     return extensions.coauthors(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("paper"), F.col("l_suppkey").alias("author")))
 
 
+@query(f"""select 'Author' as label, o_custkey as key from orders where o_orderkey = {PAPER_ID}
+union select 'TechTag', l_partkey from lineitem where l_orderkey = {PAPER_ID}""")
+def neighbourhood(spark, d):
+    """The authors and tags of one paper."""
+    nodes, edges = test_graph(spark, d)
+    found = extensions.neighbourhood(nodes, edges, f"Paper\x1f{PAPER_ID}", ("WROTE", "USES_TECH"))
+    return found.select("label", F.element_at(F.split("element_id", "\x1f"), 2).cast("long").alias("key"))
+
+
+@query(f"""with u as (select distinct o_custkey as author, l_partkey as tag from lineitem join orders on l_orderkey = o_orderkey)
+select b.author, count(*) as shared from u a join u b on a.tag = b.tag where a.author = (select o_custkey from orders where o_orderkey = {PAPER_ID}) and b.author <> a.author
+group by b.author order by shared desc, b.author limit 20""")
+def related_authors(spark, d):
+    """Who shares most tags with the author of one paper."""
+    wrote = table(spark, d, "orders").select(F.col("o_orderkey").alias("paper"), F.col("o_custkey").alias("author"))
+    row = wrote.where(F.col("paper") == PAPER_ID).first()
+    return extensions.related_authors(wrote, tags(spark, d), row and row["author"])
+
+
 @query("select l_partkey as tag, count(distinct l_orderkey) as papers from lineitem group by 1 order by papers desc, tag limit 20")
 def top_tags(spark, d):
     return extensions.top_tags(tags(spark, d))

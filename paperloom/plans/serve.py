@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import first_label
 from ..schemas import PAPER, VOCABULARIES, Branch
 
 
@@ -19,42 +20,47 @@ def branch(edges: DataFrame, kind: Branch) -> DataFrame:
     return chosen.select(F.col("src").alias("paper"), F.col("dst").alias("other")) if kind.outgoing else chosen.select(F.col("dst").alias("paper"), F.col("src").alias("other"))
 
 
-def with_lists(papers: DataFrame, key: str, lists: dict[str, DataFrame], value: str = "value") -> DataFrame:
-    """Each list of (key, value) rows, distinct and sorted, joined to papers; none is an empty list.
-
-    Every list is aggregated before its join, so several lists never multiply each other.
-    """
-    out = papers
-    for name, rows in lists.items():
-        kind = rows.schema[value].dataType.simpleString()
-        found = rows.where(F.col(value).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_set(value)).alias(name))
-        out = out.join(found, key, "left").withColumn(name, F.coalesce(name, F.array().cast(f"array<{kind}>")))
-    return out
-
-
 def paper_detail(nodes: DataFrame, edges: DataFrame, paper_id: str | None = None, vocabulary: str = "writer") -> DataFrame:
-    """element_id, props, authors, topics and citations (lists of structs) of one paper, or of all.
+    """element_id, props, authors, topics and citations (lists of element_id and props) of one paper, or of all.
 
-    Of several nodes with one id the least element_id answers; an unknown id gives no row.
+    Of several nodes with one id the least element_id answers; an unknown id gives no row. All lists
+    come from one aggregation over the union of their edges, so they never multiply each other.
     """
     papers = nodes.where(F.col("label") == PAPER)
+    kinds = VOCABULARIES[vocabulary]
     if paper_id is not None:
         papers = papers.where(F.col("props")["id"] == paper_id).orderBy("element_id").limit(1)
-    lists = {}
-    for name, kind in VOCABULARIES[vocabulary].items():
-        wanted = branch(edges, kind).join(papers.select(F.col("element_id").alias("paper")), "paper", "left_semi")
-        other = nodes.select(F.col("element_id").alias("other"), F.struct("element_id", F.to_json("props").alias("props")).alias("value"))
-        lists[name] = wanted.join(other, "other").select(F.col("paper").alias("element_id"), "value")
-    return with_lists(papers.select("element_id", "props"), "element_id", lists)
+    wanted = None
+    for name, kind in kinds.items():
+        rows = branch(edges, kind).withColumn("list", F.lit(name))
+        wanted = rows if wanted is None else wanted.unionByName(rows)
+    if paper_id is not None:
+        wanted = wanted.join(F.broadcast(papers.select(F.col("element_id").alias("paper"))), "paper", "left_semi")
+    labels = [label for kind in kinds.values() for label in kind.labels]
+    # maps can't be told apart, their sorted entries can
+    other = nodes.where(F.col("label").isin(*labels) | F.col("label").isNull()).select(F.col("element_id").alias("other"), F.struct("element_id", F.array_sort(F.map_entries("props")).alias("props")).alias("value"))
+    lists = wanted.join(other, "other").groupBy(F.col("paper").alias("element_id")).agg(*(F.array_sort(F.collect_set(F.when(F.col("list") == name, F.col("value")))).alias(name) for name in kinds))
+    shown = lambda c: F.transform(F.coalesce(c, F.array()), lambda n: F.struct(n["element_id"].alias("element_id"), F.map_from_entries(n["props"]).alias("props")))
+    return papers.select("element_id", "props").join(lists, "element_id", "left").select("element_id", "props", *(shown(F.col(name)).alias(name) for name in kinds))
 
 
-def expand(nodes: DataFrame, edges: DataFrame, n: int = 200, both_ways: bool = False) -> DataFrame:
-    """Papers and what their edges lead to, n rows in a total order; a paper without edges is one row."""
-    papers = nodes.where(F.col("label") == PAPER).select(F.col("element_id").alias("p"))
+def outgoing(papers: DataFrame, edges: DataFrame, both_ways: bool = False) -> DataFrame:
+    """Papers (p) and what their edges lead to (m, type); a paper without edges is one row."""
     steps = edges.select(F.col("src").alias("p"), F.col("dst").alias("m"), "type")
     if both_ways:
         steps = steps.unionByName(edges.select(F.col("dst").alias("p"), F.col("src").alias("m"), "type"))
-    return papers.join(steps, "p", "left").orderBy("p", F.asc_nulls_last("type"), F.asc_nulls_last("m")).limit(n)
+    return papers.join(steps, "p", "left").select("p", "m", "type")
+
+
+def expand(nodes: DataFrame, edges: DataFrame, n: int = 200, both_ways: bool = False) -> DataFrame:
+    """The first n rows of ``outgoing`` in a total order.
+
+    Each paper gives a row at least, so n rows come from the first n papers: only these are expanded.
+    """
+    first = nodes.where(F.col("label") == PAPER).select(F.col("element_id").alias("p")).orderBy("p").limit(n)
+    ends = F.col("src") == F.col("p") if not both_ways else (F.col("src") == F.col("p")) | (F.col("dst") == F.col("p"))
+    near = edges.join(F.broadcast(first), ends, "left_semi")
+    return outgoing(first, near, both_ways).orderBy("p", F.asc_nulls_last("type"), F.asc_nulls_last("m")).limit(n)
 
 
 def graph_view(nodes: DataFrame, edges: DataFrame, n: int = 200, both_ways: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -64,7 +70,7 @@ def graph_view(nodes: DataFrame, edges: DataFrame, n: int = 200, both_ways: bool
     """
     rows = expand(nodes, edges, n, both_ways)
     shown = rows.select(F.col("p").alias("element_id")).unionByName(rows.where("m is not null").select(F.col("m").alias("element_id"))).distinct()
-    view = nodes.join(shown, "element_id", "left_semi").select(F.coalesce(F.col("props")["id"], "element_id").alias("id"), "element_id", F.coalesce("label", F.lit("Node")).alias("label"), "props").dropDuplicates(["element_id"])
+    view = nodes.join(shown, "element_id", "left_semi").select(F.coalesce(F.col("props")["id"], "element_id").alias("id"), "element_id", first_label(F.array("label")).alias("label"), "props").dropDuplicates(["element_id"])
     found = rows.where("m is not null and type is not null").select(F.col("p").alias("source"), F.col("m").alias("target"), "type")
     return view, found
 

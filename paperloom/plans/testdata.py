@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import node_id
-from ..schemas import AUTHOR, BELONGS_TO, CATEGORY, PAPER, TECH, USES_TECH, WROTE
+from ..schemas import AUTHOR, AUTHORED_BY, BELONGS_TO, CATEGORY, CITES, HAS_TOPIC, PAPER, TECH, TOPIC, USES_TECH, WROTE
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,3 +38,17 @@ def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     ]
     union = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(union(parts[1:]))
     return union(nodes), union(edges)
+
+
+def reader_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The names that readers expect: orders as papers, customers as authors, suppliers as topics; an order cites those numbered as its parts."""
+    orders, customer, supplier = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
+    lines = table(spark, sf_dir, "lineitem")
+    of = lambda label, c: node_id(label, F.col(c).cast("string"))
+    name = lambda c: F.create_map(F.lit("name"), F.col(c))
+    nodes = orders.select(of(PAPER, "o_orderkey").alias("element_id"), F.lit(PAPER).alias("label"), F.create_map(F.lit("id"), F.col("o_orderkey").cast("string")).alias("props"))
+    nodes = nodes.unionByName(customer.select(of(AUTHOR, "c_custkey").alias("element_id"), F.lit(AUTHOR).alias("label"), name("c_name").alias("props")))
+    nodes = nodes.unionByName(supplier.select(of(TOPIC, "s_suppkey").alias("element_id"), F.lit(TOPIC).alias("label"), name("s_name").alias("props")))
+    edges = orders.select(of(PAPER, "o_orderkey").alias("src"), of(AUTHOR, "o_custkey").alias("dst"), F.lit(AUTHORED_BY).alias("type"))
+    edges = edges.unionByName(lines.select(of(PAPER, "l_orderkey").alias("src"), of(TOPIC, "l_suppkey").alias("dst"), F.lit(HAS_TOPIC).alias("type")))
+    return nodes, edges.unionByName(lines.select(of(PAPER, "l_orderkey").alias("src"), of(PAPER, "l_partkey").alias("dst"), F.lit(CITES).alias("type")))

@@ -41,23 +41,29 @@ ID_CHARS = 50
 # states of a paper
 NEW, PROCESSING, ENRICHED, FAILED = "NEW", "PROCESSING", "ENRICHED", "FAILED"
 
+# what is announced
+NEW_PAPER, PAPER_ENRICHED = "NEW_PAPER", "PAPER_ENRICHED"
+
 # labels and edge types that ingestion writes
 PAPER, AUTHOR, CATEGORY, INSTITUTION, TECH, DATASET = "Paper", "Author", "Category", "Institution", "TechTag", "Dataset"
 WROTE, BELONGS_TO, AFFILIATED_WITH, USES_TECH, TESTED_ON = "WROTE", "BELONGS_TO", "AFFILIATED_WITH", "USES_TECH", "TESTED_ON"
+# the names that readers of the graph expect
+TOPIC, AUTHORED_BY, HAS_TOPIC, CITES = "Topic", "AUTHORED_BY", "HAS_TOPIC", "CITES"
 
 
 @dataclass(frozen=True)
 class Branch:
-    """Edges of a kind, seen from a paper."""
+    """Edges of a kind, seen from a paper, and the labels of what they lead to."""
 
     types: tuple[str, ...]
+    labels: tuple[str, ...] = ()
     outgoing: bool = True
 
 
 #: What a paper's authors, topics and citations are called: by readers, and by what ingestion writes.
 VOCABULARIES = {
-    "reader": {"authors": Branch(("AUTHORED_BY",)), "topics": Branch(("HAS_TOPIC",)), "citations": Branch(("CITES",))},
-    "writer": {"authors": Branch((WROTE,), outgoing=False), "topics": Branch((BELONGS_TO, USES_TECH)), "citations": Branch(())},
+    "reader": {"authors": Branch((AUTHORED_BY,), (AUTHOR,)), "topics": Branch((HAS_TOPIC,), (TOPIC,)), "citations": Branch((CITES,), (PAPER,))},
+    "writer": {"authors": Branch((WROTE,), (AUTHOR,), outgoing=False), "topics": Branch((BELONGS_TO, USES_TECH), (CATEGORY, TECH)), "citations": Branch(())},
 }
 
 

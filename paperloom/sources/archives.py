@@ -8,7 +8,7 @@ import tarfile
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import or_no_text, without_comments
@@ -32,6 +32,12 @@ def raw_text(content: bytes) -> str:
         return content.decode("utf-8", "replace")
 
 
+def read_eprints(spark: SparkSession, path: str) -> DataFrame:
+    """Fetched e-prints (id, content): one file for each, named by its id with or without an ending of an archive."""
+    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.(tar\.gz|tgz|gz|tar|tex|bin)$", "")
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.url_decode(name).alias("id"), "content")
+
+
 def extracted(eprints: DataFrame, batch_bytes: int = 32 << 20) -> DataFrame:
     """eprints (id, content): id, text (cleaned, or the sentence for none) and error (null if all went well)."""
 

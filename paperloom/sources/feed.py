@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 from ..functions import text
@@ -13,9 +15,21 @@ from ..schemas import ENTRY
 
 
 def read_feed(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of the feed files at ``path``, with their place in the file as ``pos`` (newest first)."""
+    """Entries of the feed files at ``path``, with their place as ``pos`` (newest first).
+
+    The place is the file, the part of it that a task reads, and the entry's place there, so it
+    doesn't depend on how files are dealt to tasks.
+    """
     entries = spark.read.format("xml").option("rowTag", "entry").option("ignoreNamespace", "true").schema(ENTRY).load(path)
-    return entries.withColumn("pos", F.monotonically_increasing_id())
+    return entries.select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("n")).alias("pos"))
+
+
+def parsed_pages(pages: DataFrame) -> DataFrame:
+    """Entries of feed pages (page, an XML text, and n, its place), with their place as ``pos``."""
+    options = {"ignoreNamespace": "true", "rowTag": "feed"}
+    feed = F.from_xml("page", T.StructType([T.StructField("entry", T.ArrayType(ENTRY))]), options)
+    each = pages.select("n", F.posexplode(feed["entry"]).alias("k", "e"))
+    return each.select("e.*", F.struct("n", "k").alias("pos"))
 
 
 def feed_query(terms: list[str], page: int = 100, start: int = 0) -> str:
@@ -59,10 +73,28 @@ def legacy_tasks(entries: DataFrame) -> DataFrame:
     return entries.select(*(c.alias(k) for k, c in (_common() | {"pdf_url": text.legacy_pdf_url(_link())}).items()), "pos")
 
 
+def with_retries(fetch: Callable[[int], tuple[list[str], int]], attempts: int = 3, wait: float = 5.0, sleep: Callable[[float], None] = time.sleep) -> Callable[[int], tuple[list[str], int]]:
+    """``fetch``, called again after 5, 10, ... seconds when it raises; after the last attempt there are no pages.
+
+    A timeout is the fetcher's own: it raises, and counts as an attempt.
+    """
+
+    def run(start: int) -> tuple[list[str], int]:
+        for attempt in range(attempts):
+            try:
+                return fetch(start)
+            except Exception:
+                if attempt + 1 < attempts:
+                    sleep(wait * 2**attempt)
+        return [], start
+
+    return run
+
+
 class PagedFeed(DataSource):
     """A streaming source of feed pages from any callable: ``fetch(start) -> (pages, next)``.
 
-    Pages are XML texts; registered with a fetcher by ``paged_feed``. Parse them with ``from_xml``.
+    Pages are XML texts; registered with a fetcher by ``paged_feed``. ``parsed_pages`` reads them.
     """
 
     @classmethod
@@ -70,30 +102,35 @@ class PagedFeed(DataSource):
         return "paged_feed"
 
     def schema(self) -> str:
-        return "page string"
+        return "page string, n long"
 
     def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:  # noqa: N802
-        fetch = self.fetch
+        return _Pages(self.fetch)
+
 
-        class Reader(SimpleDataSourceStreamReader):
-            def initialOffset(self) -> dict:  # noqa: N802
-                return {"next": 0}
+class _Pages(SimpleDataSourceStreamReader):
+    def __init__(self, fetch):
+        self._fetch = fetch
 
-            def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-                pages, after = fetch(start["next"])
-                return iter([(p,) for p in pages]), {"next": after}
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {"next": 0}
 
-            def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:  # noqa: N802
-                at = start["next"]
-                while at < end["next"]:
-                    pages, at = fetch(at)
-                    yield from ((p,) for p in pages)
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        pages, after = self._fetch(start["next"])
+        return iter([(p, start["next"] + k) for k, p in enumerate(pages)]), {"next": after}
 
-        return Reader()
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:  # noqa: N802
+        at = start["next"]
+        while at < end["next"]:
+            pages, after = self._fetch(at)
+            yield from ((p, at + k) for k, p in enumerate(pages))
+            if after == at:  # what was served before is gone
+                return
+            at = after
 
 
-def paged_feed(spark: SparkSession, fetch) -> DataFrame:
-    """A stream of pages."""
-    source = type("PagedFeed", (PagedFeed,), {"fetch": staticmethod(fetch)})
+def paged_feed(spark: SparkSession, fetch: Callable[[int], tuple[list[str], int]], attempts: int = 3, wait: float = 5.0) -> DataFrame:
+    """A stream of pages (page, n), fetched with retries."""
+    source = type("PagedFeed", (PagedFeed,), {"fetch": staticmethod(with_retries(fetch, attempts, wait))})
     spark.dataSource.register(source)
     return spark.readStream.format("paged_feed").load()

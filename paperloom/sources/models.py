@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import prefix
 
-#: From prompts to JSON texts, and from texts to vectors; None stands for a failed call.
+#: From prompts to JSON texts, and from texts to vectors; None stands for a refused call, an exception for a broken one.
 Ask = Callable[[list[str]], list[str | None]]
 Embed = Callable[[list[str]], list[list[float] | None]]
 
@@ -24,26 +24,38 @@ def prompted(text: Column, chars: int = 60000) -> Column:
     return F.concat(F.lit(PROMPT), prefix(text, chars))
 
 
-def asked(texts: DataFrame, ask: Ask, chars: int = 60000, concurrency: int | None = None) -> DataFrame:
-    """texts (id, text) with ``answer``; ``concurrency`` bounds the calls in flight."""
+def _each(call: Callable[[list[str]], list], inputs: list[str]) -> tuple[list, list[str | None]]:
+    """Results and errors. A call that raises is made again for each input alone, so that one input fails alone."""
+    if not inputs:
+        return [], []
+    try:
+        return call(inputs), [None] * len(inputs)
+    except Exception as e:
+        if len(inputs) == 1:
+            return [None], [f"{type(e).__name__}: {e}"]
+    found = [_each(call, [x]) for x in inputs]
+    return [r[0] for r, _ in found], [e[0] for _, e in found]
+
 
-    def call(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _called(rows: DataFrame, call: Callable[[list[str]], list], name: str, kind: str, concurrency: int | None) -> DataFrame:
+    """rows (id, input) with what the call gives for each, and its error."""
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame({"id": f["id"], "answer": pd.Series(ask(f["prompt"].tolist()), dtype=object)})
+            results, errors = _each(call, f["input"].tolist())
+            yield pd.DataFrame({"id": f["id"], name: pd.Series(results, index=f.index, dtype=object), "error": pd.Series(errors, index=f.index, dtype=object)})
 
-    rows = texts.select("id", prompted(F.col("text"), chars).alias("prompt"))
-    return (rows.repartition(concurrency) if concurrency else rows).mapInPandas(call, "id string, answer string")
+    return (rows.repartition(concurrency) if concurrency else rows).mapInPandas(run, f"id string, {name} {kind}, error string")
 
 
-def embedded(texts: DataFrame, embed: Embed, chars: int = 2000, concurrency: int | None = None) -> DataFrame:
-    """texts (id, text) with ``embedding``."""
+def asked(texts: DataFrame, ask: Ask, chars: int = 60000, concurrency: int | None = None) -> DataFrame:
+    """texts (id, text) with ``answer`` and ``error``; ``concurrency`` bounds the calls in flight."""
+    return _called(texts.select("id", prompted(F.col("text"), chars).alias("input")), ask, "answer", "string", concurrency)
 
-    def call(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({"id": f["id"], "embedding": pd.Series(embed(f["text"].tolist()), dtype=object)})
 
-    rows = texts.select("id", prefix(F.col("text"), chars).alias("text"))
-    return (rows.repartition(concurrency) if concurrency else rows).mapInPandas(call, "id string, embedding array<float>")
+def embedded(texts: DataFrame, embed: Embed, chars: int = 2000, concurrency: int | None = None) -> DataFrame:
+    """texts (id, text) with ``embedding`` and ``error``."""
+    return _called(texts.select("id", prefix(F.col("text"), chars).alias("input")), embed, "embedding", "array<float>", concurrency)
 
 
 def catalogue(answers: DataFrame) -> DataFrame:

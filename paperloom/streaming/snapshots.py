@@ -1,49 +1,73 @@
-"""Versioned tables for micro-batches: a batch writes its own version, then moves the pointer.
+"""Keyed tables for micro-batches: each batch adds its changed rows, and reads take the last row of each key.
 
-A repeated batch replaces its version only; a version being read is never written.
+A table is a base of all its rows at some version, and the rows that later versions changed. A repeated
+batch writes its version again; what readers of an older version use is never overwritten.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
 class Snapshots:
-    """The tables of one folder."""
+    """The tables of one folder; ``keys`` names each table's key columns."""
 
-    def __init__(self, spark: SparkSession, root: str, schemas: dict[str, T.StructType]):
-        self.spark, self.root, self.schemas = spark, root.rstrip("/"), schemas
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
+    def __init__(self, spark: SparkSession, root: str, schemas: dict[str, T.StructType], keys: dict[str, list[str]], compact_every: int = 20):
+        self.spark, self.root, self.schemas, self.keys, self.compact_every = spark, root.rstrip("/"), schemas, keys, compact_every
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _versions(self, folder: str) -> list[int]:
+        at = self._path(f"{self.root}/{folder}")
+        return sorted(int(f.getPath().getName().removeprefix("v=")) for f in self._fs.listStatus(at)) if self._fs.exists(at) else []
+
     def version(self, before: int | None = None) -> int | None:
         """The newest complete version (older than ``before``)."""
-        folder = self._path(f"{self.root}/complete")
-        if not self._fs.exists(folder):
-            return None
-        found = [int(f.getPath().getName()) for f in self._fs.listStatus(folder)]
-        return max((v for v in found if before is None or v < before), default=None)
+        return max((v for v in self._versions("complete") if before is None or v < before), default=None)
 
     def read(self, table: str, before: int | None = None) -> DataFrame:
-        version = self.version(before)
-        if version is None:
-            return self.spark.createDataFrame([], self.schemas[table])
-        return self.spark.read.schema(self.schemas[table]).parquet(f"{self.root}/v={version}/{table}")
-
-    def write(self, version: int, tables: dict[str, DataFrame]) -> None:
-        for name, df in tables.items():
-            df.select(*self.schemas[name].names).write.mode("overwrite").parquet(f"{self.root}/v={version}/{name}")
-        self._fs.mkdirs(self._path(f"{self.root}/complete/{version}"))
+        schema, last = self.schemas[table], self.version(before)
+        if last is None:
+            return self.spark.createDataFrame([], schema)
+        base = max((v for v in self._versions("bases") if v <= last), default=None)
+        parts = [] if base is None else [(base, f"{self.root}/tables/{table}/base={base}")]
+        parts += [(v, f"{self.root}/tables/{table}/change={v}") for v in self._versions("complete") if (base is None or v > base) and v <= last]
+        rows = None
+        for v, path in parts:
+            part = self.spark.read.schema(schema).parquet(path).withColumn("_version", F.lit(v).cast("long"))
+            rows = part if rows is None else rows.unionByName(part)
+        if len(parts) == 1:
+            return rows.drop("_version")
+        keys = self.keys[table]
+        # maps have no order, so the row goes along as a value
+        latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*schema.names), "_version").alias("_row"))
+        return latest.select(*(F.col("_row")[c].alias(c) for c in schema.names))
 
-    def apply(self, step: Callable[[dict[str, DataFrame], DataFrame], dict[str, DataFrame]]) -> Callable[[DataFrame, int], None]:
-        """A ``foreachBatch`` function: the state before the batch and the batch to the state after it."""
-
-        def run(batch: DataFrame, batch_id: int) -> None:
-            state = {name: self.read(name, before=batch_id) for name in self.schemas}
-            self.write(batch_id, state | step(state, batch))
+    def write(self, version: int, changes: dict[str, DataFrame]) -> None:
+        """Add the changed rows of a version, each key at most once, then compact if it is time."""
+        for name, df in changes.items():
+            df.select(*self.schemas[name].names).write.mode("overwrite").parquet(f"{self.root}/tables/{name}/change={version}")
+        self._fs.mkdirs(self._path(f"{self.root}/complete/{version}"))
+        bases = self._versions("bases")
+        if len([v for v in self._versions("complete") if not bases or v > bases[-1]]) >= self.compact_every:
+            self.compact()
 
-        return run
+    def compact(self) -> None:
+        """A new base; what only versions before the base before it need goes."""
+        last, bases = self.version(), self._versions("bases")
+        for name in self.schemas:
+            self.read(name).write.mode("overwrite").parquet(f"{self.root}/tables/{name}/base={last}")
+        self._fs.mkdirs(self._path(f"{self.root}/bases/{last}"))
+        if not bases:
+            return
+        oldest = bases[-1]
+        for v in [v for v in self._versions("complete") if v < oldest]:
+            for name in self.schemas:
+                self._fs.delete(self._path(f"{self.root}/tables/{name}/change={v}"), True)
+            self._fs.delete(self._path(f"{self.root}/complete/{v}"), True)
+        for v in bases[:-1]:
+            self._fs.delete(self._path(f"{self.root}/bases/{v}"), True)
+            for name in self.schemas:
+                self._fs.delete(self._path(f"{self.root}/tables/{name}/base={v}"), True)

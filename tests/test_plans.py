@@ -13,7 +13,7 @@ from paperloom import config
 from paperloom.functions import text as X
 from paperloom.operators import checkpoint, graph, tables
 from paperloom.plans import ingest, queries, serve
-from paperloom.schemas import EDGES, NODES, PAPERS, TASK
+from paperloom.schemas import EDGES, NODES, TASK
 from paperloom.sources import archives, feed, models, objects
 
 DATA = "/root/testdata/sf0.001"
@@ -149,6 +149,7 @@ ANSWERS = {
     "null_name": '{"tldr": "t", "institutions": ["i", null]}',
     "scalar": '{"tldr": "t", "institutions": "i"}',
     "gated": '{"tldr": "t", "institutions": ["i"], "tech_tools": [], "datasets": ["d"]}',
+    "raises": "never given",
 }
 #: id: (status, tldr, has a vector)
 STATES = {
@@ -164,11 +165,14 @@ STATES = {
     "null_name": ("FAILED", "t", True),
     "scalar": ("ENRICHED", "t", True),
     "gated": ("ENRICHED", "t", True),
+    "raises": ("FAILED", None, False),
     "no_url": ("FAILED", None, False),
 }
 
 
 def ask(prompts):
+    if any(p.endswith("\nraises") for p in prompts):
+        raise OSError("the service hung up")
     return [ANSWERS[p.rsplit("\n", 1)[-1]] for p in prompts]
 
 
@@ -176,11 +180,13 @@ def embed(texts):
     return [None if t == "no_vector" else [1.0] * (2 if t == "wrong_size" else 3) for t in texts]
 
 
-def test_lifecycle(spark):
+def test_lifecycle(spark, tmp_path):
     rows = [(k, f"title {k}", ["A", "A", "B"], ["c"], "u") for k in ANSWERS] + [("no_url", "t", [], ["c"], None), ("x" * 51, "t", [], [], "u"), ("nt", None, [], [], "u")]
     tasks = batch(spark, rows)
     eprints = spark.createDataFrame([(k, bytearray(k.encode())) for k in ANSWERS], "id string, content binary")
-    state = ingest.process(ingest.empty_state(spark), tasks, eprints, ask, embed, dimension=3)
+    settings = config.Config(embedding_dimension=3)
+    state = ingest.process(ingest.empty_state(spark), tasks, eprints, ask, embed, f"file://{tmp_path}/work", settings, f"file://{tmp_path}/store")
+    assert objects.stored_texts(spark, f"file://{tmp_path}/store").count() == len(ANSWERS)
     papers = {r["id"]: (r["status"], r["tldr_ai"], r["embedding"] is not None) for r in state.papers.collect()}
     assert papers == STATES
     assert sorted(r["reason"] for r in state.quarantine.collect()) == ["id too long", "no title"]
@@ -217,6 +223,9 @@ def test_objects_and_catalogues(spark, tmp_path):
     objects.store_texts(texts, f"file://{tmp_path}/store")
     assert {(r["key"], r["bytes"]) for r in spark.read.parquet(f"file://{tmp_path}/store").collect()} == {("2024/03/2403.1.txt", 2), ("2024/04/2404.2.txt", 1)}
     assert objects.listed(spark, f"file://{tmp_path}/store").where("name like '%.parquet'").count() == 2
+    # a late paper and a new text of an old one: all others of the month stay
+    objects.store_texts(spark.createDataFrame([("2403.9", "late"), ("2404.2", "new")], "id string, text string"), f"file://{tmp_path}/store", 1)
+    assert {(r["key"], r["text"]) for r in objects.stored_texts(spark, f"file://{tmp_path}/store").collect()} == {("2024/03/2403.1.txt", "é"), ("2024/03/2403.9.txt", "late"), ("2024/04/2404.2.txt", "new")}
     available = models.catalogue(spark.createDataFrame([('{"models": [{"name": "nomic-embed-text:latest"}]}',)], "value string"))
     required = spark.createDataFrame([("gemma4:e2b",), ("nomic-embed-text",)], "name string")
     assert [r["name"] for r in tables.missing(required, available).collect()] == ["gemma4:e2b"]
@@ -225,25 +234,112 @@ def test_objects_and_catalogues(spark, tmp_path):
 # -- streams
 
 
+LINE = '{{"id": "{0}", "title": "{1}", "authors": ["A"], "categories": ["c"], "source_url": "u", "published": "2024-03-20T15:30:00Z"}}\n'
+
+
 def test_ingest_stream(spark, tmp_path):
     from paperloom.streaming import ingest as S
     from paperloom.streaming.snapshots import Snapshots
 
     inbox, root = tmp_path / "inbox", tmp_path / "state"
     inbox.mkdir()
-    store = Snapshots(spark, f"file://{root}", {"papers": PAPERS, "nodes": NODES, "edges": EDGES})
-    line = '{{"id": "{0}", "title": "{1}", "authors": ["A"], "categories": ["c"], "source_url": "u", "published": "2024-03-20T15:30:00Z"}}\n'
+    store = Snapshots(spark, f"file://{root}", S.TABLES, S.KEYS, compact_every=2)
     quarantined = []
 
     def run():
-        S.ingest(S.task_stream(spark, f"file://{inbox}"), store, f"file://{tmp_path}/checkpoint", after=lambda now, _: quarantined.append(now.quarantine.count())).awaitTermination()
+        S.ingest(S.task_stream(spark, f"file://{inbox}"), store, f"file://{tmp_path}/checkpoint", after=lambda now, _: quarantined.append(now.quarantine.count()), events=f"file://{tmp_path}/events").awaitTermination()
 
-    (inbox / "1.json").write_text(line.format("1", "one") + line.format("1", "late") + "not json\n")
+    (inbox / "1.json").write_text(LINE.format("1", "one") + LINE.format("1", "late") + "not json\n")
     run()
-    (inbox / "2.json").write_text(line.format("1", "again") + line.format("2", "two"))
+    (inbox / "2.json").write_text(LINE.format("1", "again") + LINE.format("2", "two"))
     run()
     assert {(r["id"], r["title"]) for r in store.read("papers").collect()} == {("1", "one"), ("2", "two")}
     assert store.read("edges").where("type = 'WROTE'").count() == 4 and quarantined == [1, 0]
+    assert spark.read.json(f"file://{tmp_path}/events").groupBy("event").count().first()["count"] == 4
+    # a base has been made, and later changes come on top of it
+    assert [p.name for p in (root / "tables" / "papers").iterdir() if p.name.startswith("base")] == ["base=1"]
+    for k in (3, 4, 5):
+        (inbox / f"{k}.json").write_text(LINE.format(str(k), "more"))
+        run()
+    assert store.read("papers").count() == 5 and store.read("papers", before=2).count() == 2
+    assert not (root / "tables" / "papers" / "change=0").exists()
+
+
+def test_enrichment_stream_calls_models_once(spark, tmp_path):
+    from paperloom.streaming import ingest as S
+    from paperloom.streaming.snapshots import Snapshots
+
+    inbox, prints, calls = tmp_path / "inbox", tmp_path / "prints", str(tmp_path / "calls")
+    for folder in (inbox, prints):
+        folder.mkdir()
+    store = Snapshots(spark, f"file://{tmp_path}/state", S.TABLES, S.KEYS)
+
+    def counted(prompts):
+        with open(calls, "a") as f:
+            f.writelines(p.rsplit("\n", 1)[-1] + "\n" for p in prompts)
+        return ['{"tldr": "short", "institutions": ["i"]}'] * len(prompts)
+
+    (prints / "7.gz").write_bytes(gzip.compress(b"seven"))
+    (prints / "8").write_bytes(b"eight")
+    (inbox / "1.json").write_text(LINE.format("7", "t") + LINE.format("9", "without a print"))
+    (inbox / "2.json").write_text(LINE.format("8", "t"))
+    enrich = S.Enrichment(f"file://{prints}", counted, lambda texts: [[1.0, 2.0]] * len(texts), f"file://{tmp_path}/work", f"file://{tmp_path}/store")
+    settings = config.Config(embedding_dimension=2)
+    S.ingest(S.task_stream(spark, f"file://{inbox}"), store, f"file://{tmp_path}/checkpoint", enrich=enrich, settings=settings).awaitTermination()
+    assert {r["id"]: (r["status"], r["tldr_ai"]) for r in store.read("papers").collect()} == {"7": ("ENRICHED", "short"), "8": ("ENRICHED", "short"), "9": ("FAILED", None)}
+    assert sorted(open(calls).read().split()) == ["eight", "seven"]
+    assert {r["text"] for r in objects.stored_texts(spark, f"file://{tmp_path}/store").collect()} == {"seven", "eight"}
+    assert store.read("edges").where("type = 'AFFILIATED_WITH'").count() == 2
+
+
+def test_polls(spark, tmp_path):
+    from paperloom.streaming import ingest as S
+
+    (tmp_path / "pages").mkdir()
+    state = S.poll_store(spark, f"file://{tmp_path}/state")
+    queue = f"file://{tmp_path}/queue"
+    page = tmp_path / "page.xml"
+    page.write_text(ATOM)
+
+    def fetch(start, page=str(page)):
+        return [open(page).read()], start + 1
+
+    for _ in range(2):
+        S.poll_stream(feed.paged_feed(spark, fetch), queue, state, f"file://{tmp_path}/checkpoint", once=True).awaitTermination()
+    # the second entry is in no wanted category; the page says nothing new the second time
+    assert [r["id"] for r in spark.read.schema(TASK).option("recursiveFileLookup", "true").json(queue).collect()] == ["2403.01234v1"]
+    assert state.read("polls").first()["checkpoint"] == "2024-03-20T15:30:00Z"
+
+
+def test_fetches_are_tried_again():
+    waits, tries = [], []
+
+    def fetch(start):
+        tries.append(start)
+        if len(tries) < 3:
+            raise TimeoutError
+        return ["page"], start + 1
+
+    assert feed.with_retries(fetch, sleep=waits.append)(4) == (["page"], 5) and waits == [5.0, 10.0]
+    assert feed.with_retries(lambda start: 1 / 0, sleep=lambda s: None)(4) == ([], 4)
+    assert feed.feed_query(["cs.LG", "cs.AI"]).startswith("search_query=cat:cs.LG+OR+cat:cs.AI&sortBy=submittedDate")
+
+
+def test_request_streams(spark, tmp_path):
+    from paperloom.streaming import ingest as S
+
+    rows = [("a", "/api/papers", f"2024-01-01 00:00:{k:02d}") for k in range(5)] + [("a", "/health", "2024-01-01 00:00:01"), ("a", "/api/x", "2024-01-01 01:00:00")]
+    df = spark.createDataFrame(rows, "client string, path string, at string").selectExpr("client", "path", "cast(at as timestamp) as at")
+    df.write.parquet(f"{tmp_path}/requests")
+    stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/requests")
+    limited = S.limited_requests(stream, config.Config(rate_limit=3))
+    limited.writeStream.format("memory").queryName("limited").outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    assert {(r["seen"], r["allowed"]) for r in spark.table("limited").collect()} == {(5, 3), (1, 1)}
+    tasks = spark.createDataFrame([("1", "2024-01-01 00:00:00"), ("1", "2024-01-01 00:10:00"), ("2", "2024-01-01 00:00:00")], "id string, at string").selectExpr("id", "cast(at as timestamp) as at")
+    tasks.write.parquet(f"{tmp_path}/tasks")
+    once = S.distinct_tasks(spark.readStream.schema(tasks.schema).parquet(f"{tmp_path}/tasks"), "at")
+    once.writeStream.format("memory").queryName("once").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r["id"] for r in spark.table("once").collect()) == ["1", "2"]
 
 
 # -- queries against their SQL
