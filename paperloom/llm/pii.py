@@ -219,25 +219,46 @@ class SemiMarkovField:
                 out[1:] += np.where(np.arange(len(KINDS)) == region.cue, self.cue[0], self.cue[1])
         return out
 
+    def scores(self, region: Region, segments: list[tuple[int, list[int] | None]]) -> np.ndarray:
+        """Of each label for each segment (start, features), in one sum over all features."""
+        out = np.full((len(segments), LABELS), -np.inf)
+        inside = np.array([f is not None for _, f in segments], bool)
+        out[~inside, 0] = self.outside[[token_class(region.tokens[i]) for i, f in segments if f is None]]
+        held = [f for _, f in segments if f is not None]
+        if held:
+            sizes = np.array([len(f) for f in held])
+            out[inside, 1:] = np.add.reduceat(self.weights[1:, np.concatenate(held)], np.cumsum(sizes) - sizes, axis=1).T
+            cued = np.flatnonzero(inside)[[FEATURES - 1 in f for f in held]]
+            out[cued, 1:] += np.where(np.arange(len(KINDS)) == region.cue, self.cue[0], self.cue[1])
+        return out
+
     def decode(self, region: Region) -> list[tuple[int, int, int]]:
-        """The best segmentation's entities, (first token, kind, end token), each with its margin over none."""
+        """The best segmentation's entities, (first token, kind, end token), if their margin over none is enough."""
         ends, n = self.segments(region), len(region.tokens)
-        best, back = np.full((n + 1, LABELS), -np.inf), {}
-        best[0, 0] = 0
-        for j in range(1, n + 1):
-            for i, f in ends[j]:
-                s = self.score(region, i, f)
-                step = best[i][:, None] + self.follow + s[None, :]
-                came = step.argmax(axis=0)
-                value = step[came, np.arange(LABELS)]
-                for y in np.flatnonzero(value > best[j]):
-                    best[j, y], back[j, y] = value[y], (i, int(came[y]), s[y])
-        out, j, y = [], n, int(best[n].argmax())
+        scored = self.scores(region, [x for of in ends for x in of])
+        start = np.array([i for of in ends for i, _ in of], np.int64)
+        labels = np.arange(LABELS)
+        last = np.zeros((n + 1, LABELS), np.int64)  # the segment that closes here best, under each label
+        arrive = np.empty((n + 1, LABELS))  # the best way here, seen from each next label, and its own last label
+        before = np.zeros((n + 1, LABELS), np.int64)
+        best = np.full(LABELS, -np.inf)
+        best[0], at = 0, 0
+        for j in range(n + 1):
+            if j:
+                value = arrive[start[at : at + len(ends[j])]] + scored[at : at + len(ends[j])]
+                pick = value.argmax(axis=0)
+                best, last[j] = value[pick, labels], at + pick
+                at += len(ends[j])
+            step = best[:, None] + self.follow
+            before[j] = step.argmax(axis=0)
+            arrive[j] = step[before[j], labels]
+        out, j, y = [], n, int(best.argmax())
         while j > 0:
-            i, before, s = back[j, y]
-            if y and s - sum(self.outside[token_class(t)] for t in region.tokens[i:j]) > MARGIN:
+            k = last[j, y]
+            i = int(start[k])
+            if y and scored[k, y] - sum(self.outside[token_class(t)] for t in region.tokens[i:j]) > MARGIN:
                 out.append((i, y - 1, j))
-            j, y = i, before
+            j, y = i, int(before[i, y])
         return out[::-1]
 
     def learn(self, examples: list[tuple[Region, list[tuple[int, int, int]]]], epochs: int = EPOCHS, rate: float = 0.3) -> None:

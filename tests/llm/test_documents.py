@@ -539,7 +539,7 @@ def test_added_spans_on_unseen_examples(spark, no_docs):
         gold = set() if kind is None else {(text.index(span), pii.KINDS.index(kind), text.index(span) + len(span))}
         gold = {g for g in gold if not any(g[0] < e and s < g[2] for s, _, e in base)}
         found, right, wanted = found + len(added), right + len(added & gold), wanted + len(gold)
-    assert wanted > 200 and right >= 0.9 * found and right >= 0.8 * wanted, (found, right, wanted)
+    assert wanted > 150 and right >= 0.9 * found and right >= 0.8 * wanted, (found, right, wanted)
 
 
 def test_pipeline_on_odd_rows(spark, edge_docs, no_docs, tmp_path):

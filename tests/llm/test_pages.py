@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -53,13 +54,31 @@ def test_records_are_put_together_exactly(spark, tmp_path):
     assert stored.count() == len({html or "" for _, _, html in PAGES})
     records = warc.reconstruct(spark, path).collect()
     assert len(records) == len(PAGES)
+    carried, ids = [], []
     for r in records:
         head, _, rest = bytes(r["record"]).partition(b"\r\n\r\n")
         length = int(re.search(rb"\r\nContent-Length: (\d+)$", head)[1])
         assert head.startswith(b"WARC/1.1\r\nWARC-Type: ") and len(rest) == length + 4 and rest.endswith(b"\r\n\r\n")
         http, _, payload = rest[:-4].partition(b"\r\n\r\n")
         revisit = b"WARC-Type: revisit" in head.split(b"\r\n")
-        assert http.startswith(b"HTTP/1.1 200 OK") and payload == (b"" if revisit else bytes(r["payload"]))
+        assert http.startswith(b"HTTP/1.1 200 OK") and re.search(rb"\r\nWARC-Date: \d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ\r\n", head)
+        ids.append(re.search(rb"\r\nWARC-Record-ID: <(.*?)>\r\n", head)[1])
+        if revisit:
+            assert payload == b"" and int(re.search(rb"\r\nWARC-Refers-To: <urn:page:(\d+):", head)[1]) == {1: 2, None: 2, 3: 4}[r["page_id"]]
+        else:
+            carried.append((r["page_id"], payload))
+    # page 2 stands twice with one payload, and its repeated record has one id; all others have their own
+    want = [(i, (html or "").encode()) for i, _, html in PAGES if (i, html) not in ((1, "<p>one</p>"), (None, "<p>one</p>"), (3, None))]
+    assert Counter(carried) == Counter(want) and len(set(ids)) == len(PAGES) - 1
+
+
+def test_records_whose_lengths_lie_stop_the_reader(spark, tmp_path):
+    path = f"file://{tmp_path}/archive"
+    warc.write_archive(pages_of(spark), path)
+    bad = [(r["page_id"], r["address"], r["whole"], bytearray(bytes(r["header"]).replace(b"Content-Length: ", b"Content-Length: 1", 1))) for r in spark.read.parquet(f"{path}/headers").collect()]
+    spark.createDataFrame(bad, "page_id long, address string, whole boolean, header binary").write.mode("overwrite").parquet(f"{path}/headers")
+    with pytest.raises(Exception, match="length differs"):
+        warc.read_records(spark, path).collect()
 
 
 def test_damaged_payloads_stop_the_reader(spark, tmp_path):
