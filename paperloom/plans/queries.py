@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import documents
 from ..functions import text as X
-from ..functions.documents import event_json as event_json_of
 from ..operators import checkpoint, graph, tables
-from . import extensions, serve
+from ..sources import feed, models
+from . import extensions, ingest, serve
 from .testdata import graph as test_graph
 from .testdata import reader_graph, table, tags
 
@@ -182,6 +183,52 @@ def backoff(spark, d):
     return spark.range(3).select(F.col("id").alias("attempt"), X.backoff_seconds(F.col("id")).alias("seconds"))
 
 
+def _entries(spark, d):
+    """Pages as entries of a feed: some without an update, a category or a link of their own."""
+    none = F.lit(None)
+    third = F.col("page_id") % 3
+    term = lambda c: F.struct(c.alias("_term"))
+    return table(spark, d, "pages").select(
+        F.col("url").alias("id"),
+        F.concat(F.lit("Title\n of "), F.col("page_id").cast("string")).alias("title"),
+        F.array(F.struct(F.lit("A").alias("name")), F.struct(F.concat(F.lit("B"), third.cast("string")).alias("name"))).alias("author"),
+        F.array(F.struct(F.lit("http://pdf.example/x").alias("_href"), F.lit("related").alias("_rel")), F.struct(F.concat(F.lit("http://a.example/abs/"), F.col("page_id").cast("string")).alias("_href"), none.cast("string").alias("_rel"))).alias("link"),
+        F.lit("2024-01-01T00:00:00Z").alias("published"),
+        F.when(third == 0, F.lit("2024-02-01T00:00:00Z")).alias("updated"),
+        F.when(third > 0, term(F.lit("cs.LG"))).alias("primary_category"),
+        F.when(third > 0, F.array(term(F.lit("cs.LG")), term(F.concat(F.lit("c"), third.cast("string"))))).alias("category"),
+        F.lit("s").alias("summary"),
+        F.col("page_id").alias("pos"),
+    )
+
+
+@query("""select page_id as pos, split_part(url, '/', -1) as id, 'Title  of ' || page_id as title, 'A|B' || page_id % 3 as authors, 'http://a.example/e-print/' || page_id as source_url,
+case when page_id % 3 = 0 then '2024-02-01T00:00:00Z' else '2024-01-01T00:00:00Z' end as updated, case when page_id % 3 > 0 then 'cs.LG' end as primary_category,
+case when page_id % 3 > 0 then 'cs.LG|c' || page_id % 3 else '' end as categories from pages""")
+def feed_tasks(spark, d):
+    """Entries as tasks."""
+    rows = feed.tasks(_entries(spark, d))
+    return rows.select("pos", "id", "title", F.array_join("authors", "|").alias("authors"), "source_url", "updated", "primary_category", F.array_join("categories", "|").alias("categories"))
+
+
+@query("select page_id as pos, 'http://a.example/pdf/' || page_id || '.pdf' as pdf_url from pages")
+def feed_tasks_legacy(spark, d):
+    return feed.legacy_tasks(_entries(spark, d)).select("pos", "pdf_url")
+
+
+@query("select doc_id from documents where lang in ('en', 'de') or source in ('en', 'de')")
+def category_filter(spark, d):
+    """Records in any of the wanted categories."""
+    return table(spark, d, "documents").where(feed.in_categories(F.array("lang", "source"), ["en", "de"])).select("doc_id")
+
+
+@query("select event_id, case when event_id % 2 = 0 then date_trunc('second', ts) end as at from events")
+def wall_times(spark, d):
+    """Times as text, every other one broken."""
+    iso = F.when(F.col("event_id") % 2 == 0, F.date_format("ts", ISO)).otherwise(F.lit("soon"))
+    return table(spark, d, "events").select("event_id", X.wall_time(iso).alias("at"))
+
+
 # -- keyed tables
 
 _FIRST = "select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by ts, event_id) as n from events) where n = 1"
@@ -355,16 +402,93 @@ def suffix_filter(spark, d):
 
 @query("select event_id, cast(json_extract_string(props, '$.k') as bigint) as k, 'none' as missing from events")
 def json_extract(spark, d):
-    from ..functions import documents as D
-
-    doc = D.parsed(F.col("props"))
-    return table(spark, d, "events").select("event_id", F.try_variant_get(doc, "$.k", "long").alias("k"), D.text_field(doc, "absent", "none").alias("missing"))
+    doc = documents.parsed(F.col("props"))
+    return table(spark, d, "events").select("event_id", F.try_variant_get(doc, "$.k", "long").alias("k"), documents.text_field(doc, "absent", "none").alias("missing"))
 
 
 @query("select event_id, '{\"event\":\"' || event_type || '\",\"id\":\"' || event_id || '\"}' as event from events")
 def event_json(spark, d):
     """Events as they are published: a null title is left out."""
-    return table(spark, d, "events").select("event_id", event_json_of(F.col("event_type"), F.col("event_id")).alias("event"))
+    return table(spark, d, "events").select("event_id", documents.event_json(F.col("event_type"), F.col("event_id")).alias("event"))
+
+
+@query("select event_id, case when event_id % 3 = 0 then event_type else 'Node' end as label from events")
+def first_labels(spark, d):
+    """The first of several labels; none, and no list, is a plain node."""
+    third = F.col("event_id") % 3
+    labels = F.when(third == 0, F.array(F.col("event_type"), F.lit("Other"))).when(third == 1, F.array().cast("array<string>"))
+    return table(spark, d, "events").select("event_id", X.first_label(labels).alias("label"))
+
+
+@query("select doc_id, length(text)::bigint as chars from (select doc_id, substr(text, 1, 100) as text from documents)")
+def prompts(spark, d):
+    """What of a text goes into a prompt, by its length beside the prompt's own."""
+    asked = models.prompted(F.col("text"), 100)
+    return table(spark, d, "documents").select("doc_id", (F.length(asked) - len(models.PROMPT)).cast("long").alias("chars"))
+
+
+@query("select p_name as name from part")
+def model_catalogue(spark, d):
+    """Names out of catalogue answers, a list in each."""
+    part = table(spark, d, "part").groupBy(F.col("p_partkey") % 7).agg(F.collect_list(F.struct(F.col("p_name").alias("name"))).alias("models"))
+    return models.catalogue(part.select(F.to_json(F.struct("models")).alias("value")))
+
+
+@query("select page_id, starts_with(replace(url, 'https://', '/api/'), '/api') as limited from pages")
+def limited_paths(spark, d):
+    return table(spark, d, "pages").select("page_id", serve.is_limited(F.replace("url", F.lit("https://"), F.lit("/api/"))).alias("limited"))
+
+
+_KINDS = 8
+
+
+def _found(spark, d):
+    """Orders as tasks whose texts, answers and vectors take every form."""
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("id"), (F.col("o_orderkey") % _KINDS).alias("kind"))
+    tasks = rows.select("id", F.lit("t").alias("title"), F.array(F.lit("A")).alias("authors"), F.array(F.lit("c")).alias("categories"), F.when(F.col("kind") != 0, F.lit("u")).alias("source_url"), F.lit("2024-03-20T15:30:00Z").alias("published"), F.lit("s").alias("summary_raw"), F.lit(1).alias("arrival"))
+    answer = F.element_at(F.array(*map(F.lit, ("{}", '{"tldr": "x", "institutions": ["i"]}', '{"tldr": null}', "[1]", "{", "0", '{"tldr": "y"}', '{"tldr": "z", "institutions": ["i", null]}'))), F.col("kind").cast("int") + 1)
+    answers = rows.select("id", F.when(F.col("kind") != 5, answer).alias("answer"), F.lit(None).cast("string").alias("error"))
+    vectors = rows.select("id", F.when(F.col("kind") == 6, F.array(F.lit(1.0))).when(F.col("kind") != 2, F.array(F.lit(1.0), F.lit(2.0))).cast("array<float>").alias("embedding"), F.lit(None).cast("string").alias("error"))
+    texts = rows.where("kind <> 0").select("id", F.lit("text").alias("text"), F.lit(None).cast("string").alias("error"))
+    return tasks, ingest.outcome(tasks, texts, answers, vectors, 2)
+
+
+@query(f"""select o_orderkey::varchar as id, case o_orderkey % {_KINDS} when 0 then 'FAILED' when 1 then 'ENRICHED' when 2 then 'ENRICHED' when 3 then 'FAILED' when 4 then 'FAILED' when 5 then 'SKIPPED' when 6 then 'FAILED' else 'LATE_FAILED' end as outcome,
+case o_orderkey % {_KINDS} when 1 then 'x' when 2 then null when 6 then 'y' when 7 then 'z' when 4 then null when 5 then null when 3 then null else '' end as tldr from orders""")
+def outcomes(spark, d):
+    """What becomes of papers: answers that are missing, empty, broken or no object, vectors of a wrong size, null names."""
+    given = documents.is_object(documents.parsed(F.col("answer")))
+    return _found(spark, d)[1].select("id", "outcome", F.when(given, F.col("tldr")).alias("tldr"))
+
+
+@query(f"""select o_orderkey::varchar as id, case when o_orderkey % {_KINDS} in (1, 2) then 'ENRICHED' when o_orderkey % {_KINDS} = 5 then 'PROCESSING' else 'FAILED' end as status,
+case o_orderkey % {_KINDS} when 1 then 'x' when 7 then 'z' end as tldr_ai, o_orderkey % {_KINDS} in (1, 7) as has_vector from orders""")
+def lifecycle(spark, d):
+    """Papers after a whole batch: first insert, then what was found."""
+    tasks, found = _found(spark, d)
+    state = ingest.enriched(ingest.added(ingest.empty_state(spark), tasks, "arrival"), found)
+    return state.papers.select("id", "status", "tldr_ai", F.col("embedding").isNotNull().alias("has_vector"))
+
+
+@query(f"""select o_orderkey as event_id, 'NEW_PAPER' as event from orders union all select o_orderkey, 'PAPER_ENRICHED' from orders where o_orderkey % {_KINDS} in (1, 2)""")
+def lifecycle_events(spark, d):
+    tasks, found = _found(spark, d)
+    state = ingest.enriched(ingest.added(ingest.empty_state(spark), tasks, "arrival"), found)
+    return state.events.select(F.col("id").cast("long").alias("event_id"), "event")
+
+
+@query("""select c_custkey::varchar as id, case when c_custkey % 4 = 0 then 'no title' when c_custkey % 4 = 1 then 'published is no time' when c_custkey % 4 = 2 then 'a name is null' end as reason from customer where c_custkey % 4 < 3""")
+def quarantine(spark, d):
+    """Tasks that can't be stored, and why."""
+    kind = F.col("c_custkey") % 4
+    rows = table(spark, d, "customer").select(
+        F.col("c_custkey").cast("string").alias("id"),
+        F.when(kind != 0, F.col("c_name")).alias("title"),
+        F.when(kind == 1, F.lit("soon")).otherwise(F.lit("2024-03-20T15:30:00Z")).alias("published"),
+        F.array(F.lit("A"), F.when(kind != 2, F.lit("B"))).alias("authors"),
+        F.array(F.lit("c")).alias("categories"),
+    )
+    return ingest.sound(rows)[1].select("id", "reason")
 
 
 # -- extensions
