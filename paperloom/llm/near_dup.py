@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, extended
-from .shared import Scratch, strings
+from .shared import Scratch, materialize, strings
 from .words import codes_of, mixed, shingles, words_of
 
 BANDS, ROWS = 32, 6

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .fm_index import FMIndex
 from .shared import Scratch, shuffle_partitions, strings
-from .words import codes_of, mixed, words_of
+from .words import codes_of, mixed
 
 WINDOW = 13
 ANCHOR = 4

@@ -16,7 +16,6 @@ in the order of (id, text), nulls first; no rows make no files.
 from __future__ import annotations
 
 import struct
-import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
