@@ -27,6 +27,8 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """
     scratch = Scratch(edges.sparkSession)
     now = scratch.table(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    if now.isEmpty():
+        return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     seen = None
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -10,7 +10,7 @@ One file holds the documents of one range of ids, in ascending order:
 A reader fetches the tail, and then only the frames of the documents it was asked for.
 
 Defined results: a null text is empty (only the end id); rows with equal or null ids are all kept,
-in the order of (id, text), nulls first; no rows make no files.
+in the order of the id, nulls first, then of a hash of the text; no rows make no files.
 """
 
 from __future__ import annotations
@@ -168,7 +168,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
         fs.move(attempt, name)
         yield pa.RecordBatch.from_pydict({"shard": [shard], "file": [f"ids-{shard:06d}.zst"], "n_docs": [n_docs], "n_ids": [n_ids]})
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # rows that share an id, or have none, may be many: the range goes by a hash too
+    ordered = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     return ordered.mapInArrow(write, "shard long, file string, n_docs long, n_ids long")
 
 
