@@ -53,7 +53,7 @@ class FMIndex:
 
     Suffixes are ordered by their first ``reach`` symbols, by doubling; that is all that matches of
     this length can tell apart. Of the last column only its runs are kept: a wavelet tree over the
-    runs' symbols, where each run starts, and the lengths of each symbol's runs added up. Neither the
+    runs' symbols, where each run starts (with a bit for each place), and the lengths of each symbol's runs added up. Neither the
     text nor its order stays. ``values`` gives each piece a number; a suffix keeps the rank of its
     piece's number in 32 bits.
     """
@@ -71,7 +71,9 @@ class FMIndex:
         self.length = len(text)
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=sigma))]).astype(np.int32)
         last = text[order - 1]  # the symbol before each suffix
-        self.run_start = np.flatnonzero(np.concatenate([[True], last[1:] != last[:-1]])).astype(np.int32)
+        starts_run = np.concatenate([[True], last[1:] != last[:-1]])
+        self.marks = BitVector(starts_run)
+        self.run_start = np.flatnonzero(starts_run).astype(np.int32)
         self.run_symbol = last[self.run_start]
         self.tree = WaveletTree(self.run_symbol, sigma)
         by_symbol = np.argsort(self.run_symbol, kind="stable")
@@ -83,7 +85,7 @@ class FMIndex:
 
     def before(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How often each symbol stands in the last column before each position."""
-        run = np.searchsorted(self.run_start, at, side="right") - 1
+        run = np.maximum(self.marks.rank(at) - 1, 0)  # of the place before
         whole = self.run_first[symbol] + self.tree.rank(symbol, run)
         partly = np.where(self.run_symbol[run] == symbol, at - self.run_start[run], 0)
         return self.run_sum[whole] - self.run_sum[self.run_first[symbol]] + partly
@@ -109,13 +111,14 @@ class FMIndex:
             out[at] = np.minimum(least[low[at]], least[high[at] - (1 << k)])
         return self.ranked[out]
 
-    def matching_statistics(self, query: np.ndarray, lengths: np.ndarray, reach: int, indexed: bool = False, block: int = 1 << 17) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def matching_statistics(self, query: np.ndarray, lengths: np.ndarray, reach: int, indexed: bool = False, least: int = 1, block: int = 1 << 17) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Stream pieces (raw symbols, one after the other) through the index.
 
         For each end in ``query`` the length of the longest match that ends there, up to ``reach``
         and within the end's own piece, and the interval of suffixes that start with the match.
         ``indexed`` says that the pieces are in the index: a match whose interval is a single suffix
-        is then the piece itself, and its length is known without further steps.
+        is then the piece itself, and its length is known without further steps. Ends that have no
+        room for a match of ``least`` are left at 0.
         """
         ends = np.cumsum(lengths)
         room = np.arange(len(query)) - np.repeat(ends - lengths, lengths) + 1
@@ -126,7 +129,7 @@ class FMIndex:
         length = np.zeros(len(query), np.int32)
         low, high = np.zeros(len(query), np.int32), np.zeros(len(query), np.int32)
         for begin in range(0, len(query), block):
-            live = begin + np.flatnonzero(known[begin : begin + block])
+            live = begin + np.flatnonzero(known[begin : begin + block] & (room[begin : begin + block] >= least))
             length[live], low[live], high[live] = 1, self.first[symbol[live]], self.first[symbol[live] + 1]
             for n in range(1, reach):
                 live = live[room[live] > n]

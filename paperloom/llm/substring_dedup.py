@@ -269,7 +269,7 @@ def _least_owners(blobs: list[bytes], size: int) -> Iterator[bytes]:
     np.minimum.at(least, of, owner)
     where, _ = _spread((ends - length)[first], length[first])
     index = FMIndex(codes[where], length[first], least, size)
-    matched, low, high = index.matching_statistics(codes[where], length[first], size, indexed=True)
+    matched, low, high = index.matching_statistics(codes[where], length[first], size, indexed=True, least=size)
     # every window of the passages is in the index, so every end with enough room reaches the threshold
     at = np.flatnonzero(matched >= size)
     found = index.least_values(low[at], high[at])
