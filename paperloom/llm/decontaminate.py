@@ -93,7 +93,7 @@ def phrase_matches(index: DataFrame, windows: DataFrame, scratch: Scratch) -> Da
         first = block.select("win_id", "length", F.col("by")[0]["term_id"].alias("term_id"), F.col("by")[0]["offset"].alias("offset"))
         starts = postings.join(F.broadcast(first), "term_id").select("row", "win_id", "length", (F.col("pos") - F.col("offset")).alias("start")).where("start >= 0")
         # the next rarest list
-        second = block.select("win_id", F.col("by")[1]["term_id"].alias("term_id"), F.col("by")[1]["offset"].alias("offset")).where("term_id is not null")
+        second = block.select("win_id", F.get("by", F.lit(1))["term_id"].alias("term_id"), F.get("by", F.lit(1))["offset"].alias("offset")).where("term_id is not null")
         lists = postings.join(F.broadcast(second.select("term_id").distinct()), "term_id", "left_semi")
         both = starts.where("length > 1").join(F.broadcast(second), "win_id").withColumn("pos", F.col("start") + F.col("offset")).join(lists, ["row", "term_id", "pos"])
         both = scratch.table(starts.where("length = 1").select("row", "win_id", "start", "length").unionByName(both.select("row", "win_id", "start", "length")), "starts")
