@@ -26,13 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import Scratch
+from .shared import SENT_KEYS, Scratch, sent_if_few
 
 WINDOW = 13
 BLOCK_WINDOWS = 50_000
 BLOCK_TERMS = 500_000
-#: Documents whose numbers are sent to every task; more are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = SENT_KEYS
 #: ASCII characters that aren't part of words (after lower-casing A-Z).
 _GAPS = "".join(chr(c) for c in range(0x80) if not chr(c).isdigit() and not chr(c).islower())
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -77,8 +76,7 @@ def positional_index(docs: DataFrame, terms: DataFrame, scratch: Scratch) -> Dat
 
 def _near(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """Postings of the wanted documents (row, distinct)."""
-    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return rows.join(F.broadcast(wanted) if few else wanted, "row", "left_semi")
+    return rows.join(sent_if_few(wanted, BROADCAST_ROWS), "row", "left_semi")
 
 
 def phrase_matches(index: DataFrame, windows: DataFrame, scratch: Scratch) -> DataFrame:
@@ -163,6 +161,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW
 
 def uncontaminated(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: int = 20) -> DataFrame:
     """The rows of ``documents``, all columns, that aren't contaminated."""
-    bad = contamination(documents, benchmark, size, share).where("contaminated").select("doc_id", "text_hash").distinct()
-    hashed = documents.withColumn("_paperloom_hash", F.coalesce(F.xxhash64(F.col("text").cast("string")), F.lit(0)))
-    return hashed.join(bad, F.col("_paperloom_hash").eqNullSafe(bad["text_hash"]) & hashed["doc_id"].cast("long").eqNullSafe(bad["doc_id"]), "left_anti").select(*documents.columns)
+    bad = sent_if_few(contamination(documents, benchmark, size, share).where("contaminated").select(F.col("doc_id").alias("_paperloom_id"), F.col("text_hash").alias("_paperloom_hash")).distinct(), BROADCAST_ROWS)
+    text_hash = F.coalesce(F.xxhash64(F.col("text").cast("string")), F.lit(0))
+    same = text_hash.eqNullSafe(F.col("_paperloom_hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_paperloom_id"))
+    return documents.join(bad, same, "left_anti").select(*documents.columns)

@@ -34,15 +34,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, extended
-from .shared import Scratch, materialize, strings
+from .shared import SENT_KEYS, Scratch, materialize, sent_if_few, strings
 from .words import codes_of, mixed, shingles, words_of
 
 BANDS, ROWS = 32, 6
 SIZE = BANDS * ROWS
 #: Buckets of so many classes compare all that is undecided; larger ones are split.
 DIRECT = 512
-#: Ids that are sent to every task; more are joined by a shuffle.
-BROADCAST_IDS = 500_000
+BROADCAST_IDS = SENT_KEYS
 #: Sets that one task holds against the same set, at most.
 SHARE = 2048
 #: 64-bit columns that hold the parities of a set.
@@ -140,7 +139,7 @@ def _sets(docs: DataFrame, asked: DataFrame, words: int) -> DataFrame:
                 some = batch.slice(at, 512)
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array([shingle_set(t, words).astype(np.int64) for t in strings(some.column(1))], pa.list_(pa.int64()))], names=["a", "codes"])
 
-    asked = F.broadcast(asked) if asked.count() <= BROADCAST_IDS else asked
+    asked = sent_if_few(asked, BROADCAST_IDS)
     return docs.select(F.col("doc_id").alias("a"), "text").join(asked, "a", "left_semi").mapInArrow(sets, "a long, codes array<long>")
 
 
@@ -355,19 +354,20 @@ def one_of_each(documents: DataFrame, words: int = 5, threshold: int = 80) -> Da
     judged = _judged(documents, words, threshold, True)
     doc_id = F.col("doc_id").cast("long")
     gone = judged.where("not kept and doc_id is not null").select(F.col("doc_id").alias("_paperloom_id")).distinct()
-    known = documents.where(doc_id.isNotNull()).join(gone, doc_id == F.col("_paperloom_id"), "left_anti")
+    known = documents.where(doc_id.isNotNull()).join(sent_if_few(gone, BROADCAST_IDS), doc_id == F.col("_paperloom_id"), "left_anti")
     loose = judged.where("doc_id is null and digest is not null").select("digest", "component_id", "text_hash").distinct()
     first = loose.groupBy("digest").agg(F.min("text_hash").alias("first"))
     settled = loose.join(first, "digest").where("component_id is not null or text_hash <> first").select(F.col("text_hash").alias("_paperloom_text")).distinct()
-    unknown = documents.where(doc_id.isNull()).join(settled, _text_hash() == F.col("_paperloom_text"), "left_anti")
+    unknown = documents.where(doc_id.isNull()).join(sent_if_few(settled, BROADCAST_IDS), _text_hash() == F.col("_paperloom_text"), "left_anti")
 
     has_words = F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     key = F.when(doc_id.isNotNull() | has_words, F.struct(doc_id.isNull().alias("no_id"), F.coalesce(doc_id, F.lit(0)).alias("id"), F.coalesce(_text_hash(), F.lit(b"")).alias("text")))
-    rows = known.unionByName(unknown).withColumn("_paperloom_key", key)
     # only digests are grouped over all rows; texts of repeated rows alone
-    repeated = materialize(rows.where("_paperloom_key is not null").groupBy("_paperloom_key").agg(F.count("*").alias("n")).where("n > 1").select("_paperloom_key"), "repeated")
+    repeated = materialize(documents.select(key.alias("_paperloom_key")).where("_paperloom_key is not null").groupBy("_paperloom_key").agg(F.count("*").alias("n")).where("n > 1").select("_paperloom_key"), "repeated")
+    rows = known.unionByName(unknown)
     if repeated.isEmpty():
-        return rows.drop("_paperloom_key")
+        return rows
+    rows, repeated = rows.withColumn("_paperloom_key", key), sent_if_few(repeated, BROADCAST_IDS)
     single = rows.join(repeated, "_paperloom_key", "left_anti")
     several = rows.join(repeated, "_paperloom_key", "left_semi").dropDuplicates(["_paperloom_key"])
     return single.unionByName(several).drop("_paperloom_key")

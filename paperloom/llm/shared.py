@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -87,6 +88,15 @@ class Scratch:
         return made
 
 
+#: Keys that are sent to every task (a few MB); more are joined by a shuffle.
+SENT_KEYS = 500_000
+
+
+def sent_if_few(keys: DataFrame, most: int = SENT_KEYS) -> DataFrame:
+    """Keys marked for a broadcast if a count finds at most so many; the same keys, unmarked, else."""
+    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
+
+
 def strings(column: pa.ChunkedArray | pa.Array) -> Iterator[str | None]:
     """Values of a string column, a few at a time, so that no second copy of a whole batch is held."""
     for at in range(0, len(column), 256):
