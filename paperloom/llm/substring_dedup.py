@@ -238,7 +238,7 @@ def _ask(asked: DataFrame, answer, shards: int) -> DataFrame:
         for shard, chunks, blobs in _by_shard(batches):
             yield _rows([(shard, c, b) for c, b in zip(chunks, answer(blobs), strict=True)])
 
-    served = asked.repartition(shards, "shard").sortWithinPartitions("shard", "chunk").mapInArrow(serve, _EXCHANGE)
+    served = asked.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "chunk").mapInArrow(serve, _EXCHANGE)
     # a chunk hears from each shard once: what it gathers is bounded by its own size
     return served.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("shard", "blob"))).alias("answers"))
 
