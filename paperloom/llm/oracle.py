@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import WINDOW
+from .spelling import LEAST_CHARS, LEAST_COUNT
 from .url_filter import GLOBS, NAMED
 from .warc import BASE32
 
@@ -90,3 +91,63 @@ r as (select *, case {" ".join(f"when {_fits(r)} then '{r.name}'" for r in _LONG
 select page_id, host, path, rule, case {" ".join(f"when rule = '{r.name}' then '{r.verdict}'" for r in NAMED)}
 when {" or ".join(map(_glob, GLOBS))} then 'block' else 'allow' end as verdict from r
 """
+
+
+def _crc32(bytes_list: str) -> str:
+    """The checksum of a list of bytes; ``crc`` is the column of ``crc_table``, which has one row."""
+    return f"xor(list_reduce({bytes_list}, lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+
+
+#: One bit of the checksum's polynomial division.
+_STEP = "xor({0} >> 1, 3988292384 * ({0} & 1))"
+
+
+def _crc_table() -> str:
+    inner = "select n, n::bigint as x from (select unnest(range(256)) as n)"
+    for _ in range(8):
+        inner = f"select n, {_STEP.format('x')} as x from ({inner})"
+    return f"crc_table as (select list(x order by n) as crc from ({inner}))"
+
+
+def _bytes(text: str) -> str:
+    return f"list_transform(range(0, octet_length(encode({text}))), lambda k: ('0x' || substr(hex(encode({text})), 2 * k + 1, 2))::bigint)"
+
+
+OP11 = f"""
+with {_crc_table()},
+t as (select conv_id, turn, length(coalesce(role, ''))::varchar || ':' || coalesce(role, '') || coalesce(text, '') as said, length(coalesce(text, '')) as chars from conversations where conv_id is not null),
+p as (select conv_id, sha256(said) as dig, chars, row_number() over (partition by conv_id order by turn nulls first, sha256(said)) as pos from t),
+c as (select conv_id, conv_id - conv_id % 100 as family, {_crc32(_bytes("conv_id::varchar"))} % 6 as h from (select distinct conv_id from p), crc_table),
+r as (select c.conv_id, 1 as late, pos, dig, chars from c join p using (conv_id) where pos > h
+union all select c.conv_id, 0, pos, dig, chars from c join p on p.conv_id = family where pos <= h),
+d as (select conv_id, dig, chars, row_number() over (partition by conv_id order by late, pos) as depth from r),
+k as (select conv_id, depth, chars, string_agg(dig, '' order by depth) over (partition by conv_id order by depth) as key from d union all select conv_id, 0, 0, '' from c),
+ends as (select conv_id, arg_max(key, depth) as key from k group by conv_id),
+said as (select key, string_agg(conv_id::varchar, ',' order by conv_id) as ids from ends group by key),
+n as (select key, any_value(depth) as depth, any_value(chars) as chars, min(conv_id) as conv_id, count(*) as n_convs from k group by key),
+a as (select n.key, up.key as above from n join k up on up.conv_id = n.conv_id and up.depth <= n.depth),
+kids as (select above as key, count(*) as n_children from a join n using (key) join n m on m.key = a.above where n.depth = m.depth + 1 group by above),
+sums as (select above as key, count(*) filter (where kids.key is null) as n_leaves, sum((n_convs - 1) * chars) as saved from a join n using (key) left join kids using (key) group by above),
+parent as (select n.key, m.conv_id as parent_conv_id from n join a using (key) join n m on m.key = a.above where m.depth = n.depth - 1)
+select n.conv_id::bigint as conv_id, depth::bigint as depth, parent_conv_id::bigint as parent_conv_id, n_convs::bigint as n_convs, coalesce(n_children, 0)::bigint as n_children,
+n_leaves::bigint as n_leaves, saved::bigint as saved_tokens, sha256(coalesce(ids, '')) as ends_sha256
+from n join sums using (key) left join kids using (key) left join parent using (key) left join said using (key)
+"""
+
+_RUNS = f"regexp_extract_all({_LOWER.format('text')}, '[A-Za-z{chr(0xC0)}-{chr(0xFF)}]+')"
+
+OP13 = f"""
+with recursive {_crc_table()},
+o as (select doc_id, unnest({_RUNS}) as run from documents),
+g as (select doc_id, run, count(*) as n from o group by all),
+h as (select run, n, {_crc32(_bytes("coalesce(doc_id::varchar, '') || ':' || run"))} as h from g, crc_table),
+s as (select case when h % 97 = 0 then substr(run, 1, (h % length(run))::bigint) || substr(run, (h % length(run))::bigint + 2) else run end as word, n from h),
+w as (select word, sum(n)::bigint as n from s where length(word) >= {LEAST_CHARS} group by word having sum(n) >= {LEAST_COUNT}),
+cut as (select word, n, k, substr(word, 1, k - 1) as head, substr(word, k + 1) as tail from (select word, n, unnest(range(1, length(word) + 1)) as k from w)),
+near as (select x.word, y.word as other, y.n from cut x join cut y on x.k = y.k and x.head = y.head and x.tail = y.tail and x.word <> y.word
+union select cut.word, w.word, w.n from cut join w on w.word = head || tail union select w.word, cut.word, cut.n from cut join w on w.word = head || tail),
+b as (select word, count(*) as n_near, arg_min(other, (-n, other)) as best, max(n) as best_n from near group by word),
+f as (select w.word, w.n, coalesce(n_near, 0)::bigint as n_near, case when best_n >= 2 * w.n then best end as form, case when best_n >= 2 * w.n then best_n end as form_n from w left join b using (word)),
+walk as (select word, word as top from f union all select walk.word, f.form from walk join f on f.word = top where f.form is not null)
+select f.word, f.form, top as root, f.n, f.n_near, f.form_n::bigint as form_n from f join walk using (word) join f last on last.word = top and last.form is null
+"""

@@ -73,9 +73,27 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_decontaminate, op3_pii, op4_packing, op5_near_dup, op6_warc, op7_token_files, op8_topk, op9_url_filter, op10_quality)}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import conversation_trie
 
-#: SQL can't express the tokenizers' ids (4, 7), the field (3) and the classifier (10).
+    return conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import encoded_digests
+
+    return encoded_digests(_table(spark, sf_dir, "documents"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import spelling_groups
+
+    return spelling_groups(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_decontaminate, op3_pii, op4_packing, op5_near_dup, op6_warc, op7_token_files, op8_topk, op9_url_filter, op10_quality, op11_prefix_trie, op12_bpe, op13_spelling)}
+
+#: SQL can't express the tokenizers' ids (4, 7, 12), the field (3) and the classifier (10).
 ORACLE: dict[str, str] = {
     "op1_substring_dedup": oracle.OP1,
     "op2_decontaminate": oracle.OP2,
@@ -83,4 +101,6 @@ ORACLE: dict[str, str] = {
     "op6_warc": oracle.OP6,
     "op8_topk": oracle.OP8,
     "op9_url_filter": oracle.OP9,
+    "op11_prefix_trie": oracle.OP11,
+    "op13_spelling": oracle.OP13,
 }
