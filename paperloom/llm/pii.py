@@ -21,8 +21,10 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -424,13 +426,16 @@ def fit_field(documents: DataFrame, sample_docs: int = SAMPLE_DOCS) -> SemiMarko
 
 
 def added_spans(text: str, base: list[tuple[int, int, int]], field: SemiMarkovField) -> list[tuple[int, int, int]]:
-    """The field's spans that touch none of the fixed patterns'."""
+    """The field's spans that touch none of the fixed patterns' (``base``, in order)."""
     out = []
+    starts = [s for s, _, _ in base]
+    ends = list(accumulate((e for _, _, e in base), max))
     for region in regions(text):
         offsets = region.offsets
         for i, kind, j in field.decode(region):
             start, end = offsets[i], offsets[j]
-            if not any(start < e and s < end for s, _, e in base):
+            before = bisect_left(starts, end)
+            if not before or ends[before - 1] <= start:
                 out.append((start, kind, end))
     return out
 

@@ -606,3 +606,26 @@ def test_each_stage_equals_brute_force(spark):
     for p in pieces:
         lengths[p["doc_id"]] += p["length"]
     assert lengths == {i: len(encode([t])[0]) // 4 for i, t in rows}
+
+
+def test_added_spans_of_a_long_text(spark):
+    """A text of a megabyte with a match in every line, against the test of each span with each."""
+    from paperloom.llm import pii
+
+    class AllWords:
+        def decode(self, region):
+            return [(k, 3, k + 1) for k in range(0, len(region.tokens) - 1, 2)]
+
+    line = "mail a.b@c.example.com or 10.0.0.1, call 555 0134, or 4111 1111 1111 1111; ask 77 for it\n"
+    text = line * 40
+    base = pii.base_spans(text)
+    want = [(r.offsets[i], 3, r.offsets[i + 1]) for r in pii.regions(text) for i in range(0, len(r.tokens) - 1, 2)]
+    want = [s for s in want if not any(s[0] < e and b < s[2] for b, _, e in base)]
+    assert want and pii.added_spans(text, base, AllWords()) == want
+    text = line * 11_000
+    import time
+
+    base = pii.base_spans(text)
+    began = time.perf_counter()
+    assert len(pii.added_spans(text, base, AllWords())) == len(want) * 11_000 // 40
+    assert time.perf_counter() - began < 8
