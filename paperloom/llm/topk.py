@@ -16,7 +16,8 @@ Sizes: ``PIVOTS`` pivots from ``PIVOT_SAMPLE`` vectors; one shard's vectors (at
 Defined results: vectors that are null, empty or hold null or non-finite components, and rows
 without an id, take no part; shorter vectors count as padded with zeros; rows with the query's own
 id aren't its candidates; a repeated query is one (of several vectors the least), a repeated
-candidate is several; an empty table gives no rows; other columns are not read.
+candidate is several; components and scores beyond 64 bits count as the largest or least number of
+64 bits; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ PAGE, FANOUT = 128, 16
 #: Queries that go down a tree together.
 QUERY_BLOCK = 256
 K = 20
+LEAST, MOST = -(2**63), 2**63 - 1
 
 
 # -- the tree
@@ -111,9 +113,9 @@ class MTree:
         q = np.hstack([vectors.astype(np.float64), np.zeros((len(vectors), 1))])
         square = (q**2).sum(axis=1) + self.longest
         slack = 1e-9 * square + 1e-6
-        worst = beat.astype(np.float64)
+        worst = beat.astype(np.float64) if self.exact else np.nextafter(beat.astype(np.float64), -np.inf)
         with np.errstate(invalid="ignore"):
-            reach = np.where(np.isfinite(worst), np.sqrt(np.maximum(square - 2 * worst + slack, 0)) + slack**0.5, np.inf)
+            reach = np.where(np.isfinite(worst) & (worst > LEAST), np.sqrt(np.maximum(square - 2 * worst + slack, 0)) + slack**0.5, np.inf)
         best_ids = [np.zeros(0, np.int64) for _ in q]
         best = [np.zeros(0) for _ in q]
         everyone = np.arange(len(q))
@@ -147,14 +149,14 @@ class MTree:
             if self.exact:
                 score = np.rint(q[who] @ points.T)
             else:
-                score = np.array([[sum(int(x) * int(y) for x, y in zip(p[:-1], vectors[w], strict=True)) for p in points] for w in who], object)
+                score = np.array([[min(max(sum(int(x) * int(y) for x, y in zip(p[:-1], vectors[w], strict=True)), LEAST), MOST) for p in points] for w in who], object)
             hit = near & (score >= worst[who][:, None]) & (ids != query_ids[who][:, None])
             for r in np.flatnonzero(hit.any(axis=1)).tolist():
                 w, h = who[r], hit[r]
                 one_ids, one = np.concatenate([best_ids[w], ids[h]]), np.concatenate([best[w], score[r][h]])
                 top = np.lexsort((one_ids, -one))[:k]
                 best_ids[w], best[w] = one_ids[top], one[top]
-                if len(top) == k and best[w][-1] >= worst[w]:
+                if len(top) == k and best[w][-1] >= worst[w] and best[w][-1] > LEAST:
                     worst[w] = best[w][-1] if self.exact else np.nextafter(float(best[w][-1]), -np.inf)
                     reach[w] = np.sqrt(max(0.0, square[w] - 2 * float(worst[w]) + slack[w])) + slack[w] ** 0.5
         found = np.array([len(x) for x in best_ids])

@@ -204,3 +204,16 @@ def test_large_integers_and_repeated_ids(spark):
     # of the two vectors with id 0 the least asks
     got = sorted(tuple(r) for r in topk.top_inner_products(df, "vec_id = 0", 1).collect())
     assert [r[3] for r in got] == [max(product([7, 7, 7], v) for i, v in rows if i)]
+
+
+def test_numbers_beyond_64_bits(spark):
+    most, least = 2**63 - 1, -(2**63)
+    rows = [(k, [x, 1.0]) for k, x in enumerate([1e300, 2.0, -1e300, 1e17, 1e17, 0.0, 3.0])] + [(20, [1e300, -1e300]), (40, [0.5, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    bound = lambda x: max(least, min(most, x))
+    v = {i: [bound(int(64 * a)) for a in x] for i, x in rows}
+    want = []
+    for q in (0, 20, 40):
+        found = sorted((-bound(sum(a * b for a, b in zip(v[q], w, strict=True))), i) for i, w in v.items() if i != q)
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(found)]
+    assert sorted(tuple(r) for r in topk.top_inner_products(topk.integer_vectors(df), "vec_id % 20 = 0").collect()) == want
