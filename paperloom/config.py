@@ -29,6 +29,8 @@ class Config:
     poll_seconds: int = 3600
     fetch_attempts: int = 3
     fetch_wait: int = 5
+    fetch_seconds: int = 30
+    fetch_in_flight: int = 4
     categories: str = "cs.LG,cs.AI"
 
     @property

@@ -21,6 +21,15 @@ def latest_of_each(rows: DataFrame, key: str, value: str, *order: str) -> DataFr
     return rows.groupBy(key).agg(F.max_by(value, F.struct(*order)).alias(value))
 
 
+#: Keys of a batch that are sent to every task (a few MB); more are joined by a shuffle.
+FEW_KEYS = 200_000
+
+
+def few(keys: DataFrame, most: int = FEW_KEYS) -> DataFrame:
+    """Keys marked for a broadcast if a count finds at most so many; the same keys, unmarked, else."""
+    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
+
+
 #: Names on the short side of a comparison by containment that are sent to every task.
 SHORT_LIST = 10_000
 

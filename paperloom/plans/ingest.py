@@ -14,9 +14,10 @@ from ..config import Config, config
 from ..functions import documents as D
 from ..functions.text import object_key, object_url, wall_time
 from ..operators.graph import finding_graph, merge_graph, task_graph
-from ..operators.tables import first_of_each, insert_absent, set_status, update_by_key
+from ..operators.tables import few, first_of_each, insert_absent, set_status, update_by_key
 from ..schemas import EDGES, ENRICHED, EVENTS, FAILED, ID_CHARS, NEW_PAPER, NODES, PAPER, PAPER_ENRICHED, PAPERS, PROCESSING, empty
 from ..sources.archives import extracted
+from ..sources.fetch import Fetch
 from ..sources.models import Ask, Embed, asked, embedded
 from ..sources.objects import store_texts
 
@@ -37,17 +38,19 @@ def empty_state(spark: SparkSession) -> State:
 
 
 def sound(tasks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Tasks that can be stored, and the rest with a reason (they would fail again at every delivery)."""
+    """Tasks that can be stored, and the rest with a reason (they would fail again at every delivery); ``unread`` holds a record that is no task."""
     bad_name = lambda items: F.coalesce(F.exists(items, lambda x: x.isNull()), F.lit(False))
+    unread = F.col("unread") if "unread" in tasks.columns else F.lit(None)
     reason = (
-        F.when(F.col("id").isNull(), "no id")
+        F.when(unread.isNotNull(), "no task")
+        .when(F.col("id").isNull(), "no id")
         .when(F.length("id") > ID_CHARS, "id too long")
         .when(F.col("title").isNull(), "no title")
         .when(F.col("published").isNotNull() & wall_time(F.col("published")).isNull(), "published is no time")
         .when(bad_name("authors") | bad_name("categories"), "a name is null")
     )
     judged = tasks.withColumn("reason", reason)
-    return judged.where("reason is null").drop("reason"), judged.where("reason is not null")
+    return judged.where("reason is null").drop("reason", "unread"), judged.where("reason is not null")
 
 
 def added(state: State, tasks: DataFrame, *order: str) -> State:
@@ -109,7 +112,12 @@ def enriched(state: State, outcomes: DataFrame, endpoint: str = "localhost:9000"
     return replace(state, papers=papers, nodes=nodes, edges=edges, events=events)
 
 
-def outcomes_once(tasks: DataFrame, eprints: DataFrame, ask: Ask, embed: Embed, work: str, settings: Config, store: str | None = None, version: int = 0, order: tuple[str, ...] = ("arrival",)) -> DataFrame:
+def contents(requests: DataFrame, eprints: DataFrame | Fetch) -> DataFrame:
+    """E-prints of requests (id, address): from a table (id, content) by id, or fetched, then with their errors."""
+    return requests.select("id").join(eprints, "id") if isinstance(eprints, DataFrame) else eprints(requests)
+
+
+def outcomes_once(tasks: DataFrame, eprints: DataFrame | Fetch, ask: Ask, embed: Embed, work: str, settings: Config, store: str | None = None, version: int = 0, order: tuple[str, ...] = ("arrival",)) -> DataFrame:
     """Outcomes of sound tasks, from tables below ``work``: each text is extracted and each model is called once.
 
     Papers, graph, events and objects all derive from these tables, so they never see different
@@ -122,7 +130,8 @@ def outcomes_once(tasks: DataFrame, eprints: DataFrame, ask: Ask, embed: Embed,
         return spark.read.schema(df.schema).parquet(f"{work}/{name}")
 
     good = written(first_of_each(tasks, "id", *order).select("id", "source_url"), "tasks")
-    texts = written(extracted(good.where("source_url is not null").select("id").join(eprints, "id")), "texts")
+    asked_for = good.where("source_url is not null").select("id", F.col("source_url").alias("address"))
+    texts = written(extracted(contents(asked_for, eprints)), "texts")
     usable = texts.where("error is null")
     if store is not None:
         store_texts(usable.select("id", "text"), store, version)
@@ -133,8 +142,8 @@ def outcomes_once(tasks: DataFrame, eprints: DataFrame, ask: Ask, embed: Embed,
     return written(found.drop("doc"), "outcomes")
 
 
-def process(state: State, tasks: DataFrame, eprints: DataFrame, ask: Ask, embed: Embed, work: str, settings: Config | None = None, store: str | None = None, version: int = 0, order: tuple[str, ...] = ("arrival",)) -> State:
-    """A batch of tasks with the fetched e-prints (id, content), through all its states; see ``outcomes_once``."""
+def process(state: State, tasks: DataFrame, eprints: DataFrame | Fetch, ask: Ask, embed: Embed, work: str, settings: Config | None = None, store: str | None = None, version: int = 0, order: tuple[str, ...] = ("arrival",)) -> State:
+    """A batch of tasks with its e-prints, stored or fetched, through all its states; see ``outcomes_once``."""
     settings = settings or config(tasks.sparkSession)
     after = added(state, tasks, *order)
     found = outcomes_once(sound(tasks)[0], eprints, ask, embed, work, settings, store, version, order)
@@ -143,7 +152,7 @@ def process(state: State, tasks: DataFrame, eprints: DataFrame, ask: Ask, embed:
 
 def touched(state: State, tasks: DataFrame) -> State:
     """What a batch can change of the state: its own papers, and all paper nodes with their ids."""
-    ids = tasks.where("id is not null").select("id").distinct()
+    ids = few(tasks.where("id is not null").select("id").distinct())
     papers = state.papers.join(ids, "id", "left_semi")
     nodes = state.nodes.where(F.col("label") == PAPER).join(ids, F.col("props")["id"] == ids["id"], "left_semi")
     return replace(state, papers=papers, nodes=nodes, edges=state.edges.where("false"))

@@ -1,4 +1,4 @@
-"""Streams of feed pages, tasks and requests."""
+"""Streams of tasks, through all states of their papers."""
 
 from __future__ import annotations
 
@@ -12,65 +12,21 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..config import Config, config
 from ..functions.documents import event_json
-from ..operators.checkpoint import advanced, emitted, newest, oldest_first
 from ..plans.ingest import State, added, process, touched
-from ..plans.serve import is_limited
 from ..schemas import EDGES, EVENTS, NODES, PAPERS, TASK, empty
-from ..sources.archives import read_eprints
-from ..sources.feed import in_categories, parsed_pages
-from ..sources.feed import tasks as feed_tasks
+from ..sources.fetch import Fetch, Limits, Open, fetched, open_address
 from ..sources.models import Ask, Embed
-from .snapshots import Snapshots
+from .sink import publish, registered
+from .tables import Keyed, KeyedTables
 
-TABLES = {"papers": PAPERS, "nodes": NODES, "edges": EDGES}
-KEYS = {"papers": ["id"], "nodes": ["element_id"], "edges": ["src", "dst", "type"]}
-#: The checkpoint of a polled feed, one row.
-POLL = T.StructType([T.StructField("name", T.StringType()), T.StructField("checkpoint", T.StringType())])
+#: The topic of the events.
+EVENT_TOPIC = "events"
 
 
-# -- from feeds to tasks
-
-
-def poll(feed: DataFrame, checkpoint: str | None, page: int = 100) -> tuple[DataFrame, str | None]:
-    """One poll of a feed (published, pos): the new entries of its page, and the next checkpoint.
-
-    A page is bounded, so its one row of state is the only thing that reaches the driver.
-    """
-    entries = emitted(newest(feed, page), checkpoint)
-    return entries, advanced(entries, checkpoint).first()["checkpoint"]
-
-
-def publish(tasks: DataFrame, queue: str, name: str) -> None:
-    """Append tasks to the queue, a folder of JSON files that ``task_stream`` consumes; the same name replaces its own."""
-    kept = [f.name for f in TASK if f.name in tasks.columns]
-    tasks.select(*kept).write.mode("overwrite").json(f"{queue.rstrip('/')}/batch={name}")
-
-
-def poll_store(spark: SparkSession, root: str) -> Snapshots:
-    """Where polls keep their checkpoints."""
-    return Snapshots(spark, root, {"polls": POLL}, {"polls": ["name"]})
-
-
-def poll_stream(pages: DataFrame, queue: str, state: Snapshots, checkpoint: str, once: bool = False, settings: Config | None = None) -> StreamingQuery:
-    """Poll a stream of feed pages, each micro-batch one poll: new tasks go to the queue, then the checkpoint moves.
-
-    A batch that fails between the two sends its tasks again (at least once). The checkpoint stays
-    where it is if nothing new came. Polls are ``poll_seconds`` apart.
-    """
-    settings = settings or config(pages.sparkSession)
-    wanted = [c for c in settings.categories.split(",") if c]
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        row = state.read("polls", before=batch_id).where("name = 'feed'").first()
-        before = row and row["checkpoint"]
-        rows = feed_tasks(parsed_pages(batch))
-        rows = rows.where(in_categories(F.col("categories"), wanted)) if wanted else rows
-        found, after = poll(rows, before, settings.feed_page)
-        publish(oldest_first(found), queue, str(batch_id))
-        state.write(batch_id, {"polls": batch.sparkSession.createDataFrame([("feed", after)] if after != before else [], POLL)})
-
-    writer = pages.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{settings.poll_seconds} seconds")).start()
+def paper_tables(spark: SparkSession, root: str, buckets: int = 64, keep: int = 20) -> KeyedTables:
+    """The stored papers, nodes and edges. All nodes of papers with one id lie together, whatever their titles."""
+    tables = {"papers": Keyed(PAPERS, ["id"]), "nodes": Keyed(NODES, ["element_id"], "coalesce(props['id'], element_id)"), "edges": Keyed(EDGES, ["src", "dst", "type"])}
+    return KeyedTables(spark, root, tables, buckets, keep)
 
 
 # -- from tasks to papers
@@ -78,65 +34,59 @@ def poll_stream(pages: DataFrame, queue: str, state: Snapshots, checkpoint: str,
 
 @dataclass(frozen=True)
 class Enrichment:
-    """What carries a task beyond its first state: fetched e-prints, models, and where texts are put."""
+    """What carries a task beyond its first state: models, where each batch works, where texts are put, how sources are opened."""
 
-    eprints: str
     ask: Ask
     embed: Embed
     work: str
     store: str | None = None
+    open: Open = open_address
+    tasks: int | None = None  # that fetch at a time
+
+    def fetch(self, settings: Config) -> Fetch:
+        limits = Limits(settings.fetch_attempts, settings.fetch_wait, settings.fetch_seconds, in_flight=settings.fetch_in_flight)
+        return lambda requests: fetched(requests, self.open, limits, self.tasks)
 
 
 def task_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
-    """JSON tasks as they arrive; records that are no task have a null id and go to quarantine.
+    """JSON tasks as they arrive; records that are no task have a null id and go to quarantine, as they are, in ``unread``.
 
     ``origin`` says where in the queue a task stands: its file's time and name, and the part of the file.
     """
-    tasks = spark.readStream.schema(TASK).option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", "true").json(path)
+    lines = T.StructType([*TASK, T.StructField("unread", T.StringType())])
+    tasks = spark.readStream.schema(lines).option("columnNameOfCorruptRecord", "unread").option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", "true").json(path)
     file = F.col("_metadata")
     return tasks.select("*", F.struct(file["file_modification_time"].alias("time"), file["file_path"].alias("file"), file["file_block_start"].alias("part")).alias("origin"))
 
 
 def ingest(
-    tasks: DataFrame, store: Snapshots, checkpoint: str, once: bool = True, enrich: Enrichment | None = None, after: Callable[[State, int], None] | None = None, events: str | None = None, settings: Config | None = None
+    tasks: DataFrame, store: KeyedTables, checkpoint: str, once: bool = True, enrich: Enrichment | None = None, after: Callable[[State, int], None] | None = None, events: str | None = None, settings: Config | None = None
 ) -> StreamingQuery:
-    """Keep papers, nodes and edges up to date; each batch adds only the rows that it changes.
+    """Keep papers, nodes and edges up to date; each batch reads and writes only the buckets of its own keys.
 
-    With ``enrich`` a batch goes through all states. ``events`` is a folder that gets the batch's
-    events as JSON lines. ``after`` gets each batch's rows, events and quarantine.
+    With ``enrich`` a batch goes through all states, and of its sources each is opened once. ``events`` is a folder of
+    topics that gets the batch's events, together and once. ``after`` gets each batch's rows, events and quarantine.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        now_settings = settings or config(spark)
         # of one id the task that stands first in the queue wins; numbers only order rows of one part of a file
         rows = batch.withColumn("n", F.monotonically_increasing_id())
         rows = rows.withColumn("arrival", F.struct(*(["origin"] if "origin" in batch.columns else []), "n")).drop("origin", "n")
-        before = touched(State(*(store.read(t, before=batch_id) for t in TABLES), empty(batch.sparkSession, EVENTS)), rows)
+        own = rows.where("id is not null").select("id", F.create_map(F.lit("id"), "id").alias("props"), F.lit(None).cast("string").alias("element_id"))
+        stored = {name: store.read(name, batch_id, store.touched(name, own)) for name in ("papers", "nodes")}
+        before = touched(State(stored["papers"], stored["nodes"], empty(spark, EDGES), empty(spark, EVENTS)), rows)
         if enrich:
-            prints = read_eprints(batch.sparkSession, enrich.eprints)
-            now = process(before, rows, prints, enrich.ask, enrich.embed, f"{enrich.work.rstrip('/')}/batch={batch_id}", settings, enrich.store, batch_id)
+            now = process(before, rows, enrich.fetch(now_settings), enrich.ask, enrich.embed, f"{enrich.work.rstrip('/')}/batch={batch_id}", now_settings, enrich.store, batch_id)
         else:
             now = added(before, rows, "arrival")
         store.write(batch_id, {"papers": now.papers, "nodes": now.nodes, "edges": now.edges})
         if events:
-            now.events.select(event_json(F.col("event"), F.col("id"), F.col("title")).alias("value")).write.mode("overwrite").text(f"{events.rstrip('/')}/batch={batch_id}")
+            publish(now.events.select(F.lit(EVENT_TOPIC).alias("topic"), event_json(F.col("event"), F.col("id"), F.col("title")).alias("value")), events, batch_id)
         if after:
             after(now, batch_id)
 
+    registered(tasks.sparkSession)  # before the stream takes its copy of the session
     writer = tasks.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
-
-
-def distinct_tasks(tasks: DataFrame, at: str, within: str = "1 hour") -> DataFrame:
-    """At-least-once deliveries, each id once within the watermark."""
-    return tasks.withWatermark(at, within).dropDuplicatesWithinWatermark(["id"])
-
-
-# -- requests
-
-
-def limited_requests(requests: DataFrame, settings: Config | None = None, late: str = "1 minute") -> DataFrame:
-    """Requests (client, path, at) on the API by client and window, with how many were allowed."""
-    settings = settings or config(requests.sparkSession)
-    seen = requests.where(is_limited(F.col("path"))).withWatermark("at", late)
-    counted = seen.groupBy("client", F.window("at", f"{settings.rate_seconds} seconds").alias("w")).agg(F.count("*").alias("seen"))
-    return counted.select("client", F.col("w.start").alias("window_start"), "seen", F.least("seen", F.lit(settings.rate_limit)).cast("long").alias("allowed"))

@@ -239,107 +239,361 @@ LINE = '{{"id": "{0}", "title": "{1}", "authors": ["A"], "categories": ["c"], "s
 
 def test_ingest_stream(spark, tmp_path):
     from paperloom.streaming import ingest as S
-    from paperloom.streaming.snapshots import Snapshots
 
     inbox, root = tmp_path / "inbox", tmp_path / "state"
     inbox.mkdir()
-    store = Snapshots(spark, f"file://{root}", S.TABLES, S.KEYS, compact_every=2)
+    store = S.paper_tables(spark, f"file://{root}", buckets=8, keep=3)
     quarantined = []
 
     def run():
-        S.ingest(S.task_stream(spark, f"file://{inbox}"), store, f"file://{tmp_path}/checkpoint", after=lambda now, _: quarantined.append(now.quarantine.count()), events=f"file://{tmp_path}/events").awaitTermination()
+        S.ingest(S.task_stream(spark, f"file://{inbox}"), store, f"file://{tmp_path}/checkpoint", after=lambda now, _: quarantined.append([(r["reason"], r["unread"]) for r in now.quarantine.collect()]), events=f"file://{tmp_path}/events").awaitTermination()
 
     (inbox / "1.json").write_text(LINE.format("1", "one") + LINE.format("1", "late") + "not json\n")
     run()
     (inbox / "2.json").write_text(LINE.format("1", "again") + LINE.format("2", "two"))
     run()
     assert {(r["id"], r["title"]) for r in store.read("papers").collect()} == {("1", "one"), ("2", "two")}
-    assert store.read("edges").where("type = 'WROTE'").count() == 4 and quarantined == [1, 0]
-    assert spark.read.json(f"file://{tmp_path}/events").groupBy("event").count().first()["count"] == 4
-    # a base has been made, and later changes come on top of it
-    assert [p.name for p in (root / "tables" / "papers").iterdir() if p.name.startswith("base")] == ["base=1"]
+    assert store.read("edges").where("type = 'WROTE'").count() == 4 and quarantined == [[("no task", "not json")], []]
+    assert spark.read.json(f"file://{tmp_path}/events/topic=events").groupBy("event").count().first()["count"] == 4
     for k in (3, 4, 5):
         (inbox / f"{k}.json").write_text(LINE.format(str(k), "more"))
         run()
-    assert store.read("papers").count() == 5 and store.read("papers", before=2).count() == 2
-    assert not (root / "tables" / "papers" / "change=0").exists()
-
-
-def test_enrichment_stream_calls_models_once(spark, tmp_path):
+    assert store.read("papers").count() == 5 and store.read("papers", before=3).count() == 3
+    # versions that nobody may ask for any more are gone, with what only they named
+    assert store.versions() == [2, 3, 4] and store.read("papers", before=2).count() == 0
+    assert store.read("nodes").where("label = 'Paper'").count() == 7
+
+
+def test_a_batch_touches_its_own_buckets(spark, tmp_path):
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+    from paperloom.streaming.tables import Keyed, KeyedTables
+
+    schema = StructType([StructField("id", LongType()), StructField("value", StringType())])
+    store = KeyedTables(spark, f"file://{tmp_path}/t", {"t": Keyed(schema, ["id"])}, buckets=16)
+    rows = lambda ids, value: spark.createDataFrame([(i, value) for i in ids], schema)
+    store.write(0, {"t": rows(range(1000), "old")})
+    files = lambda: {str(p): p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("*.parquet")}
+    before = files()
+    batch = rows([3, 5000], "new")
+    buckets = store.touched("t", batch)
+    stored = store.read("t", only=buckets)
+    # what a batch reads: its buckets' files, and no stored row is shuffled
+    assert 1 <= len(buckets) <= 2 and len(stored.inputFiles()) < len(before) / 4
+    plan = store._next("t", stored, batch, False)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and plan.count("hashpartitioning") == 1 and "SortMergeJoin" not in plan
+    store.write(1, {"t": batch})
+    assert before.items() <= files().items()
+    assert {tuple(r) for r in store.read("t").collect()} == {(i, "new" if i in (3, 5000) else "old") for i in [*range(1000), 5000]}
+    # a batch that is run again, and readers of the version before it
+    store.write(1, {"t": batch})
+    assert store.read("t").count() == 1001 and store.read("t", before=1).where("value = 'new'").count() == 0
+    # many small batches into one bucket don't leave many files there
+    for v in range(2, 14):
+        store.write(v, {"t": rows([7000], str(v))})
+    (at,) = store.touched("t", rows([7000], ""))
+    assert store.read("t").where("id = 7000").first()["value"] == "13" and len(store.read("t", only={at}).inputFiles()) <= 6
+    store.write(14, {"t": rows([], "")})
+    assert store.read("t").count() == 1002
+
+
+def opener(folder, opened):
+    """Opens files of a folder by the last segment of an address, and notes each call."""
+
+    def open_one(address, seconds):
+        with open(opened, "a") as f:
+            f.write(address + "\n")
+        return open(f"{folder}/{address.rsplit('/', 1)[-1]}", "rb")
+
+    return open_one
+
+
+def test_fetch_by_address(spark, tmp_path):
+    from paperloom.sources.fetch import Limits, fetched
+
+    for k in range(40):
+        (tmp_path / str(k)).write_bytes(bytes([k]) * 10 * k)
+    rows = [(str(k), f"http://x/{k}") for k in range(0, 20)] + [("none", None), ("gone", "http://x/gone"), ("large", "http://x/39"), ("0", "http://x/0")]
+    requests = spark.createDataFrame(rows, "id string, address string").repartition(3).selectExpr("*", "'x' as content", "1 as error")
+    found = fetched(requests, opener(tmp_path, tmp_path / "opened"), Limits(attempts=2, wait=0.0, most_bytes=300, in_flight=3)).collect()
+    assert len(found) == len(rows)
+    got = {r["id"]: (r["content"], r["error"], r["attempts"]) for r in found}
+    assert all(got[str(k)] == (bytes([k]) * 10 * k, None, 1) for k in range(20))
+    assert got["none"] == (None, "no address", 0) and got["large"] == (None, "ValueError: more than 300 bytes", 1)
+    assert got["gone"][0] is None and "FileNotFoundError" in got["gone"][1] and got["gone"][2] == 2
+    # only what was asked for was opened, each once (what failed, twice)
+    opened = (tmp_path / "opened").read_text().split()
+    assert sorted(opened) == sorted([a for _, a in rows if a] + ["http://x/gone"])
+    assert fetched(requests.where("false"), opener(tmp_path, tmp_path / "more")).count() == 0 and not (tmp_path / "more").exists()
+
+
+def test_fetch_bounds_calls_and_time(tmp_path):
+    import threading
+
+    from paperloom.sources.fetch import Limits, fetch_one, open_address
+
+    waits = []
+
+    def broken(address, seconds):
+        raise TimeoutError(f"after {seconds}")
+
+    assert fetch_one("a", broken, Limits(attempts=3, wait=5.0, seconds=7.0), waits.append) == (None, "TimeoutError: after 7.0", 3) and waits == [5.0, 10.0]
+
+    class Slow(io.BytesIO):
+        def read(self, size=-1):
+            threading.Event().wait(0.02)
+            return super().read(1)
+
+    assert fetch_one("a", lambda a, s: Slow(b"x" * 1000), Limits(attempts=1, seconds=0.05))[1].startswith("TimeoutError")
+    (tmp_path / "f").write_bytes(b"here")
+    assert open_address(f"{tmp_path}/f", 1.0).read() == b"here" == open_address(f"file://{tmp_path}/f", 1.0).read()
+
+
+def test_archive_bombs(spark):
+    import zlib
+
+    pack = zlib.compressobj(9, zlib.DEFLATED, 31)
+    bomb = b"".join(pack.compress(b"a" * (1 << 20)) for _ in range(64)) + pack.flush()
+    inside = tar_of(("a.tex", b"A"), ("b.bin", b"b" * (8 << 20)), ("c.tex", b"C"))
+    one_large = tar_of(("a.tex", b"b" * (8 << 20)))
+    assert len(bomb) < 1 << 17
+    for content in (bomb, inside, one_large):
+        with pytest.raises(archives.TooLarge):
+            archives.raw_text(content, 1 << 20)
+    assert archives.raw_text(inside, 16 << 20) == "A\nC\n" and len(archives.raw_text(bomb)) == 64 << 20
+    linked = io.BytesIO()
+    with tarfile.open(fileobj=linked, mode="w:gz") as tar:
+        info = tarfile.TarInfo("a.tex")
+        info.size = 5000
+        tar.addfile(info, io.BytesIO(b"x" * 5000))
+        for k in range(30):
+            link = tarfile.TarInfo(f"{k}.tex")
+            link.type, link.linkname = tarfile.LNKTYPE, "a.tex"
+            tar.addfile(link)
+    assert archives.raw_text(linked.getvalue()) == ("x" * 5000 + "\n") * 31
+    with pytest.raises(archives.TooLarge):
+        archives.raw_text(linked.getvalue(), 50_000)
+    # it fails its own paper only, and so does a fetch that failed
+    rows = [("bomb", bytearray(bomb), None), ("good", bytearray(b"text"), None), ("lost", None, "TimeoutError: x")]
+    got = {r["id"]: (r["text"], r["error"]) for r in archives.extracted(spark.createDataFrame(rows, "id string, content binary, error string"), most_bytes=1 << 20).collect()}
+    assert got["good"] == ("text", None) and got["lost"] == (None, "TimeoutError: x") and got["bomb"][1].startswith("TooLarge")
+
+
+def test_enrichment_stream_opens_and_asks_once(spark, tmp_path):
     from paperloom.streaming import ingest as S
-    from paperloom.streaming.snapshots import Snapshots
 
     inbox, prints, calls = tmp_path / "inbox", tmp_path / "prints", str(tmp_path / "calls")
     for folder in (inbox, prints):
         folder.mkdir()
-    store = Snapshots(spark, f"file://{tmp_path}/state", S.TABLES, S.KEYS)
+    store = S.paper_tables(spark, f"file://{tmp_path}/state", buckets=8)
 
     def counted(prompts):
         with open(calls, "a") as f:
             f.writelines(p.rsplit("\n", 1)[-1] + "\n" for p in prompts)
         return ['{"tldr": "short", "institutions": ["i"]}'] * len(prompts)
 
-    (prints / "7.gz").write_bytes(gzip.compress(b"seven"))
+    (prints / "7").write_bytes(gzip.compress(b"seven"))
     (prints / "8").write_bytes(b"eight")
-    (inbox / "1.json").write_text(LINE.format("7", "t") + LINE.format("9", "without a print"))
-    (inbox / "2.json").write_text(LINE.format("8", "t"))
-    enrich = S.Enrichment(f"file://{prints}", counted, lambda texts: [[1.0, 2.0]] * len(texts), f"file://{tmp_path}/work", f"file://{tmp_path}/store")
-    settings = config.Config(embedding_dimension=2)
+    for k in range(50):
+        (prints / f"other{k}").write_bytes(b"of no task")
+    line = lambda i, t: LINE.format(i, t).replace('"u"', f'"http://a.example/e-print/{i}"')
+    (inbox / "1.json").write_text(line("7", "t") + line("9", "without a print") + line("7", "again"))
+    (inbox / "2.json").write_text(line("8", "t"))
+    enrich = S.Enrichment(counted, lambda texts: [[1.0, 2.0]] * len(texts), f"file://{tmp_path}/work", f"file://{tmp_path}/store", opener(prints, tmp_path / "opened"))
+    settings = config.Config(embedding_dimension=2, fetch_attempts=1)
     S.ingest(S.task_stream(spark, f"file://{inbox}"), store, f"file://{tmp_path}/checkpoint", enrich=enrich, settings=settings).awaitTermination()
     assert {r["id"]: (r["status"], r["tldr_ai"]) for r in store.read("papers").collect()} == {"7": ("ENRICHED", "short"), "8": ("ENRICHED", "short"), "9": ("FAILED", None)}
     assert sorted(open(calls).read().split()) == ["eight", "seven"]
+    assert sorted(a.rsplit("/", 1)[-1] for a in (tmp_path / "opened").read_text().split()) == ["7", "8", "9"]
     assert {r["text"] for r in objects.stored_texts(spark, f"file://{tmp_path}/store").collect()} == {"seven", "eight"}
-    assert store.read("edges").where("type = 'AFFILIATED_WITH'").count() == 2
+    # id 7 came with two titles, so it has two nodes
+    assert store.read("edges").where("type = 'AFFILIATED_WITH'").count() == 3
 
 
-def test_polls(spark, tmp_path):
-    from paperloom.streaming import ingest as S
+def page_of(*entries):
+    """A feed page of entries (id, published)."""
+    body = "".join(f'<entry><id>http://a.example/abs/{i}</id><title>T</title><author><name>X</name></author><link href="http://a.example/abs/{i}"/><published>{at}</published><category term="cs.LG"/></entry>' for i, at in entries)
+    return f'<?xml version="1.0"?><feed xmlns="http://www.w3.org/2005/Atom">{body}</feed>'
+
+
+def read_topic(spark, queue, topic):
+    from pathlib import Path
+
+    return sorted(line for p in Path(queue).glob(f"topic={topic}/batch=*/*.json") for line in p.read_text().splitlines())
+
+
+def test_polls_of_two_feeds(spark, tmp_path):
+    import json
+
+    from paperloom.streaming import polls
 
-    (tmp_path / "pages").mkdir()
-    state = S.poll_store(spark, f"file://{tmp_path}/state")
-    queue = f"file://{tmp_path}/queue"
-    page = tmp_path / "page.xml"
-    page.write_text(ATOM)
+    queue, served = str(tmp_path / "queue"), tmp_path / "served"
+    served.mkdir()
 
-    def fetch(start, page=str(page)):
-        return [open(page).read()], start + 1
+    def fetcher(name):
+        def fetch(start, folder=str(served)):
+            with open(f"{folder}/{name}") as f:
+                return f.read()
 
+        return fetch
+
+    def run():
+        pages = None
+        for name in ("a", "b"):
+            one = feed.feed_pages(spark, feed.Feed(name, fetcher(name), f"file://{tmp_path}/log-{name}", attempts=1))
+            pages = one if pages is None else pages.unionByName(one)
+        polls.poll_stream(pages, queue, f"file://{tmp_path}/checkpoint", once=True).awaitTermination()
+        return [json.loads(x)["id"] for x in read_topic(spark, queue, "tasks")], [json.loads(x) for x in read_topic(spark, queue, "errors")]
+
+    (served / "a").write_text(page_of(("a2", "T2"), ("a1", "T1")))
+    (served / "b").write_text(page_of(("b9", "T9")))
+    assert run() == (["a1", "a2", "b9"], [])
+    # a new start: nothing comes twice, and each feed has its own checkpoint
+    (served / "a").write_text(page_of(("a4", "T4"), ("a3", "T3"), ("a2", "T2")))
+    (served / "b").write_text(page_of(("b9", "T9"), ("b5", "T5")))
+    assert run() == (["a1", "a2", "a3", "a4", "b9"], [])
+    # a page that breaks off, and a service that doesn't answer: told, and nothing is lost
+    whole = page_of(("a6", "T6"), ("a5", "T5"))
+    (served / "a").write_text(whole[: whole.index("a5")])
+    (served / "b").unlink()
+    ids, errors = run()
+    assert ids == ["a1", "a2", "a3", "a4", "b9"]
+    assert {e["feed"]: e["error"].split(":")[0] for e in errors} == {"a": "the page is broken", "b": "FileNotFoundError"}
+    (served / "a").write_text(whole)
+    (served / "b").write_text("<html><body>busy</body></html>")
+    ids, errors = run()
+    assert ids == ["a1", "a2", "a3", "a4", "a5", "a6", "b9"] and "the page is no feed" in {e["error"] for e in errors}
+
+
+def test_checkpoints_of_streams_and_batches_agree(spark, tmp_path):
+    """The cases of the batch operators, one poll each, through the stream."""
+    import json
+
+    from paperloom.streaming import polls
+
+    cases = [(["T3", "T2", "T1"], ["T1", "T2", "T3"]), (["T4", "T3", "T3"], ["T4"]), (["T5", "T5"], ["T5", "T5"]), (["T2"], []), (["T6", "T8", "T7"], ["T7", "T8", "T6"]), (["T9", "T8", "T7"], ["T7", "T8", "T9"]), ([], [])]
+    at, log, queue, settings = None, str(tmp_path / "log"), str(tmp_path / "queue"), config.Config(categories="")
+    pages = [page_of(*((f"e{n}-{k}", p) for k, p in enumerate(published))) for n, (published, _) in enumerate(cases)]
+    path = tmp_path / "page"
+
+    def fetch(start, path=str(path)):
+        with open(path) as f:
+            return f.read()
+
+    for n, (published, want) in enumerate(cases):
+        path.write_text(pages[n])
+        rows = spark.createDataFrame(list(enumerate(published)), "pos long, published string")
+        fresh = checkpoint.emitted(rows, at)
+        assert [r["published"] for r in checkpoint.oldest_first(fresh).collect()] == want
+        at = checkpoint.advanced(fresh, at).first()["checkpoint"]
+        polls.poll_stream(feed.feed_pages(spark, feed.Feed("c", fetch, log)), queue, f"file://{tmp_path}/checkpoint", True, settings).awaitTermination()
+        lines = (tmp_path / "queue" / "topic=tasks" / f"batch={n}").glob("*")
+        assert [json.loads(x)["published"] for p in lines for x in p.read_text().splitlines()] == want, n
+
+
+def test_a_poll_that_is_run_again_sees_the_same_pages(spark, tmp_path):
+    import json
+    import shutil
+
+    from paperloom.streaming import polls
+
+    served, calls, checkpoint_path = tmp_path / "served", tmp_path / "calls", tmp_path / "checkpoint"
+    served.write_text(page_of(("1", "T1")))
+    calls.touch()
+
+    def fetch(start, served=str(served), calls=str(calls)):
+        with open(calls, "a") as f:
+            f.write(f"{start}\n")
+        with open(served) as f:
+            return f.read()
+
+    def run(queue):
+        pages = feed.feed_pages(spark, feed.Feed("r", fetch, str(tmp_path / "log"), pages=2, size=1))
+        polls.poll_stream(pages, queue, f"file://{checkpoint_path}", once=True).awaitTermination()
+
+    run(str(tmp_path / "queue"))
+    # the batch is fetched and then killed before it is noted as done: its place among the done ones goes, and its results
+    for f in (checkpoint_path / "commits").glob("*"):
+        f.unlink()
+    shutil.rmtree(tmp_path / "queue")
+    served.write_text(page_of())
+    assert sorted(calls.read_text().split()) == ["0", "1"]
+    run(str(tmp_path / "queue"))
+    assert [json.loads(x)["id"] for x in read_topic(spark, tmp_path / "queue", "tasks")][:1] == ["1"]
+    # it was not asked for again
+    assert sorted(calls.read_text().split()) == ["0", "1"]
+
+
+def test_lines_appear_whole_and_once(spark, tmp_path):
+    from paperloom.streaming.sink import publish, registered
+
+    source, out = tmp_path / "source", tmp_path / "out"
+    source.mkdir()
+    (source / "1.json").write_text('{"topic": "t", "value": "one"}\n{"topic": "u", "value": "two"}\n')
+    stream = spark.readStream.schema("topic string, value string").json(f"file://{source}")
+
+    def run(df):
+        writer = df.writeStream.format(registered(spark)).option("path", str(out)).option("checkpointLocation", f"file://{tmp_path}/checkpoint").trigger(availableNow=True)
+        writer.start().awaitTermination()
+
+    run(stream)
+    assert read_topic(spark, out, "t") == ["one"] and read_topic(spark, out, "u") == ["two"]
+    # the same batch again: each line once
+    for f in (tmp_path / "checkpoint" / "commits").glob("*"):
+        f.unlink()
+    run(stream)
+    assert read_topic(spark, out, "t") == ["one"]
+    # a task that fails leaves nothing, though others had written
+    (source / "2.json").write_text('{"topic": "t", "value": "three"}\n' * 3)
+    (source / "3.json").write_text('{"topic": "t", "value": "four"}\n')
+    failing = stream.withColumn("value", F.when(F.col("value") == "four", F.raise_error(F.lit("no"))).otherwise(F.col("value")))
+    with pytest.raises(Exception, match="no"):
+        run(failing)
+    assert read_topic(spark, out, "t") == ["one"]
+    run(stream)
+    assert read_topic(spark, out, "t") == ["four", "one", "three", "three", "three"]
+    # batches by name
+    lines = spark.createDataFrame([("e", str(k)) for k in range(9)], "topic string, value string").repartition(3)
     for _ in range(2):
-        S.poll_stream(feed.paged_feed(spark, fetch), queue, state, f"file://{tmp_path}/checkpoint", once=True).awaitTermination()
-    # the second entry is in no wanted category; the page says nothing new the second time
-    assert [r["id"] for r in spark.read.schema(TASK).option("recursiveFileLookup", "true").json(queue).collect()] == ["2403.01234v1"]
-    assert state.read("polls").first()["checkpoint"] == "2024-03-20T15:30:00Z"
+        publish(lines, f"file://{out}", "b1")
+    publish(lines.where("false"), f"file://{out}", "b2")
+    assert read_topic(spark, out, "e") == [str(k) for k in range(9)]
 
 
-def test_fetches_are_tried_again():
+def test_fetches_are_tried_again(spark, tmp_path):
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+    from threading import Thread
+
     waits, tries = [], []
 
     def fetch(start):
         tries.append(start)
         if len(tries) < 3:
             raise TimeoutError
-        return ["page"], start + 1
-
-    assert feed.with_retries(fetch, sleep=waits.append)(4) == (["page"], 5) and waits == [5.0, 10.0]
-    assert feed.with_retries(lambda start: 1 / 0, sleep=lambda s: None)(4) == ([], 4)
-    assert feed.feed_query(["cs.LG", "cs.AI"]).startswith("search_query=cat:cs.LG+OR+cat:cs.AI&sortBy=submittedDate")
-
-
-def test_request_streams(spark, tmp_path):
-    from paperloom.streaming import ingest as S
-
-    rows = [("a", "/api/papers", f"2024-01-01 00:00:{k:02d}") for k in range(5)] + [("a", "/health", "2024-01-01 00:00:01"), ("a", "/api/x", "2024-01-01 01:00:00")]
-    df = spark.createDataFrame(rows, "client string, path string, at string").selectExpr("client", "path", "cast(at as timestamp) as at")
-    df.write.parquet(f"{tmp_path}/requests")
-    stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/requests")
-    limited = S.limited_requests(stream, config.Config(rate_limit=3))
-    limited.writeStream.format("memory").queryName("limited").outputMode("update").trigger(availableNow=True).start().awaitTermination()
-    assert {(r["seen"], r["allowed"]) for r in spark.table("limited").collect()} == {(5, 3), (1, 1)}
-    tasks = spark.createDataFrame([("1", "2024-01-01 00:00:00"), ("1", "2024-01-01 00:10:00"), ("2", "2024-01-01 00:00:00")], "id string, at string").selectExpr("id", "cast(at as timestamp) as at")
-    tasks.write.parquet(f"{tmp_path}/tasks")
-    once = S.distinct_tasks(spark.readStream.schema(tasks.schema).parquet(f"{tmp_path}/tasks"), "at")
-    once.writeStream.format("memory").queryName("once").trigger(availableNow=True).start().awaitTermination()
-    assert sorted(r["id"] for r in spark.table("once").collect()) == ["1", "2"]
+        return "page"
+
+    assert feed.tried(fetch, 4, sleep=waits.append) == ("page", None) and waits == [5.0, 10.0] and tries == [4, 4, 4]
+    assert feed.tried(lambda start: 1 / 0, 4, sleep=lambda s: None) == (None, "ZeroDivisionError: division by zero")
+
+    class Service(BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(self.path.encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Service)
+    Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        spark.conf.set("paperloom.feed_page", "7")
+        one = feed.configured_feed(spark, "x", str(tmp_path / "log"), f"http://127.0.0.1:{server.server_port}/query")
+        assert one.fetch(14) == "/query?search_query=cat:cs.LG+OR+cat:cs.AI&sortBy=submittedDate&sortOrder=descending&start=14&max_results=7"
+        assert (one.size, one.attempts, one.wait) == (7, 3, 5)
+    finally:
+        spark.conf.unset("paperloom.feed_page")
+        server.shutdown()
 
 
 # -- queries against their SQL
