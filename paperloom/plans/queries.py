@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import documents
 from ..functions import text as X
-from ..operators import checkpoint, graph, tables
+from ..operators import checkpoint, graph, limits, tables
 from ..sources import feed, models
 from . import extensions, ingest, serve
 from .testdata import graph as test_graph
@@ -277,6 +277,17 @@ def rate_limit(spark, d):
     return tables.rate_windows(table(spark, d, "events"), "user_id", "ts", "1 day", 3).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
+@query("""with recursive e as (select event_id, user_id, ts, row_number() over (partition by user_id order by ts, event_id) as k from events where user_id is not null and ts is not null),
+w as (select event_id, user_id, k, ts as window_start, 1::bigint as nth from e where k = 1
+union all select e.event_id, e.user_id, e.k, case when e.ts >= w.window_start + interval 6 hours then e.ts else w.window_start end, case when e.ts >= w.window_start + interval 6 hours then 1 else w.nth + 1 end
+from w join e on e.user_id = w.user_id and e.k = w.k + 1)
+select event_id, window_start, nth, nth <= 2 as allowed from w""")
+def rate_decisions(spark, d):
+    """Each request allowed or denied, in windows that begin with a client's first request."""
+    events = table(spark, d, "events").select("event_id", "user_id", "ts")
+    return limits.rate_decisions(events, "user_id", "ts", "event_id", 6 * 3600, 2).select("event_id", "window_start", "nth", "allowed")
+
+
 @query("select conv_id, string_agg(text, chr(10) order by turn, text) || chr(10) as text from conversations group by conv_id")
 def ordered_concat(spark, d):
     return tables.joined_in_order(table(spark, d, "conversations"), "conv_id", "text", "turn")

@@ -596,6 +596,76 @@ def test_fetches_are_tried_again(spark, tmp_path):
         server.shutdown()
 
 
+def plain_decisions(rows, span, limit):
+    """rows (client, at in seconds, key): one after the other."""
+    state, out = {}, []
+    for client, at, key in sorted(rows):
+        begin, n = state.get(client, (None, 0))
+        begin, n = (at, 1) if begin is None or at >= begin + span else (begin, n + 1)
+        state[client] = (begin, n)
+        out.append((client, key, begin, n, n <= limit))
+    return sorted(out)
+
+
+def invented_requests(n=900):
+    import random
+
+    rng = random.Random(5)
+    # one client has a third of all requests; others are rare, or come exactly at a window's end
+    rows = [(rng.choice(["hot", "b", f"c{k % 40}"]), rng.choice([rng.randrange(-4000, 9000), 60 * rng.randrange(100)]), f"k{k:04d}") for k in range(n)]
+    return rows + [("edge", 60 * k, f"e{k}") for k in range(9)]
+
+
+def test_rate_decisions(spark, monkeypatch):
+    from paperloom.operators import limits
+
+    rows = invented_requests()
+    df = spark.createDataFrame(rows, "who string, sec long, key string").withColumn("at", F.timestamp_seconds("sec")).withColumn("slot", F.lit("clash"))
+    odd = spark.createDataFrame([(None, 1, "x"), ("b", None, "y")], "who string, sec long, key string").withColumn("at", F.timestamp_seconds("sec")).withColumn("slot", F.lit(None).cast("string"))
+    for slot, span in ((16, 60), (2, 60), (1, 7)):
+        monkeypatch.setattr(limits, "SLOT_WINDOWS", slot)
+        got = limits.rate_decisions(df.unionByName(odd).repartition(4), "who", "at", "key", span, 3)
+        found = sorted((r["who"], r["key"], int(r["w"]), r["nth"], r["allowed"]) for r in got.withColumn("w", F.unix_seconds("window_start")).collect())
+        assert found == plain_decisions(rows, span, 3)
+        assert set(got.columns) == {*df.columns, "window_start", "nth", "allowed"}
+    assert limits.rate_decisions(df.where("false"), "who", "at", "key", 60, 3).count() == 0
+
+
+def test_ways_through_a_slot():
+    import random
+
+    from paperloom.operators.limits import NEVER, ways_through
+
+    rng = random.Random(2)
+    for _ in range(300):
+        times, span = sorted({rng.randrange(0, 60) for _ in range(rng.randint(1, 12))}), rng.randint(1, 15)
+        upto, ends = ways_through(times, span, span)
+        for end in [NEVER, *range(span + 1)]:
+            at = end
+            for t in times:
+                at = t + span if t >= at else at
+            k = next((k for k, u in enumerate(upto) if end <= u), None)
+            assert (end if k is None else ends[k]) == at, (times, span, end)
+        assert len(ends) <= sum(t <= span for t in times) + 1
+
+
+def test_request_streams_decide_as_batches_do(spark, tmp_path):
+    from paperloom.streaming import requests as S
+
+    rows = sorted(((c, t + 10**6, k) for c, t, k in invented_requests(300)), key=lambda r: r[1])
+    (tmp_path / "in").mkdir()
+    schema = "client string, path string, sec long, key string"
+    for n in range(4):  # in the order of time, a file each
+        part = [(c, "/api/papers", t, k) for c, t, k in rows[n * len(rows) // 4 : (n + 1) * len(rows) // 4]] + [("hot", "/health", 5, f"free{n}"), (None, "/api/x", 5, "nobody")]
+        spark.createDataFrame(part, schema).coalesce(1).write.json(f"file://{tmp_path}/in/{n}")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").json(f"file://{tmp_path}/in").withColumn("at", F.timestamp_seconds("sec"))
+    decided = S.limited_requests(stream, config.Config(rate_limit=3, rate_seconds=60), late="3 hours")
+    decided.writeStream.format("memory").queryName("decided").outputMode("append").option("checkpointLocation", f"file://{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r["client"], r["key"], int(r["w"]), r["nth"], r["allowed"]) for r in spark.table("decided").withColumn("w", F.unix_seconds("window_start")).collect())
+    assert got == plain_decisions(rows, 60, 3)
+
+
 # -- queries against their SQL
 
 
