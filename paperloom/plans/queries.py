@@ -138,9 +138,12 @@ def queue_length(spark, d):
     return serve.status(spark, table(spark, d, "events"))
 
 
-@query("select 'ok' as status")
+@query("""select 'papers' as name, count(*) as rows, case when count(*) > 0 then 'ok' else 'empty' end as status from orders
+union all select 'edges', count(*), case when count(*) > 0 then 'ok' else 'empty' end from lineitem
+union all select 'failed', count(*), case when count(*) > 0 then 'ok' else 'empty' end from events where user_id is null""")
 def health(spark, d):
-    return serve.health(spark)
+    """What the health route counts: stored papers and edges, and papers that failed."""
+    return serve.health({"papers": table(spark, d, "orders"), "edges": table(spark, d, "lineitem"), "failed": table(spark, d, "events").where("user_id is null")})
 
 
 @query("""select coalesce(url, '') as name, coalesce(s, 0)::bigint as size, timestamp '1970-01-01 00:00:00' as modified from
@@ -178,9 +181,10 @@ def feed_topn(spark, d):
     return page.where("ts > timestamp_ntz'2024-01-29 00:00:00'").select("event_id", "ts")
 
 
-@query("select range as attempt, (5 * power(2, range))::bigint as seconds from range(3)")
+@query("select event_id, (5 * power(2, event_id % 3))::bigint as seconds from events")
 def backoff(spark, d):
-    return spark.range(3).select(F.col("id").alias("attempt"), X.backoff_seconds(F.col("id")).alias("seconds"))
+    """Events as failed calls, each some attempt of three, and how long the next one waits."""
+    return table(spark, d, "events").select("event_id", X.backoff_seconds(F.col("event_id") % 3).alias("seconds"))
 
 
 def _entries(spark, d):

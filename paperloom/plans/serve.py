@@ -85,8 +85,13 @@ def status(spark: SparkSession, queue: DataFrame | None = None, state: str | Non
     return length.select(F.coalesce(F.lit(state).cast("string"), F.lit("idle")).alias("status"), "queueLength")
 
 
-def health(spark: SparkSession) -> DataFrame:
-    return spark.range(1).select(F.lit("ok").alias("status"))
+def health(tables: dict[str, DataFrame]) -> DataFrame:
+    """name, rows and status of each table: ``ok``, or ``empty`` if it has no row."""
+    counted = None
+    for name, rows in tables.items():
+        one = rows.agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows", F.when(F.col("rows") > 0, "ok").otherwise("empty").alias("status"))
+        counted = one if counted is None else counted.unionByName(one)
+    return counted
 
 
 def is_limited(path: Column) -> Column:

@@ -17,6 +17,7 @@ from ..schemas import EDGES, EVENTS, NODES, PAPERS, TASK, empty
 from ..sources.fetch import Fetch, Limits, Open, fetched, open_address
 from ..sources.models import Ask, Embed
 from .sink import publish, registered
+from .supervise import CONSUMED
 from .tables import Keyed, KeyedTables
 
 #: The topic of the events.
@@ -60,7 +61,7 @@ def task_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> Dat
 
 
 def ingest(
-    tasks: DataFrame, store: KeyedTables, checkpoint: str, once: bool = True, enrich: Enrichment | None = None, after: Callable[[State, int], None] | None = None, events: str | None = None, settings: Config | None = None
+    tasks: DataFrame, store: KeyedTables, checkpoint: str, once: bool = True, enrich: Enrichment | None = None, after: Callable[[State, int], None] | None = None, events: str | None = None, settings: Config | None = None, name: str = "ingest"
 ) -> StreamingQuery:
     """Keep papers, nodes and edges up to date; each batch reads and writes only the buckets of its own keys.
 
@@ -68,7 +69,7 @@ def ingest(
     topics that gets the batch's events, together and once. ``after`` gets each batch's rows, events and quarantine.
     """
 
-    def step(batch: DataFrame, batch_id: int) -> None:
+    def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         now_settings = settings or config(spark)
         # of one id the task that stands first in the queue wins; numbers only order rows of one part of a file
@@ -87,6 +88,14 @@ def ingest(
         if after:
             after(now, batch_id)
 
+    def step(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()  # its parts are read many times, and counted once
+        try:
+            apply(batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    tasks = tasks.observe(CONSUMED, F.count("*").alias("n"))
     registered(tasks.sparkSession)  # before the stream takes its copy of the session
-    writer = tasks.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    writer = tasks.writeStream.queryName(name).foreachBatch(step).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -15,6 +15,7 @@ from ..schemas import TASK
 from ..sources.feed import in_categories, page_entries, page_error
 from ..sources.feed import tasks as feed_tasks
 from .sink import registered
+from .supervise import PUBLISHED
 
 #: Topics of the queue: tasks, and what went wrong with pages.
 TASKS, ERRORS = "tasks", "errors"
@@ -77,7 +78,7 @@ def polled(pages: DataFrame, settings: Config) -> DataFrame:
     return lines.groupBy("feed").transformWithState(FeedCheckpoints(settings.feed_page), "topic string, value string", "Append", "None")
 
 
-def poll_stream(pages: DataFrame, queue: str, checkpoint: str, once: bool = False, settings: Config | None = None) -> StreamingQuery:
+def poll_stream(pages: DataFrame, queue: str, checkpoint: str, once: bool = False, settings: Config | None = None, name: str = "polls") -> StreamingQuery:
     """Poll feeds, each micro-batch one poll of each: new tasks go to the queue's topic, then the checkpoints move.
 
     ``pages`` is a stream of feed pages, or a union of several feeds'. Tasks of a batch appear together and once; polls are
@@ -87,5 +88,6 @@ def poll_stream(pages: DataFrame, queue: str, checkpoint: str, once: bool = Fals
     spark = pages.sparkSession
     if "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass", ""):
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    writer = polled(pages, settings).writeStream.format(registered(spark)).option("path", queue).option("checkpointLocation", checkpoint).outputMode("append")
+    lines = polled(pages, settings).observe(PUBLISHED, F.count_if(F.col("topic") == TASKS).alias("n"))
+    writer = lines.writeStream.queryName(name).format(registered(spark)).option("path", queue).option("checkpointLocation", checkpoint).outputMode("append")
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{settings.poll_seconds} seconds")).start()

@@ -596,6 +596,90 @@ def test_fetches_are_tried_again(spark, tmp_path):
         server.shutdown()
 
 
+def test_a_stream_that_fails_is_started_again(spark, tmp_path):
+    from paperloom.streaming.supervise import supervise
+
+    source = tmp_path / "source"
+    source.mkdir()
+    for k in range(3):
+        (source / f"{k}.json").write_text(f'{{"k": {k}}}\n')
+    seen, waits, left = [], [], [2]
+
+    def step(batch, batch_id):
+        if batch_id == 1 and left[0]:
+            left[0] -= 1
+            raise OSError("the service hung up")
+        seen.append(sorted(r["k"] for r in batch.collect()))
+
+    def start():
+        rows = spark.readStream.schema("k long").option("maxFilesPerTrigger", 1).json(f"file://{source}")
+        return rows.writeStream.foreachBatch(step).option("checkpointLocation", f"file://{tmp_path}/checkpoint").trigger(availableNow=True).start()
+
+    failures = supervise(spark, start, wait=1.0, sleep=waits.append)
+    # the first run had finished a batch before it failed; the second failed at once, so the wait grew
+    assert len(failures) == 2 and all("hung up" in f for f in failures) and waits == [1.0, 2.0]
+    assert sorted(k for b in seen for k in b) == [0, 1, 2]
+    with pytest.raises(RuntimeError, match="3 times in a row"):
+        supervise(spark, lambda: 1 / 0, wait=1.0, most_wait=1.5, restarts=2, sleep=waits.append)
+    assert waits[2:] == [1.0, 1.5]
+
+
+def test_the_gate_waits_for_models(spark):
+    import json
+
+    from paperloom.streaming.supervise import wait_for_models
+
+    told = iter([OSError("down"), "no json", {"models": []}, {"models": [{"name": "gemma:2b"}]}, {"models": [{"name": "gemma:2b"}, {"name": "embed:latest"}]}])
+
+    def answer():
+        said = next(told)
+        if isinstance(said, Exception):
+            raise said
+        return said if isinstance(said, str) else json.dumps(said)
+
+    waits = []
+    assert wait_for_models(spark, ["gemma", "embed"], answer, 7.0, sleep=waits.append) == 5 and waits == [7.0] * 4
+    with pytest.raises(TimeoutError, match="embed"):
+        wait_for_models(spark, ["gemma", "embed"], lambda: '{"models": [{"name": "gemma"}]}', polls=2, sleep=waits.append)
+
+
+def test_status_of_running_streams(spark, tmp_path):
+    from paperloom.streaming import ingest, polls
+    from paperloom.streaming.supervise import StatusBoard
+
+    served, queue = tmp_path / "served", str(tmp_path / "queue")
+    served.write_text(page_of(("1", "2024-01-01T00:00:00Z"), ("2", "2024-01-02T00:00:00Z"), ("3", "2024-01-03T00:00:00Z")))
+
+    def fetch(start, served=str(served)):
+        with open(served) as f:
+            return f.read()
+
+    board = StatusBoard()
+    spark.streams.addListener(board)
+    try:
+        settings = config.Config(poll_seconds=1)
+        running = polls.poll_stream(feed.feed_pages(spark, feed.Feed("s", fetch, str(tmp_path / "log"))), queue, f"file://{tmp_path}/c1", settings=settings, name="poll")
+        assert board.wait_for(lambda states, waiting: waiting == 3 and states["poll"] in ("running", "idle"), 90)
+        row = board.status(spark).first()
+        assert row["status"] in ("running", "idle") and row["queueLength"] == 3
+        store = ingest.paper_tables(spark, f"file://{tmp_path}/state", buckets=4)
+        taken = ingest.ingest(ingest.task_stream(spark, f"{queue}/topic=tasks"), store, f"file://{tmp_path}/c2", once=False, name="take")
+        assert board.wait_for(lambda states, waiting: waiting == 0 and states.get("take") in ("running", "idle"), 90)
+        assert {r["name"] for r in board.table(spark).collect()} == {"poll", "take"} and running.isActive and taken.isActive
+        for q in (running, taken):
+            q.stop()
+        assert board.wait_for(lambda states, waiting: set(states.values()) == {"stopped"}, 60)
+        assert tuple(board.status(spark).first()) == ("idle", 0) and store.read("papers").count() == 3
+        broken = spark.readStream.format("rate").load().select(F.raise_error(F.lit("no")))
+        broken.writeStream.format("noop").queryName("bad").option("checkpointLocation", f"file://{tmp_path}/c3").start()
+        assert board.wait_for(lambda states, waiting: states.get("bad") == "failed", 60)
+        assert board.status(spark).first()["status"] == "failed"
+    finally:
+        spark.streams.removeListener(board)
+        for q in spark.streams.active:
+            q.stop()
+
+
 def plain_decisions(rows, span, limit):
     """rows (client, at in seconds, key): one after the other."""
     state, out = {}, []
