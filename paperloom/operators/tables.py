@@ -5,7 +5,7 @@ All are idempotent: the same batch again changes nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -30,10 +30,6 @@ def few(keys: DataFrame, most: int = FEW_KEYS) -> DataFrame:
     return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
 
 
-#: Names on the short side of a comparison by containment that are sent to every task.
-SHORT_LIST = 10_000
-
-
 def insert_absent(current: DataFrame, batch: DataFrame, key: str, *order: str) -> DataFrame:
     """First write wins: of the batch only keys that are new, and of those the earliest row."""
     fresh = first_of_each(batch, key, *order).join(current.select(key), key, "left_anti")
@@ -72,14 +68,42 @@ def joined_in_order(rows: DataFrame, key: str, text: str, *order: str) -> DataFr
     return rows.groupBy(key).agg(parts.alias("parts")).select(key, F.concat(F.array_join(F.transform("parts", lambda p: F.coalesce(p[text], F.lit(""))), "\n"), F.lit("\n")).alias(text))
 
 
-def missing(required: DataFrame, available: DataFrame, name: str = "name") -> DataFrame:
-    """Required names that no available name contains.
+#: Letters of the pieces by which names are looked up.
+GRAM = 3
+
+
+def grams(text: Column, size: int = GRAM) -> Column:
+    """The distinct pieces of ``size`` letters of a text; none of a shorter one. Of no letters there is one in any."""
+    if not size:
+        return F.array(F.lit(""))
+    whole = F.transform(F.sequence(F.lit(1), F.length(text) - (size - 1)), lambda k: F.substring(text, k, F.lit(size)))
+    return F.array_distinct(F.when(F.length(text) >= size, whole).otherwise(F.array().cast("array<string>")))
 
-    The required names are the short list: up to ``SHORT_LIST`` of them are sent to every task, and
-    the available ones are read once, whatever their number.
+
+def contained(required: DataFrame, available: DataFrame, name: str = "name") -> DataFrame:
+    """The distinct required names that an available name contains.
+
+    A name is looked up by the piece of it that the fewest available names have; only names that share that piece are
+    compared. A name of less than ``GRAM`` letters is its own piece; the empty name is contained in any. Null names
+    contain nothing and are contained in nothing.
     """
-    wanted = required.select(name).distinct()
-    short = wanted.limit(SHORT_LIST + 1).count() <= SHORT_LIST
-    have = available.select(F.col(name).alias("_have"))
-    found = have.join(F.broadcast(wanted) if short else wanted, F.contains(F.col("_have"), F.col(name))).select(name).distinct()
-    return required.join(found, name, "left_anti")
+    wanted = required.select(F.col(name).alias("_name")).where("_name is not null").distinct()
+    have = available.select(F.col(name).alias("_have")).where("_have is not null").distinct()
+    piece = F.when(F.length("_name") < GRAM, F.array("_name")).otherwise(grams(F.col("_name")))
+    asked = wanted.select("_name", F.explode(piece).alias("_gram"))
+    sizes = [r[0] for r in asked.select(F.length("_gram")).distinct().collect()]  # at most GRAM numbers
+    if not sizes:
+        return wanted.select(F.col("_name").alias(name))
+    pieces = have.select("_have", F.explode(F.array_distinct(F.flatten(F.array(*(grams(F.col("_have"), n) for n in sorted(sizes)))))).alias("_gram"))
+    pieces = pieces.join(few(asked.select("_gram").distinct()), "_gram", "left_semi")
+    held = pieces.groupBy("_gram").agg(F.count("*").alias("_held"))
+    # a piece that no available name has rules its name out
+    rarest = asked.join(held, "_gram", "left").groupBy("_name").agg(F.min(F.struct(F.coalesce("_held", F.lit(0)).alias("held"), F.col("_gram").alias("gram"))).alias("_least"))
+    rarest = rarest.where("_least.held > 0").select("_name", F.col("_least.gram").alias("_gram"))
+    found = pieces.join(rarest, "_gram").where(F.contains("_have", "_name")).select("_name").distinct()
+    return found.select(F.col("_name").alias(name))
+
+
+def missing(required: DataFrame, available: DataFrame, name: str = "name") -> DataFrame:
+    """Required names that no available name contains."""
+    return required.join(contained(required, available, name), name, "left_anti")

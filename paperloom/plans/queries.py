@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import documents
 from ..functions import text as X
-from ..operators import checkpoint, graph, limits, tables
+from ..operators import checkpoint, graph, limits, similar, tables
 from ..sources import feed, models
 from . import extensions, ingest, serve
 from .testdata import graph as test_graph
@@ -556,3 +556,21 @@ def vector_topk(spark, d):
     vectors = table(spark, d, "embeddings")
     row = vectors.where("vec_id = 0").first()
     return extensions.top_similar(vectors, row and row["embedding"], 10)
+
+
+@query("""with q as (select vec_id as query_id, embedding::double[] as q from embeddings where vec_id % 50 = 0),
+s as (select query_id, vec_id, round(list_dot_product(embedding::double[], q), 6) as score from q, embeddings),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::integer as rank from s) select query_id, rank, vec_id, score from r where rank <= 10""")
+def vector_topk_of_many(spark, d):
+    """For many vectors the most similar ones, in blocks by length."""
+    vectors = table(spark, d, "embeddings")
+    return similar.most_similar(vectors.where("vec_id % 50 = 0"), vectors, 10).rows
+
+
+@query("""with q as (select distinct lower(substr(trim(text), 1, 12)) as name from documents where text is not null),
+e as (select name, exists (select 1 from documents d where contains(lower(d.text), name) and d.doc_id % 2 = 1) as hit from q) select name from e where hit""")
+def names_contained(spark, d):
+    """Of the beginnings of all documents those that a document with an odd number contains somewhere."""
+    docs = table(spark, d, "documents")
+    asked = docs.where("text is not null").select(F.lower(F.substring(F.trim("text"), 1, 12)).alias("name"))
+    return tables.contained(asked, docs.where("doc_id % 2 = 1").select(F.lower("text").alias("name")))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = os.path.dirname(os.path.abspath(__file__))
 
@@ -21,11 +23,15 @@ def session(name: str = "paperloom", master: str | None = None, **conf: str) ->
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors once a session, unless their Python path holds it already."""
+    """Send the package to the executors once a session, unless their Python path is known to hold it already.
+
+    The driver's own path says so only where the executors run in its place; a cluster's executors have theirs from the
+    session's settings.
+    """
     root = os.path.dirname(_PACKAGE)
     sc = spark.sparkContext
-    on_path = os.environ.get("PYTHONPATH", "").split(os.pathsep)
-    if root in map(os.path.abspath, filter(None, on_path)) or getattr(sc, "_paperloom_shipped", False):
+    theirs = os.environ.get("PYTHONPATH", "") if sc.master.startswith("local") else sc.getConf().get("spark.executorEnv.PYTHONPATH") or ""
+    if root in map(os.path.abspath, filter(None, theirs.split(os.pathsep))) or getattr(sc, "_paperloom_shipped", False):
         return
     archive = os.path.join(tempfile.mkdtemp(prefix="paperloom-"), "paperloom.zip")
     with zipfile.ZipFile(archive, "w") as out:
@@ -36,3 +42,31 @@ def ship(spark: SparkSession) -> None:
                     out.write(path, os.path.relpath(path, root))
     sc.addPyFile(archive)
     sc._paperloom_shipped = True
+
+
+def kept_table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in ``spark.checkpoint.dir``, read back: what follows doesn't compute it again.
+
+    The folder is shared by driver and executors, so lost executors cost nothing; only a session of one machine that names none
+    gets a folder of its own. Tables go when the driver ends.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='paperloom-')}")
+        root = sc.getCheckpointDir()
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+
+    def remove() -> None:
+        try:
+            p = sc._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session has gone: the folder's owner cleans up
+            pass
+
+    atexit.register(remove)
+    return spark.read.schema(df.schema).parquet(path)

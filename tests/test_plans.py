@@ -750,6 +750,55 @@ def test_request_streams_decide_as_batches_do(spark, tmp_path):
     assert got == plain_decisions(rows, 60, 3)
 
 
+def test_contained_names(spark):
+    import random
+
+    rng = random.Random(7)
+    word = lambda n, letters="abcd": "".join(rng.choices(letters, k=n))
+    have = [*(word(rng.randint(0, 30)) for _ in range(300)), None, "x%_y", "aé😀b", ""]
+    required = [*(word(rng.randint(0, 7)) for _ in range(400)), None, "%_", "é😀", "zz", "zzzz", "x%_y", "b", "", "ab", "ab"]
+    frames = [spark.createDataFrame([(x,) for x in rows], "name string") for rows in (required, have)]
+    order = lambda x: (x is not None, x or "")
+    want = sorted((x for x in required if x is None or not any(h is not None and x in h for h in have)), key=order)
+    assert sorted((r["name"] for r in tables.missing(*frames).collect()), key=order) == want
+    none = frames[1].where("false")
+    assert tables.missing(frames[0], none).count() == len(required) and tables.contained(none, frames[1]).count() == 0
+    assert tables.contained(spark.createDataFrame([("",)], "name string"), frames[1]).count() == 1
+    # many names: no comparison of each with each
+    many = spark.range(100_000).select(F.concat(F.lit("name"), F.col("id").cast("string")).alias("name"))
+    plan = tables.missing(many, many.where("name < 'name5'"))._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_most_similar(spark):
+    import numpy as np
+
+    from paperloom.operators.similar import most_similar
+
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(900, 6)) * np.exp(rng.normal(size=(900, 1)) * 1.5)
+    v[100:130] = v[5]  # ties
+    v[7] = 0
+    rows = [(k, x.tolist()) for k, x in enumerate(v)]
+    broken = [(2000, None), (2001, [None] * 6), (2002, [float("nan")] * 6), (2003, []), (None, [1.0] * 6)]
+    df = spark.createDataFrame(rows + broken, "vec_id long, embedding array<double>").repartition(3).withColumn("score", F.lit("clash"))
+    asked = df.where("vec_id % 30 = 7 or vec_id >= 2000")
+    found = most_similar(asked, df, 10, block_rows=32)
+    want = []
+    for q in range(7, 900, 30):
+        s = np.round(v @ v[q], 6) + 0.0
+        want += [(q, n + 1, int(i), float(s[i])) for n, i in enumerate(np.lexsort((np.arange(900), -s))[:10])]
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found.rows.collect())
+    assert [g[:3] for g in got] == [w[:3] for w in want] and all(abs(g[3] - w[3]) < 2e-6 for g, w in zip(got, want, strict=True))
+    # long vectors rule out most of the short ones
+    assert found.pairs < 0.5 * 30 * 900
+    few = most_similar(df.where("vec_id = 7"), df.where("vec_id < 3"), 10)
+    assert [r["vec_id"] for r in few.rows.orderBy("rank").collect()] == [0, 1, 2] and few.pairs == 3
+    assert most_similar(df.where("false"), df).rows.count() == 0 == most_similar(asked, df.where("false")).rows.count()
+    with pytest.raises(Exception, match="different dimensions"):
+        most_similar(df.where("vec_id = 7"), df.unionByName(spark.createDataFrame([(1, [1.0], "x")], df.schema)))
+
+
 # -- queries against their SQL
 
 
