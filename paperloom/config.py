@@ -37,6 +37,10 @@ class Config:
     def store_address(self) -> str:
         return f"{self.store_endpoint}:{self.store_port}"
 
+    @property
+    def store_url(self) -> str:
+        return f"{'https' if self.store_ssl else 'http'}://{self.store_address}"
+
 
 def _int_prefix(value: str, default: int) -> int:
     """A leading integer, as lenient parsers read it; the default without one."""

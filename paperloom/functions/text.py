@@ -44,7 +44,8 @@ def object_key(paper_id: Column) -> Column:
 
 
 def object_url(endpoint: str, bucket: str, key: Column) -> Column:
-    return F.concat(F.lit(f"http://{endpoint}/{bucket}/"), key)
+    """``endpoint``: an address, or a URL that names its scheme."""
+    return F.concat(F.lit(f"{endpoint if '://' in endpoint else f'http://{endpoint}'}/{bucket}/"), key)
 
 
 def without_comments(tex: Column) -> Column:

@@ -147,7 +147,7 @@ def process(state: State, tasks: DataFrame, eprints: DataFrame | Fetch, ask: Ask
     settings = settings or config(tasks.sparkSession)
     after = added(state, tasks, *order)
     found = outcomes_once(sound(tasks)[0], eprints, ask, embed, work, settings, store, version, order)
-    return enriched(after, found, settings.store_address, settings.store_bucket)
+    return enriched(after, found, settings.store_url, settings.store_bucket)
 
 
 def touched(state: State, tasks: DataFrame) -> State:

@@ -11,7 +11,8 @@ from ..functions import documents
 from ..functions import text as X
 from ..operators import checkpoint, graph, limits, similar, tables
 from ..sources import feed, models
-from . import extensions, ingest, serve
+from ..session import shared_path
+from . import extensions, ingest, searching, serve
 from .testdata import graph as test_graph
 from .testdata import reader_graph, table, tags
 
@@ -574,3 +575,14 @@ def names_contained(spark, d):
     docs = table(spark, d, "documents")
     asked = docs.where("text is not null").select(F.lower(F.substring(F.trim("text"), 1, 12)).alias("name"))
     return tables.contained(asked, docs.where("doc_id % 2 = 1").select(F.lower("text").alias("name")))
+
+
+@query(f"""select 'title' as kind, doc_id::varchar as id from documents where contains(lower(text), lower('{SOUGHT}'))
+union all select 'node', 'Author' || chr(31) || c_custkey from customer where contains(lower(c_name), lower('{SOUGHT}'))
+union all select 'node', 'TechTag' || chr(31) || p_partkey from part where contains(lower(p_name), lower('{SOUGHT}'))
+union all select 'node', 'Category' || chr(31) || o_orderpriority from (select distinct o_orderpriority from orders) where contains(lower(o_orderpriority), lower('{SOUGHT}'))""")
+def search_index(spark, d):
+    """The search over titles and graph nodes, through a stored index: documents as titles."""
+    nodes, _ = test_graph(spark, d)
+    texts = searching.title_texts(table(spark, d, "documents"), "doc_id", "text").unionByName(searching.node_texts(nodes))
+    return searching.TextIndex(spark, shared_path(spark, "search")).build(texts).search(SOUGHT).select("kind", "id")

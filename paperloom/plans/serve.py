@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import config
 from ..functions.text import first_label
 from ..schemas import PAPER, VOCABULARIES, Branch
 
 
-def papers_recent(papers: DataFrame, created: str, key: str, n: int = 50) -> DataFrame:
-    """The n newest; those without a time come first."""
+def papers_recent(papers: DataFrame, created: str, key: str, n: int | None = None) -> DataFrame:
+    """The n newest (``list_size`` of the settings, if n is not given); those without a time come first."""
+    n = config(papers.sparkSession).list_size if n is None else n
     return papers.orderBy(F.desc_nulls_first(created), key).limit(n)
 
 
@@ -52,18 +54,19 @@ def outgoing(papers: DataFrame, edges: DataFrame, both_ways: bool = False) -> Da
     return papers.join(steps, "p", "left").select("p", "m", "type")
 
 
-def expand(nodes: DataFrame, edges: DataFrame, n: int = 200, both_ways: bool = False) -> DataFrame:
-    """The first n rows of ``outgoing`` in a total order.
+def expand(nodes: DataFrame, edges: DataFrame, n: int | None = None, both_ways: bool = False) -> DataFrame:
+    """The first n rows of ``outgoing`` in a total order (``graph_rows`` of the settings, if n is not given).
 
     Each paper gives a row at least, so n rows come from the first n papers: only these are expanded.
     """
+    n = config(nodes.sparkSession).graph_rows if n is None else n
     first = nodes.where(F.col("label") == PAPER).select(F.col("element_id").alias("p")).orderBy("p").limit(n)
     ends = F.col("src") == F.col("p") if not both_ways else (F.col("src") == F.col("p")) | (F.col("dst") == F.col("p"))
     near = edges.join(F.broadcast(first), ends, "left_semi")
     return outgoing(first, near, both_ways).orderBy("p", F.asc_nulls_last("type"), F.asc_nulls_last("m")).limit(n)
 
 
-def graph_view(nodes: DataFrame, edges: DataFrame, n: int = 200, both_ways: bool = False) -> tuple[DataFrame, DataFrame]:
+def graph_view(nodes: DataFrame, edges: DataFrame, n: int | None = None, both_ways: bool = False) -> tuple[DataFrame, DataFrame]:
     """Nodes (id, element_id, label, props), each once, and edges (source, target, type) between element ids.
 
     ``id`` is the node's own id property where it has one; edges always name element ids.

@@ -44,13 +44,12 @@ def ship(spark: SparkSession) -> None:
     sc._paperloom_shipped = True
 
 
-def kept_table(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in ``spark.checkpoint.dir``, read back: what follows doesn't compute it again.
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in ``spark.checkpoint.dir``, deleted when the driver ends.
 
     The folder is shared by driver and executors, so lost executors cost nothing; only a session of one machine that names none
-    gets a folder of its own. Tables go when the driver ends.
+    gets a folder of its own.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
@@ -59,7 +58,6 @@ def kept_table(df: DataFrame, name: str) -> DataFrame:
         sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='paperloom-')}")
         root = sc.getCheckpointDir()
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
 
     def remove() -> None:
         try:
@@ -69,4 +67,11 @@ def kept_table(df: DataFrame, name: str) -> DataFrame:
             pass
 
     atexit.register(remove)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def kept_table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table below ``shared_path``, read back: what follows doesn't compute it again."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

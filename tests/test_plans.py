@@ -55,6 +55,22 @@ def test_settings(spark):
     spark.conf.unset("paperloom.port")
 
 
+def test_sizes_come_from_the_settings(spark):
+    papers = spark.range(80).select("id", F.col("id").alias("created"))
+    nodes = spark.createDataFrame([(f"p{k:03d}", "Paper", {"id": str(k)}) for k in range(250)], NODES)
+    edges = spark.createDataFrame([], EDGES)
+    assert serve.papers_recent(papers, "created", "id").count() == 50 and serve.expand(nodes, edges).count() == 200
+    spark.conf.set("paperloom.list_size", "7")
+    spark.conf.set("paperloom.graph_rows", "9")
+    try:
+        assert serve.papers_recent(papers, "created", "id").count() == 7 and serve.expand(nodes, edges).count() == 9
+        assert serve.graph_view(nodes, edges)[0].count() == 9 and serve.papers_recent(papers, "created", "id", 3).count() == 3
+    finally:
+        spark.conf.unset("paperloom.list_size")
+        spark.conf.unset("paperloom.graph_rows")
+    assert config.Config(store_ssl=True).store_url == "https://localhost:9000" and config.Config().store_url == "http://localhost:9000"
+
+
 # -- feeds
 
 
@@ -799,6 +815,29 @@ def test_most_similar(spark):
         most_similar(df.where("vec_id = 7"), df.unionByName(spark.createDataFrame([(1, [1.0], "x")], df.schema)))
 
 
+def test_search_index(spark, tmp_path):
+    import random
+
+    from paperloom.plans import searching
+
+    rng = random.Random(3)
+    said = ["".join(rng.choices("abcABé %_", k=rng.randint(0, 40))) for _ in range(300)] + ["Graph Neural Networks", "graph theory", "ÜBER Graphen", ""]
+    papers = spark.createDataFrame([(str(k), t) for k, t in enumerate(said)] + [("none", None)], "id string, title string")
+    nodes = spark.createDataFrame([("p", "Paper", {"id": "1", "title": "On GRAPHS"}), ("a", "Author", {"name": "Anna Graph"}), ("n", None, {}), ("t", "TechTag", {"name": "abc"})], NODES)
+    texts = searching.title_texts(papers).unionByName(searching.node_texts(nodes))
+    index = searching.TextIndex(spark, f"file://{tmp_path}/index", folders=16).build(texts)
+    rows = [(r["kind"], r["id"], r["text"]) for r in texts.where("text is not null").collect()]
+    for query in ("graph", "GRAPH", "über", "abca", "a%b", "_", "ab", "", "é a", "nowhere at all", "aaa"):
+        want = sorted(r for r in rows if query.lower() in r[2].lower())
+        assert sorted(tuple(r) for r in index.search(query).collect()) == want, query
+    assert {r[0] for r in index.search("graph").collect()} == {"title", "node"}
+    # a query's lists come from their own folders, and its trigrams are looked for in the files
+    lists = index._lists(["gra", "rap"])
+    plan = lists._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(gram" in plan and ("PartitionFilters: [folder" in plan or "PartitionFilters: [isnotnull(folder" in plan)
+    assert index.candidates("ab") is None and index.candidates("zzz").count() == 0
+
+
 # -- queries against their SQL
 
 
