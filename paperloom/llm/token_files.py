@@ -1,6 +1,6 @@
 """Token-id files: independent zstandard frames, a trailing seek table and per-frame checksums.
 
-One file holds the documents of one range of ids, in ascending order:
+One file holds the documents of one range of ids, about ``FILE_BYTES`` of them, in ascending order:
 
 * data frames: the little-endian ids of one or more whole documents, about ``FRAME_BYTES`` raw;
 * a skippable frame with the document index: per document its id, its frame and its ids' count;
@@ -33,6 +33,8 @@ from .tokens import default_tokenizer, encoder
 #: Fixed values of the zstandard formats: a skippable frame, the seek table's frame, its footer.
 INDEX_MAGIC, SEEK_MAGIC, FOOTER_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 FRAME_BYTES = 128 * 1024
+#: Ids' bytes of a file, at least of all but a task's last one; the next document begins another file.
+FILE_BYTES = 256 << 20
 BATCH_DOCS = 256
 _DOC = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("frame", "<u4"), ("n", "<u8")])
 _SEEK = np.dtype([("compressed", "<u4"), ("raw", "<u4"), ("check", "<u4")])
@@ -134,11 +136,20 @@ def _file_system(path: str) -> tuple[pa.fs.FileSystem, str]:
     return pa.fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 0, item_bytes: int = 4) -> DataFrame:
+def _some(first: tuple[int | None, bytes], rest: Iterator[tuple[int | None, bytes]], most: int) -> Iterator[tuple[int | None, bytes]]:
+    """``first``, and of the rest as many documents as come before so many bytes are full."""
+    yield first
+    size = len(first[1])
+    while size < most and (row := next(rest, None)) is not None:
+        size += len(row[1])
+        yield row
+
+
+def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 0, item_bytes: int = 4, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Encode ``docs`` (doc_id, text) into files below ``path``; one row per file.
 
-    Ranges of ids make the files, so one shuffle of the texts sorts the corpus, and every file is
-    written by one task as a stream of small batches. A repeated task writes the same bytes under a
+    One shuffle of the texts sorts the corpus by ranges of ids, and each task writes its range as a
+    stream of small batches into files of about ``FILE_BYTES``, whatever the number of tasks. A repeated task writes the same bytes under a
     name of its own attempt and renames it, so losing an executor leaves no half file.
     """
     tokenizer = tokenizer or default_tokenizer()
@@ -153,31 +164,31 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
                     some = batch.slice(at, BATCH_DOCS)
                     yield from zip(some.column(0).to_pylist(), encode(list(strings(some.column(1))), end_id), strict=True)
 
-        rows = pairs()
-        if (first := next(rows, None)) is None:
-            return
+        rows, part = pairs(), 0
         fs, folder = _file_system(path)
-        fs.create_dir(folder, recursive=True)
-        name = f"{folder}/ids-{shard:06d}.zst"
-        attempt = f"{name}.{TaskContext.get().taskAttemptId()}"
-        # frames are compressed already: pyarrow must not go by the name's ending
-        with fs.open_output_stream(attempt, compression=None) as sink:
-            n_docs, n_ids = write_file(sink, (x for part in ([first], rows) for x in part), item_bytes=item_bytes)
-        if fs.get_file_info(name).type != pa.fs.FileType.NotFound:  # an earlier attempt got as far
-            fs.delete_file(name)
-        fs.move(attempt, name)
-        yield pa.RecordBatch.from_pydict({"shard": [shard], "file": [f"ids-{shard:06d}.zst"], "n_docs": [n_docs], "n_ids": [n_ids]})
+        while (first := next(rows, None)) is not None:
+            fs.create_dir(folder, recursive=True)
+            name = f"ids-{shard:06d}-{part:06d}.zst"
+            attempt = f"{folder}/{name}.{TaskContext.get().taskAttemptId()}"
+            # frames are compressed already: pyarrow must not go by the name's ending
+            with fs.open_output_stream(attempt, compression=None) as sink:
+                n_docs, n_ids = write_file(sink, _some(first, rows, file_bytes), item_bytes=item_bytes)
+            if fs.get_file_info(f"{folder}/{name}").type != pa.fs.FileType.NotFound:  # an earlier attempt got as far
+                fs.delete_file(f"{folder}/{name}")
+            fs.move(attempt, f"{folder}/{name}")
+            yield pa.RecordBatch.from_pydict({"shard": [shard], "part": [part], "file": [name], "n_docs": [n_docs], "n_ids": [n_ids]})
+            part += 1
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # rows that share an id, or have none, may be many: the range goes by a hash too
     ordered = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    return ordered.mapInArrow(write, "shard long, file string, n_docs long, n_ids long")
+    return ordered.mapInArrow(write, "shard long, part long, file string, n_docs long, n_ids long")
 
 
 def read_token_files(spark: SparkSession, path: str, files: DataFrame, wanted: list[int] | None = None) -> DataFrame:
     """Documents of the files: doc_id, start (over all files), n_tokens, ids (binary, 32-bit)."""
     # one row per file: the running total passes through one small task
-    based = files.withColumn("base", F.sum("n_ids").over(Window.orderBy("shard")) - F.col("n_ids")).select("file", "base")
+    based = files.withColumn("base", F.sum("n_ids").over(Window.orderBy("shard", "part")) - F.col("n_ids")).select("file", "base")
     chosen = None if wanted is None else set(wanted)
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

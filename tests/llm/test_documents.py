@@ -331,6 +331,11 @@ def test_token_files(spark, edge_docs, no_docs, encode, tmp_path):
     files = T.write_token_files(df, f"file://{tmp_path}/ids").cache()
     some = [i for i, _ in rows[:5]]
     assert sorted(r["doc_id"] for r in T.read_token_files(spark, f"file://{tmp_path}/ids", files, some).collect()) == sorted(some)
+    # files end by their bytes, whatever the number of tasks, and are read as one sequence
+    small = T.write_token_files(df.coalesce(1), f"file://{tmp_path}/small", file_bytes=2000).cache()
+    assert small.count() > 8 and small.agg({"n_docs": "sum"}).first()[0] == len(rows)
+    again = {r["doc_id"]: (r["start"], r["n_tokens"], zlib.crc32(r["ids"])) for r in T.read_token_files(spark, f"file://{tmp_path}/small", small).collect()}
+    assert again == {i: (got[i]["start"], got[i]["n_tokens"], got[i]["ids_crc32"]) for i, _ in rows}
 
 
 def test_frames_are_read_alone_and_checked(tmp_path):
@@ -608,6 +613,61 @@ def test_each_stage_equals_brute_force(spark):
     assert lengths == {i: len(encode([t])[0]) // 4 for i, t in rows}
 
 
+def test_quality_stage_keeps_what_reads_like_good_texts(spark, tmp_path):
+    """Two ways of writing, labels for half of the rows: the others are judged right, whatever their ids."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(12)
+    syllables = ["ta", "ri", "mo", "len", "sor", "ve", "kan", "du"]
+    word = lambda: "".join(rng.choices(syllables, k=rng.randint(1, 3)))
+
+    def prose():
+        return " ".join((" ".join(word() for _ in range(rng.randint(5, 12))).capitalize() + ".") for _ in range(rng.randint(3, 9)))
+
+    def junk():
+        return " ".join(rng.choice(["$$$", "CLICK", "!!!", "BUY>>", "0000", "#win#"]) for _ in range(rng.randint(20, 60)))
+
+    good = {k: rng.random() < 0.6 for k in range(300)}
+    rows = [(k, prose() if g else junk()) for k, g in good.items()]
+    taught = [k for k in good if zlib.crc32(str(k).encode()) % 3 != 1][:120]
+    spark.createDataFrame([(k, int(good[k])) for k in taught], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    df = spark.createDataFrame([*rows, (None, prose()), (None, junk())], "doc_id long, text string")
+    kept = dict(pipeline.STAGES)["quality"](spark, df, str(tmp_path))
+    assert sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == [k for k in good if good[k]]
+    assert kept.where("doc_id is null").count() == 1 and kept.columns == df.columns
+
+
+def test_pii_stage_masks_what_was_planted(spark):
+    """Texts with known data in known places: these are masked, and nothing else changes."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(8)
+
+    def card():
+        digits = [4, *(rng.randrange(10) for _ in range(14))]
+        total = sum(d if k % 2 else sum(divmod(2 * d, 10)) for k, d in enumerate(digits))
+        return "".join(map(str, [*digits, -total % 10]))
+
+    made = {
+        "[EMAIL]": lambda: f"{rng.choice(['ann', 'bo.li', 'c_d'])}@{rng.choice(['mail', 'post'])}.example.org",
+        "[IP]": lambda: ".".join(str(rng.randrange(256)) for _ in range(4)),
+        "[CARD]": card,
+        "[PHONE]": lambda: f"+{rng.randrange(10, 99)} {rng.randrange(100, 999)} {rng.randrange(1000000, 9999999)}",
+    }
+    plain = ["the meeting lasted all day", "we walked home slowly", "nothing else was said", "they sold twelve apples"]
+    rows, want = [], {}
+    for k in range(120):
+        parts = [rng.choice(plain) for _ in range(rng.randint(1, 4))]
+        shown = list(parts)
+        for name in rng.sample(list(made), k=k % 3):
+            at = rng.randint(0, len(parts))
+            parts.insert(at, f"here: {made[name]()} ,")
+            shown.insert(at, f"here: {name} ,")
+        rows.append((k, " and ".join(parts), 0))
+        want[k] = " and ".join(shown)
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in dict(pipeline.STAGES)["pii"](spark, df, "").collect()}
+    assert got == {k: (t, len(t)) for k, t in want.items()}
+
+
 def test_added_spans_of_a_long_text(spark):
     """A text of a megabyte with a match in every line, against the test of each span with each."""
     from paperloom.llm import pii
