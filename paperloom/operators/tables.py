@@ -73,11 +73,19 @@ GRAM = 3
 
 
 def grams(text: Column, size: int = GRAM) -> Column:
-    """The distinct pieces of ``size`` letters of a text; none of a shorter one. Of no letters there is one in any."""
+    """The distinct pieces of ``size`` letters of a text; none of a shorter one. Of no letters there is one in any.
+
+    The text is cut into letters, which are joined to their neighbours: a piece cut out of a long text would be
+    looked for from its beginning.
+    """
     if not size:
         return F.array(F.lit(""))
-    whole = F.transform(F.sequence(F.lit(1), F.length(text) - (size - 1)), lambda k: F.substring(text, k, F.lit(size)))
-    return F.array_distinct(F.when(F.length(text) >= size, whole).otherwise(F.array().cast("array<string>")))
+    letters, n = F.split(text, ""), F.length(text)
+    pieces = letters
+    for k in range(1, size):
+        pieces = F.zip_with(pieces, F.slice(letters, k + 1, F.greatest(n, F.lit(1))), lambda a, b: F.concat(a, b))
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.when(n >= size, F.slice(pieces, 1, F.greatest(n - (size - 1), F.lit(0)))).otherwise(none))
 
 
 def contained(required: DataFrame, available: DataFrame, name: str = "name") -> DataFrame:
