@@ -6,7 +6,7 @@ round. Rounds run over all elements of a document at once.
 
 * Equal shingle sets are one class from the start (a digest groups them with map-side combining).
 * ``BANDS`` bands of ``ROWS`` ranks propose buckets: a pair at the threshold of 0.8 shares none with
-  a probability of (1 - 0.8**4)**24, about 3 in a million. Nothing after banding loses a link.
+  a probability of (1 - 0.8**6)**32, about 6 in 100,000. Nothing after banding loses a link.
 * In each bucket, members are first held against its most central member. Components follow.
 * What is left are members of one bucket in different components. Buckets of at most ``DIRECT``
   classes compare them with each other. A larger one is split: of two sets that are linked while one
@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, extended
-from .shared import SENT_KEYS, Scratch, materialize, sent_if_few, strings
+from .shared import SENT_KEYS, Scratch, in_small_batches, materialize, sent_if_few, strings
 from .words import codes_of, mixed, shingles, words_of
 
 BANDS, ROWS = 32, 6
@@ -116,7 +116,7 @@ def signatures(docs: DataFrame, words: int, hashed: bool = False) -> DataFrame:
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(parity, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*columns, *batch.columns[2:]], names=[x.split()[0] for x in schema.split(", ")])
 
-    return docs.mapInArrow(sign, schema)
+    return in_small_batches(docs).mapInArrow(sign, schema)
 
 
 def _possible(threshold: int) -> str:
@@ -140,7 +140,7 @@ def _sets(docs: DataFrame, asked: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array([shingle_set(t, words).astype(np.int64) for t in strings(some.column(1))], pa.list_(pa.int64()))], names=["a", "codes"])
 
     asked = sent_if_few(asked, BROADCAST_IDS)
-    return docs.select(F.col("doc_id").alias("a"), "text").join(asked, "a", "left_semi").mapInArrow(sets, "a long, codes array<long>")
+    return in_small_batches(docs.select(F.col("doc_id").alias("a"), "text").join(asked, "a", "left_semi")).mapInArrow(sets, "a long, codes array<long>")
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:

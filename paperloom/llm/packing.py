@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize, strings
+from .shared import in_small_batches, materialize, strings
 from .tokens import default_tokenizer, encoder
 
 WINDOW = 1024
@@ -121,7 +121,7 @@ def pack(docs: DataFrame, size: int = WINDOW, open_windows: int = OPEN_WINDOWS,
                 yield _batch(out)
         yield _batch([x for window in windows.rest() for x in _numbered(window, None)])
 
-    placed = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(place, PIECE), "packed")
+    placed = materialize(in_small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).mapInArrow(place, PIECE), "packed")
     left = placed.where("sequence_id is null")
     tasks = max(1, -(-left.count() // MERGE_PIECES))
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import strings
+from .shared import in_small_batches, strings
 
 KINDS = ("email", "ip", "card", "phone")
 LONGEST = 16
@@ -417,7 +417,7 @@ def fit_field(documents: DataFrame, sample_docs: int = SAMPLE_DOCS) -> SemiMarko
                         out.add(text[max(0, r.start - 24) : r.offsets[-1] + 2])
             yield pa.RecordBatch.from_pydict({"piece": pa.array(sorted(out), pa.string())})
 
-    found = pieces.select("text").mapInArrow(contexts, "piece string").distinct().orderBy(F.xxhash64("piece"), "piece").limit(TRAIN_REGIONS).collect()
+    found = in_small_batches(pieces.select("text")).mapInArrow(contexts, "piece string").distinct().orderBy(F.xxhash64("piece"), "piece").limit(TRAIN_REGIONS).collect()
     examples = [x for row in found for x in labelled(row["piece"], base_spans(row["piece"]))]
     field = SemiMarkovField.blank()
     seeds = list(example_regions())
@@ -475,7 +475,7 @@ def find_personal_data(documents: DataFrame) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:4]), *(pa.array(c, pa.string()) for c in columns[4:])], names=["doc_id", *(x.split()[0] for x in _FOUND.split(", "))])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(find, f"doc_id long, {_FOUND}")
+    return in_small_batches(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).mapInArrow(find, f"doc_id long, {_FOUND}")
 
 
 def redact_personal_data(documents: DataFrame) -> DataFrame:
@@ -492,5 +492,5 @@ def redact_personal_data(documents: DataFrame) -> DataFrame:
                 texts = [None if t is None else redacted(t, all_spans(t, shared.value)[1]) for t in strings(part.column(at))]
                 yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == at else c for k, c in enumerate(part.columns)], names=columns)
 
-    out = picked.mapInArrow(redact, picked.schema)
+    out = in_small_batches(picked).mapInArrow(redact, picked.schema)
     return out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(documents.schema["n_chars"].dataType)) if "n_chars" in columns else out

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import strings
+from .shared import in_small_batches, strings
 
 FEATURES = 4096
 DIMENSIONS = 48
@@ -142,7 +142,7 @@ def fit_classifier(documents: DataFrame, labels: DataFrame, max_labelled: int =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.int32()))], names=["doc_id", "quality", "at", "n"])
 
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "quality").mapInArrow(count, "doc_id long, quality int, at array<int>, n array<int>").orderBy("doc_id", "quality", "at", "n").limit(max_labelled).collect()
+    found = in_small_batches(texts.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "quality")).mapInArrow(count, "doc_id long, quality int, at array<int>, n array<int>").orderBy("doc_id", "quality", "at", "n").limit(max_labelled).collect()
     counts = np.zeros((len(found), FEATURES + SHARES), np.float32)
     for row, one in zip(counts, found, strict=True):
         row[one["at"]] = one["n"]
@@ -156,19 +156,21 @@ def score_documents(documents: DataFrame, model: LatentNeighbours, columns: list
     """``columns`` of ``documents`` (doc_id by default) and their score; one scan, no shuffle."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
     kept = columns or ["doc_id"]
+    # a text that is kept is not sent twice
+    own = "text" in kept and documents.schema["text"].dataType.simpleString() == "string"
+    picked = documents.select(*kept) if own else documents.select(*kept, F.col("text").cast("string").alias("scored_text"))
+    at_text, names = kept.index("text") if own else len(kept), [*kept, score_name]
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
+            texts = batch.column(at_text)
             for at in range(0, len(batch), BLOCK):
                 block = np.stack([counts_of(t) for t in strings(texts.slice(at, BLOCK))])
-                yield pa.RecordBatch.from_arrays([*(c.slice(at, BLOCK) for c in batch.columns[:-1]), pa.array(fitted.score(block), pa.float64())], names=names)
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, BLOCK) for c in batch.columns[: len(kept)]), pa.array(fitted.score(block), pa.float64())], names=names)
 
-    picked = documents.select(*kept, F.col("text").cast("string").alias("scored_text"))
-    names = [*kept, score_name]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1]) + f", `{score_name}` double"
-    return picked.mapInArrow(score, schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[: len(kept)]) + f", `{score_name}` double"
+    return in_small_batches(picked).mapInArrow(score, schema)
 
 
 def quality_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
