@@ -17,7 +17,7 @@ from paperloom.llm.near_dup import one_of_each
 from paperloom.llm.packing import pack
 from paperloom.llm.pii import redact_personal_data
 from paperloom.llm.quality import good_documents
-from paperloom.llm.shared import new_path
+from paperloom.llm.shared import drop_path, new_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,9 +72,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = new_path(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:  # nothing reads it any more
+            drop_path(spark, before)
+        before = path
     return docs
