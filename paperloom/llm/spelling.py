@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, strings
+from .shared import Scratch, in_small_batches, shuffle_partitions, strings
 
 #: Runs of letters, and what of them is lower-cased.
 RUN = re.compile(f"[A-Za-z{chr(0xC0)}-{chr(0xFF)}]+")
@@ -43,6 +43,8 @@ LEAST_CHARS, LEAST_COUNT = 5, 3
 COUNTED = 300_000
 #: Files of more words are split.
 FILE_WORDS = 2000
+#: Rows of files that a task gets, about.
+TASK_ROWS = 100_000
 
 
 # -- words
@@ -78,7 +80,7 @@ def counted_words(docs: DataFrame, least: int = LEAST_COUNT) -> DataFrame:
                     total.clear()
         yield part()
 
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "word string, n long")
+    rows = in_small_batches(docs.select("doc_id", F.col("text").cast("string").alias("text"))).mapInArrow(run, "word string, n long")
     return rows.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
 
@@ -102,24 +104,25 @@ def _halves(rows: DataFrame, size: Column, head: Column, tail: Column) -> DataFr
     return rows.withColumn("side", F.explode(sides)).select("word", "n", "size", "longer", F.col("side.head").alias("head"), F.col("side.tail").alias("tail"))
 
 
-def _files(words: DataFrame, scratch: Scratch, most: int) -> DataFrame:
-    """word, n, size, longer, head, tail and file: each word in each file where it may meet a word one edit away.
+def _files(words: DataFrame, scratch: Scratch, most: int) -> tuple[DataFrame, int]:
+    """word, n, size, longer, head, tail and file: each word in each file where it may meet a word one edit away; and how many rows that are.
 
     ``size`` is the length of a file's shorter words; ``longer`` marks words of one letter more.
     """
     zero = F.lit(0)
     both = words.withColumn("longer", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("size", F.length("word") - F.col("longer").cast("int")).where(F.col("size") >= LEAST_CHARS)
     now = scratch.table(_filed(_halves(both, F.col("size"), zero, zero)), "files")
-    kept = None
+    kept, n = None, 0
     while True:
         sizes = now.groupBy("file").agg(F.count("*").alias("held"), F.count_if(~F.col("longer")).alias("shorter"), F.max(F.col("size") - F.col("head") - F.col("tail")).alias("open"))
         sizes = scratch.table(sizes.where("held > 1 and shorter > 0"), "sizes")
         split = (F.col("held") > most) & (F.col("open") > 1)
         fit = now.join(sizes.where(~split).select("file"), "file", "left_semi")
         kept = fit if kept is None else kept.unionByName(fit)
+        n += sizes.where(~split).agg(F.sum("held")).first()[0] or 0
         large = sizes.where(split).select("file")
         if large.isEmpty():
-            return kept
+            return kept, n
         over = now.join(large, "file", "left_semi")
         # what isn't shared gets shorter each time, so this ends
         now = scratch.table(_filed(_halves(over, F.col("size"), F.col("head"), F.col("tail"))), "files")
@@ -225,7 +228,8 @@ def _batch(words: list, counts: list, bests: list, rivals: list) -> pa.RecordBat
 
 def near_words(words: DataFrame, scratch: Scratch, most: int = FILE_WORDS) -> DataFrame:
     """words (word, n): n_near, and the most frequent near word as form and form_n, of each word that has one."""
-    filed = _files(words, scratch, most).repartition("file").sortWithinPartitions("file")
+    rows, n = _files(words, scratch, most)
+    filed = rows.repartition(max(shuffle_partitions(words.sparkSession), -(-n // TASK_ROWS)), "file").sortWithinPartitions("file")
     found = filed.select("file", "head", "tail", "longer", "word", "n").mapInArrow(_found, "word string, n_near long, form_n long, form string")
     best = F.min(F.struct((-F.col("form_n")).alias("less"), "form")).alias("best")
     return found.groupBy("word").agg(F.sum("n_near").alias("n_near"), best).select("word", "n_near", F.col("best.form").alias("form"), (-F.col("best.less")).alias("form_n"))
