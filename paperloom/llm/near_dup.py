@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .components import components, extended
 from .shared import SENT_KEYS, Scratch, in_small_batches, materialize, sent_if_few, strings
-from .words import codes_of, mixed, shingles, words_of
+from .words import codes_of, forget_codes, mixed, shingles, words_of
 
 BANDS, ROWS = 32, 6
 SIZE = BANDS * ROWS
@@ -115,6 +115,7 @@ def signatures(docs: DataFrame, words: int, hashed: bool = False) -> DataFrame:
                 parity.append(parity_of(found) if some else None)
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(parity, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*columns, *batch.columns[2:]], names=[x.split()[0] for x in schema.split(", ")])
+        forget_codes()
 
     return in_small_batches(docs).mapInArrow(sign, schema)
 
@@ -138,6 +139,7 @@ def _sets(docs: DataFrame, asked: DataFrame, words: int) -> DataFrame:
             for at in range(0, len(batch), 512):
                 some = batch.slice(at, 512)
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array([shingle_set(t, words).astype(np.int64) for t in strings(some.column(1))], pa.list_(pa.int64()))], names=["a", "codes"])
+        forget_codes()
 
     asked = sent_if_few(asked, BROADCAST_IDS)
     return in_small_batches(docs.select(F.col("doc_id").alias("a"), "text").join(asked, "a", "left_semi")).mapInArrow(sets, "a long, codes array<long>")

@@ -32,6 +32,11 @@ def codes_of(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_codes.__getitem__, words), np.uint64, len(words))
 
 
+def forget_codes() -> None:
+    """Empty the memo: a worker that has done with a task's texts goes on to other work."""
+    _codes.clear()
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit (the finalizer of splitmix64)."""
     x = x ^ (x >> np.uint64(30))
