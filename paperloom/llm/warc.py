@@ -6,8 +6,8 @@ record is its header block, its payload if it carries it, and two line ends: joi
 the original records together again. What a record says is read from those bytes alone, and a
 revisit's payload is that of the response it refers to.
 
-Equal addresses must hold equal bytes, which is checked when payloads are grouped, and every payload
-is held against its address when it is read.
+Equal addresses must hold equal bytes: a second digest (SHA-512) is compared when payloads are grouped,
+which sends each payload once, and every payload is held against its address when it is read.
 
 Defined results: a null html is an empty payload; a null url is an empty target; of equal payloads
 the largest page_id is the response, and rows that repeat it are responses too (the same record
@@ -53,9 +53,10 @@ def write_archive(pages: DataFrame, path: str, least_bytes: int = 0, captured: s
     payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.regexp_replace(F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.lit("")), "\r", "%0D"), "\n", "%0A").alias("url"), payload.alias("payload"))
     rows = rows.select("page_id", "url", "payload", F.sha2("payload", 256).alias("address"), F.octet_length("payload").cast("long").alias("size"))
-    stored = rows.groupBy("address").agg(F.min("payload").alias("payload"), F.max("payload").alias("other"))
+    second = F.unhex(F.sha2("payload", 512))
+    stored = rows.groupBy("address").agg(F.min("payload").alias("payload"), F.min(second).alias("least"), F.max(second).alias("most"))
     differ = F.raise_error(F.concat(F.lit("two payloads share the address "), F.col("address"))).cast("binary")
-    stored.select("address", F.when(F.col("payload") == F.col("other"), F.col("payload")).otherwise(differ).alias("payload")).write.option("compression", "zstd").parquet(f"{path}/payloads")
+    stored.select("address", F.when(F.col("least") == F.col("most"), F.col("payload")).otherwise(differ).alias("payload")).write.option("compression", "zstd").parquet(f"{path}/payloads")
 
     facts = rows.select("page_id", "url", "address", "size", sha1_base32(F.col("payload")).alias("digest"))
     largest = facts.where(F.col("size") >= least_bytes).groupBy("address").agg(F.max("page_id").alias("largest"))
