@@ -147,9 +147,12 @@ def _sets(docs: DataFrame, asked: DataFrame, words: int) -> DataFrame:
 
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs (a, b, ...) with the sets x of a and y of b; a set that many ask for goes to several tasks."""
-    asked = pairs.groupBy("b").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
+    most = max(SHARE, pairs.count() // SENT_KEYS)
+    asked = pairs.groupBy("b").agg(F.ceil(F.count("*") / most).cast("int").alias("shares"))
     y = sets.select(F.col("a").alias("b"), F.col("codes").alias("y")).join(asked, "b").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
-    x = pairs.join(asked, "b").withColumn("share", F.pmod(F.xxhash64("a"), F.col("shares")).cast("int")).drop("shares").join(sets.withColumnRenamed("codes", "x"), "a")
+    # more than ``most`` pairs each, so at most SENT_KEYS rows: pairs don't meet them by a shuffle on b
+    several = F.broadcast(asked.where("shares > 1"))
+    x = pairs.join(several, "b", "left").withColumn("share", F.pmod(F.xxhash64("a"), F.coalesce("shares", F.lit(1))).cast("int")).drop("shares").join(sets.withColumnRenamed("codes", "x"), "a")
     return x.join(y, ["b", "share"]).drop("share")
 
 
@@ -279,6 +282,22 @@ def near_duplicates(documents: DataFrame, words: int = 5, threshold: int = 80) -
     return _judged(documents, words, threshold, False).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def _by_digest(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """``rows`` (digest, ...) with what their class is ``named`` (digest, copies, named), null for those without one.
+
+    Classes of very many rows are sent to the rows: each has more than ``most`` copies, so there are at
+    most ``SENT_KEYS`` of them. Rows of all other classes meet theirs by a shuffle, rows without one by none.
+    """
+    most = max(SHARE, rows.count() // SENT_KEYS)
+    large = F.broadcast(named.where(F.col("copies") > most).select("digest", "named"))
+    others = named.where(F.col("copies") <= most).select("digest", "named")
+    held = rows.where("digest is not null")
+    of_large = held.join(large, "digest")
+    of_others = held.join(large, "digest", "left_anti").join(others, "digest", "left")
+    none = rows.where("digest is null").withColumn("named", F.lit(None).cast("long"))
+    return of_large.unionByName(of_others).unionByName(none)
+
+
 def _text_hash() -> Column:
     return F.unhex(F.sha2(F.encode(F.col("text").cast("string"), "UTF-8"), 256))
 
@@ -292,7 +311,7 @@ def _judged(documents: DataFrame, words: int, threshold: int, hashed: bool) -> D
     table = scratch.table
     signed = table(signatures(docs, words, hashed), "signatures")
     classes = table(
-        signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("a"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("parity").alias("parity")),
+        signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("a"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("parity").alias("parity")),
         "classes",
     )
     facts = classes.select("a", "n", *(F.col("parity")[k].alias(p) for k, p in enumerate(PARITY)))
@@ -316,6 +335,7 @@ def _judged(documents: DataFrame, words: int, threshold: int, hashed: bool) -> D
     large = rows.where(F.col("members") > DIRECT)
     # buckets with one central member are one from here on
     large = large.select(F.col("b").alias("key"), "a", "component", "b").distinct()
+    # a bucket made from another lacks that one's central member, so each is smaller and the rounds end
     while not large.isEmpty():
         center = large.select("b").distinct().join(found.withColumnRenamed("node", "b"), "b", "left").select("b", F.coalesce("component", "b").alias("center"))
         members = table(large.where("a <> b").join(center, "b"), "members")
@@ -340,9 +360,10 @@ def _judged(documents: DataFrame, words: int, threshold: int, hashed: bool) -> D
     if not more.isEmpty():
         sets = table(_sets(docs, more.select("a").union(more.select("b")).distinct(), words), "sets")
         found = extended(found, table(_verified(more, sets, threshold), "links"))
-    named = classes.select("digest", "a").join(found.withColumnRenamed("node", "a"), "a", "left").select("digest", F.coalesce("component", "a").alias("named"))
+    named = classes.select("digest", "a", "copies").join(found.withColumnRenamed("node", "a"), "a", "left").select("digest", "copies", F.coalesce("component", "a").alias("named"))
     extra = ["text_hash"] if hashed else []
-    judged = signed.join(named, "digest", "left").select("digest", *extra, "doc_id", "n_shingles", F.coalesce("named", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("named", "doc_id"), F.lit(False)).alias("kept"))
+    placed = _by_digest(signed.select("digest", *extra, "doc_id", "n_shingles"), table(named, "named"))
+    judged = placed.select("digest", *extra, "doc_id", "n_shingles", F.coalesce("named", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("named", "doc_id"), F.lit(False)).alias("kept"))
     return scratch.only(judged, "judged")
 
 
