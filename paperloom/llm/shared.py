@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import in_small_batches as in_small_batches
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
@@ -97,21 +99,6 @@ def sent_if_few(keys: DataFrame, most: int = SENT_KEYS) -> DataFrame:
     return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
 
 
-#: Rows of whole texts that a Python worker gets at a time; Spark's own bound of bytes holds beside it.
-TEXT_ROWS = 1000
-
-
-def in_small_batches(texts: DataFrame) -> DataFrame:
-    """``texts``, for a Python worker; from here on this session sends at most ``TEXT_ROWS`` rows in a batch.
-
-    A batch of texts is held by the JVM and by the worker, and so is what is made of it.
-    """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(texts.sparkSession.conf.get(name)) <= TEXT_ROWS:
-        texts.sparkSession.conf.set(name, str(TEXT_ROWS))
-    return texts
-
-
 def strings(column: pa.ChunkedArray | pa.Array) -> Iterator[str | None]:
     """Values of a string column, a few at a time, so that no second copy of a whole batch is held."""
     for at in range(0, len(column), 256):

@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import kept_table
+from .within import names_within
+
 
 def first_of_each(rows: DataFrame, key: str, *order: str) -> DataFrame:
     """The earliest row of each key. One struct minimum combines on the map side, so a hot key sends one row a task."""
@@ -91,25 +94,11 @@ def grams(text: Column, size: int = GRAM) -> Column:
 def contained(required: DataFrame, available: DataFrame, name: str = "name") -> DataFrame:
     """The distinct required names that an available name contains.
 
-    A name is looked up by the piece of it that the fewest available names have; only names that share that piece are
-    compared. A name of less than ``GRAM`` letters is its own piece; the empty name is contained in any. Null names
-    contain nothing and are contained in nothing.
+    Neither side is compared with the whole other one, and no available name is sent anywhere: see ``within``. The empty
+    name is contained in any. Null names contain nothing and are contained in nothing.
     """
-    wanted = required.select(F.col(name).alias("_name")).where("_name is not null").distinct()
-    have = available.select(F.col(name).alias("_have")).where("_have is not null").distinct()
-    piece = F.when(F.length("_name") < GRAM, F.array("_name")).otherwise(grams(F.col("_name")))
-    asked = wanted.select("_name", F.explode(piece).alias("_gram"))
-    sizes = [r[0] for r in asked.select(F.length("_gram")).distinct().collect()]  # at most GRAM numbers
-    if not sizes:
-        return wanted.select(F.col("_name").alias(name))
-    pieces = have.select("_have", F.explode(F.array_distinct(F.flatten(F.array(*(grams(F.col("_have"), n) for n in sorted(sizes)))))).alias("_gram"))
-    pieces = pieces.join(few(asked.select("_gram").distinct()), "_gram", "left_semi")
-    held = pieces.groupBy("_gram").agg(F.count("*").alias("_held"))
-    # a piece that no available name has rules its name out
-    rarest = asked.join(held, "_gram", "left").groupBy("_name").agg(F.min(F.struct(F.coalesce("_held", F.lit(0)).alias("held"), F.col("_gram").alias("gram"))).alias("_least"))
-    rarest = rarest.where("_least.held > 0").select("_name", F.col("_least.gram").alias("_gram"))
-    found = pieces.join(rarest, "_gram").where(F.contains("_have", "_name")).select("_name").distinct()
-    return found.select(F.col("_name").alias(name))
+    wanted = required.select(name).where(F.col(name).isNotNull()).distinct()
+    return names_within(kept_table(wanted, "names"), available.select(name))
 
 
 def missing(required: DataFrame, available: DataFrame, name: str = "name") -> DataFrame:

@@ -786,6 +786,45 @@ def test_contained_names(spark):
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
 
 
+def test_contained_names_send_no_texts(spark):
+    # a text has a row for each of its pieces nowhere, and no shuffle or broadcast carries texts
+    texts = spark.range(300).select(F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(2000)), lambda k: F.concat(F.col("id"), F.lit("x"), k))).alias("name"))
+    names = spark.range(0, 3000, 10).select(F.concat(F.lit(" "), F.col("id") % 300, F.lit("x"), F.col("id"), F.lit(" ")).alias("name"))
+    found = tables.contained(names, texts)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "_have" not in plan
+    assert sorted(r["name"] for r in found.collect()) == sorted(f" {k % 300}x{k} " for k in range(10, 2000, 10))
+    # long names, names that differ late, names that go over the end of a text
+    long = "".join(map(chr, range(0x3B1, 0x3B1 + 20))) * 40
+    have = spark.createDataFrame([(long,), ("tail of on",), ("e text",), (None,), ("12345678",)], "name string")
+    asked = [long, long[:-1] + "x", long[3:700], long[::-1], long[5:9], "tail of one", "of one text", "one", "12345678", "2345678", "123456789", "one text", "", None]
+    assert sorted(r["name"] for r in tables.contained(spark.createDataFrame([(x,) for x in asked], "name string"), have).collect()) == sorted([long, long[3:700], long[5:9], "12345678", "2345678", ""])
+
+
+def test_sieve_keeps_every_name(monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    from paperloom.operators import within
+
+    rng = random.Random(11)
+    for chunk in (1, 7, 64, 1 << 20):
+        monkeypatch.setattr(within, "CHUNK", chunk)
+        texts = ["".join(rng.choices("ab", k=rng.choice([0, 1, 9, 200]))).encode() for _ in range(12)]
+        names = {t[k : k + n] for t in texts for k, n in [(rng.randrange(len(t) + 1), rng.randint(1, 90)) for _ in range(9)]} | {b"a" * n for n in range(1, 12)}
+        names = sorted(names - {b""})
+        batch = pa.RecordBatch.from_arrays([pa.array(names, pa.binary())], names=["name"])
+        bits = {b for out in within._name_bits(16)([batch.slice(3), batch.slice(0, 3)]) for b in out.column(0).to_pylist()}
+        table = bytearray(1 << 13)
+        for b in bits:
+            table[b >> 3] |= 1 << (b & 7)
+        texts = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], names=["text"])
+        found = {x for out in within._look_up(sorted({len(n) for n in names}), bytes(table), 16)([texts.slice(0, 5), texts.slice(5)]) for x in out.column(0).to_pylist()}
+        assert found & set(names) == {n for n in names if any(n in t for t in texts.column(0).to_pylist())}
+        assert all(any(x in t for t in texts.column(0).to_pylist()) for x in found) and len(found - set(names)) < 0.1 * len(names) + 5
+
+
 def test_most_similar(spark):
     import numpy as np
 
