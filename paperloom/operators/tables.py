@@ -5,7 +5,7 @@ All are idempotent: the same batch again changes nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import kept_table
@@ -71,26 +71,10 @@ def joined_in_order(rows: DataFrame, key: str, text: str, *order: str) -> DataFr
     return rows.groupBy(key).agg(parts.alias("parts")).select(key, F.concat(F.array_join(F.transform("parts", lambda p: F.coalesce(p[text], F.lit(""))), "\n"), F.lit("\n")).alias(text))
 
 
-#: Letters of the pieces by which names are looked up.
+#: Letters of the pieces by which texts are looked up.
 GRAM = 3
 
 
-def grams(text: Column, size: int = GRAM) -> Column:
-    """The distinct pieces of ``size`` letters of a text; none of a shorter one. Of no letters there is one in any.
-
-    The text is cut into letters, which are joined to their neighbours: a piece cut out of a long text would be
-    looked for from its beginning.
-    """
-    if not size:
-        return F.array(F.lit(""))
-    letters, n = F.split(text, ""), F.length(text)
-    pieces = letters
-    for k in range(1, size):
-        pieces = F.zip_with(pieces, F.slice(letters, k + 1, F.greatest(n, F.lit(1))), lambda a, b: F.concat(a, b))
-    none = F.array().cast("array<string>")
-    return F.array_distinct(F.when(n >= size, F.slice(pieces, 1, F.greatest(n - (size - 1), F.lit(0)))).otherwise(none))
-
-
 def contained(required: DataFrame, available: DataFrame, name: str = "name") -> DataFrame:
     """The distinct required names that an available name contains.
 

@@ -877,6 +877,37 @@ def test_search_index(spark, tmp_path):
     assert index.candidates("ab") is None and index.candidates("zzz").count() == 0
 
 
+def test_search_index_keeps_lists(spark, tmp_path):
+    from paperloom.plans import searching
+
+    # many texts have the same trigrams: a list of them each, not a row for each text
+    texts = spark.range(3000).select(F.lit("title").alias("kind"), F.col("id").cast("string").alias("id"), F.concat(F.lit("the same words in all texts, "), F.col("id") % 10).alias("text"))
+    index = searching.TextIndex(spark, f"file://{tmp_path}/index", folders=8).build(texts.repartition(2))
+    stored = spark.read.parquet(f"file://{tmp_path}/index/grams")
+    assert stored.count() <= 3 * stored.select("gram").distinct().count() < 200
+    assert index.search("TEXTS, 7").count() == 300 and index.search("words").count() == 3000
+
+
+def test_lists_of_trigrams(monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    from paperloom.plans import searching
+
+    rng = random.Random(9)
+    for letters, block in ((1, 4), (50, 3), (1 << 20, 1 << 15)):
+        monkeypatch.setattr(searching, "LETTERS", letters)
+        monkeypatch.setattr(searching, "BLOCK", block)
+        rows = [(k + (k > 20) * (5 << 33), "".join(rng.choices("abé😀\x00", k=rng.choice([0, 2, 3, 40])))) for k in range(90)]
+        if letters == 1 << 20:  # so many letters that numbers of 64 bits don't hold all trigrams and texts at once
+            rows.append((7 << 33, "".join(map(chr, range(0x10000, 0x90000)))))
+        batch = pa.RecordBatch.from_pydict({"number": [r[0] for r in rows], "text": [r[1] for r in rows]})
+        want = {(t[k : k + 3], n) for n, t in rows for k in range(len(t) - 2)}
+        got = [(g, b * block + p) for out in searching._lists([batch.slice(0, 13), batch.slice(13)]) for g, b, places in zip(*(c.to_pylist() for c in out.columns), strict=True) for p in places]
+        assert set(got) == want
+
+
 # -- queries against their SQL
 
 
