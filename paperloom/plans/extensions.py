@@ -26,10 +26,22 @@ def related_authors(wrote: DataFrame, tags: DataFrame, author: object, n: int =
     return used.where(F.col("author") != F.lit(author)).join(own, "tag").groupBy("author").agg(F.count("*").alias("shared")).orderBy(F.desc("shared"), "author").limit(n)
 
 
+#: Rows of a part of the papers, whose pairs are counted together.
+PART_ROWS = 200_000
+
+
 def coauthors(wrote: DataFrame) -> DataFrame:
-    """Of ``wrote`` (paper, author): pairs of authors and their common papers. A paper's authors are few."""
-    pairs = wrote.distinct()
-    return pairs.alias("x").join(pairs.alias("y"), F.expr("x.paper = y.paper and x.author < y.author")).groupBy(F.col("x.author").alias("a"), F.col("y.author").alias("b")).agg(F.count("*").alias("papers"))
+    """Of ``wrote`` (paper, author): pairs of authors and their common papers. A paper's authors are few.
+
+    The number of tasks follows the rows, so what a task holds doesn't grow with them. A part's pairs are counted
+    where its papers' authors meet, and only these counts are sent; a task gets one part on average, and rarely more than five.
+    """
+    parts = max(wrote.sparkSession.sparkContext.defaultParallelism, -(-wrote.count() // PART_ROWS))
+    part = F.pmod(F.xxhash64("paper"), F.lit(parts)).alias("part")
+    papers = wrote.where("paper is not null").select(part, "paper", "author").repartition(parts, "part").groupBy("part", "paper").agg(F.collect_set("author").alias("authors"))
+    pairs = papers.select("part", "authors", F.explode("authors").alias("a")).select("part", "a", F.explode(F.filter("authors", lambda y: y > F.col("a"))).alias("b"))
+    counted = pairs.groupBy("part", "a", "b").agg(F.count("*").alias("papers"))
+    return counted.repartition(parts, "a", "b").groupBy("a", "b").agg(F.sum("papers").alias("papers"))
 
 
 def top_tags(tags: DataFrame, n: int = 20) -> DataFrame:

@@ -825,6 +825,30 @@ def test_sieve_keeps_every_name(monkeypatch):
         assert all(any(x in t for t in texts.column(0).to_pylist()) for x in found) and len(found - set(names)) < 0.1 * len(names) + 5
 
 
+def test_coauthors_in_parts(spark, monkeypatch):
+    import random
+    from collections import Counter
+    from itertools import combinations
+
+    from paperloom.plans import extensions
+
+    rng = random.Random(8)
+    rows = [(p, rng.choice([1, 2, rng.randrange(40), None])) for p in range(600) for _ in range(rng.randint(1, 6))] + [(None, 1), (None, 2), (7, 1), (7, 1), (7, 2)] + [(999, a) for a in range(60)]
+    wrote = {}
+    for p, a in rows:
+        if p is not None and a is not None:
+            wrote.setdefault(p, set()).add(a)
+    want = Counter(pair for authors in wrote.values() for pair in combinations(sorted(authors), 2))
+    df = spark.createDataFrame(rows, "paper long, author long")
+    for part_rows in (50, 200_000):
+        monkeypatch.setattr(extensions, "PART_ROWS", part_rows)
+        found = extensions.coauthors(df)
+        assert found.columns == ["a", "b", "papers"] and {(r["a"], r["b"]): r["papers"] for r in found.collect()} == want
+        # as many tasks as the rows ask for, in both steps
+        assert found.rdd.getNumPartitions() == max(4, -(-len(rows) // part_rows))
+    assert extensions.coauthors(df.where("false")).count() == 0
+
+
 def test_most_similar(spark):
     import numpy as np
 
