@@ -47,3 +47,31 @@ def test_special_token_in_a_document(spark):
         assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(want[r["doc_id"]]), crc[r["doc_id"]])
         at += r["n_tokens"]
     assert {(p["doc_id"], p["doc_tokens"], p["ids_crc32"]) for p in packing.pack(docs).collect()} == {(i, len(ids), crc[i]) for i, ids in want.items()}
+
+
+def test_words_at_lines_and_marks_are_looked_up(monkeypatch):
+    import random
+
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    from paperloom.llm import tokens
+
+    path, rng = tokens.default_tokenizer(), random.Random(6)
+    library = Tokenizer.from_file(path)
+    monkeypatch.setattr(tokens, "MEMO_PIECES", 80)
+    parts = ["a", "Th", "é", "ß", "n", "'s", "'", "12", "\n", "\n", "\t", "\r\n", " ", " ", " ", "***", ".", "!?", "_", "-", " ", "😀", "中文", "ª", "²", "́", "\x00"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(4000)] + ["x <|endoftext|> y\nz", "a \n b", "b\n c", "a \nb", "a\n\nb c"]
+    encoder = tokens.PieceEncoder(path)
+    for at in range(0, len(texts), 37):
+        some = texts[at : at + 37]
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(some, None)] == [library.encode(t, add_special_tokens=False).ids for t in some]
+    # only first words and marks go to the library's own call, and words that recur outlast the memo that held them
+    encoder, asked, words = tokens.PieceEncoder(path), [], []
+    call, word = encoder._encode, encoder.piece
+    encoder._encode = lambda some: asked.extend(some) or call(some)
+    encoder.piece = lambda p: words.append(p) or word(p)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for k in range(20):
+        encoder.encode([f"first often {a}{letters[k]}.\nNext{b}*** {a}{b}{letters[k]}" for a in letters[:6] for b in letters[:6]])
+    assert {*asked} <= {"first", "\n", ".", "***"} and words.count("often") == 1 and len(encoder._memo) < 200
