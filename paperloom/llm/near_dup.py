@@ -2,7 +2,7 @@
 
 SuperMinHash (Ertl, 2017): each element spreads correlated ranks over the signature, one slot a
 round in the order of its own permutation; rounds stop once every slot holds a rank of an earlier
-round. Rounds run over all elements of a document at once.
+round. Rounds run over all elements of many documents at once.
 
 * Equal shingle sets are one class from the start (a digest groups them with map-side combining).
 * ``BANDS`` bands of ``ROWS`` ranks propose buckets: a pair at the threshold of 0.8 shares none with
@@ -29,13 +29,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, extended
-from .shared import SENT_KEYS, Scratch, in_small_batches, materialize, sent_if_few, strings
-from .words import codes_of, forget_codes, mixed, shingles, words_of
+from .shared import SENT_KEYS, Scratch, in_small_batches, materialize, sent_if_few
+from .words import mixed, sets_of
 
 BANDS, ROWS = 32, 6
 SIZE = BANDS * ROWS
@@ -46,51 +47,109 @@ BROADCAST_IDS = SENT_KEYS
 SHARE = 2048
 #: 64-bit columns that hold the parities of a set.
 PARITY = [f"p{k}" for k in range(8)]
+#: Elements whose signatures are made together, about; an order of ``SIZE`` bytes is held for each.
+TOGETHER = 16_384
+#: Bytes of texts whose words are hashed together, about.
+PIECE = 4 * 2**20
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 def super_minhash(elements: np.ndarray, size: int = SIZE) -> np.ndarray:
     """The signature of a set of 64-bit codes: for each slot the round (high byte) and rank of its least element."""
-    sig = np.full(size, np.iinfo(np.uint64).max, np.uint64)
+    return super_minhashes(elements, np.array([0, len(elements)]), size)[0]
+
+
+def super_minhashes(elements: np.ndarray, starts: np.ndarray, size: int = SIZE) -> np.ndarray:
+    """The signature of each set; sets lie one after the other in ``elements``, from starts[k] to starts[k + 1]."""
+    counts = np.diff(starts)
+    out = np.full((len(counts), size), np.iinfo(np.uint64).max, np.uint64)
+    # sets of about one size need about as many rounds
+    by_size = np.argsort(counts, kind="stable")
+    by_size = by_size[counts[by_size] > 0]
+    for sets in np.split(by_size, np.flatnonzero(np.diff(np.cumsum(counts[by_size]) // TOGETHER)) + 1):
+        if len(sets):
+            n = counts[sets]
+            at = np.arange(n.sum()) + np.repeat(starts[sets] - (np.cumsum(n) - n), n)
+            out[sets] = _rounds(elements[at], n, size)
+    return out
+
+
+def _rounds(elements: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
+    """The signatures of sets of so many elements each, none empty."""
+    sig = np.full((len(counts), size), np.iinfo(np.uint64).max, np.uint64)
+    flat, sets = sig.reshape(-1), np.arange(len(counts))
+    of = np.repeat(sets * size, counts)  # where in ``flat`` an element's signature begins
     order = None
-    rows = np.arange(len(elements))
     for j in range(size):
         draw = mixed(elements + np.uint64(0x9E3779B97F4A7C15 * (j + 1) % 2**64))
-        pick = j + ((draw >> np.uint64(40)) % np.uint64(size - j)).astype(np.intp)
-        rank = (np.uint64(j) << np.uint64(56)) | (mixed(draw) >> np.uint64(8))
+        high = (draw >> np.uint64(40)).astype(np.uint32)
+        pick = j + (high - high // np.uint32(size - j) * np.uint32(size - j)).astype(np.intp)
         if j == 0:
-            slot = pick
-            first = pick
+            slot = first = pick
         else:
             if order is None:
-                order = np.tile(np.arange(size, dtype=np.uint8), (len(elements), 1))
-                order[rows, first] = 0
-                order[:, 0] = first
-            slot = order[rows, pick].astype(np.intp)
-            order[rows, pick] = order[:, j]
-            order[:, j] = slot
-        np.minimum.at(sig, slot, rank)
-        if int(sig.max()) >> 56 <= j:  # later rounds rank higher
+                order = np.tile(np.arange(size, dtype=np.uint8), len(elements))
+                row = np.arange(len(elements)) * size
+                order[row + first] = 0
+            pick += row
+            slot = order[pick].astype(np.intp)
+            order[pick] = order[row + j]
+        slot = slot + of
+        # only slots without a rank of an earlier round take one
+        free = np.flatnonzero(flat[slot] >= np.uint64(j) << np.uint64(56))
+        np.minimum.at(flat, slot[free], (np.uint64(j) << np.uint64(56)) | (mixed(draw[free]) >> np.uint64(8)))
+        if j > 3 and j % 4:
+            continue
+        open_sets = sig[sets].max(axis=1) >> np.uint64(56) > j  # later rounds rank higher
+        if not open_sets.any():
             break
+        stays = np.repeat(open_sets, counts)
+        if 4 * np.count_nonzero(stays) <= 3 * len(stays):
+            sets, counts, elements, of = sets[open_sets], counts[open_sets], elements[stays], of[stays]
+            if order is None:
+                first = first[stays]
+            else:
+                order = order.reshape(-1, size)[stays].reshape(-1)
+                row = np.arange(len(elements)) * size
     return sig
 
 
 def bands_of(sig: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each band; bands never share keys but by chance."""
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for column in sig.reshape(BANDS, ROWS).T:
-        key = mixed(key * _GOLDEN + column)
+    """A 64-bit key for each band of each signature (a row); bands never share keys but by chance."""
+    sig = sig.reshape(len(sig), BANDS, ROWS)
+    key = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(sig), 1))
+    for k in range(ROWS):
+        key = mixed(key * _GOLDEN + sig[:, :, k])
     return key
 
 
 def parity_of(codes: np.ndarray) -> np.ndarray:
     """Whether each of 512 slots holds an odd number of the codes, as eight 64-bit values."""
-    odd = np.bincount((codes >> np.uint64(55)).astype(np.intp), minlength=512) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+    return parities(codes, np.array([0, len(codes)]))[0]
+
+
+def parities(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The parities of each set, a row for each; sets lie in ``codes`` as for ``super_minhashes``."""
+    counts = np.diff(starts)
+    slot = (codes >> np.uint64(55)).astype(np.intp) + np.repeat(np.arange(len(counts)) * 512, counts)
+    odd = (np.bincount(slot, minlength=512 * len(counts)) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(-1, 512), axis=1).view(np.int64)
+
 
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows whose texts (the second column) have about ``PIECE`` bytes together."""
+    size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = [*(np.flatnonzero(np.diff(np.cumsum(size) // PIECE)) + 1), len(size)]
+    for k, end in enumerate(ends):
+        at = ends[k - 1] if k else 0
+        if end > at:
+            yield batch.slice(at, end - at)
 
-def shingle_set(text: str | None, words: int) -> np.ndarray:
-    return np.unique(shingles(codes_of(words_of(text, lower=True)), words))
+
+def _lists(values: np.ndarray, starts: np.ndarray, nulls: np.ndarray | None = None) -> pa.Array:
+    """Lists of longs from one array and where each begins; null where ``nulls`` says so."""
+    mask = None if nulls is None else pa.array(nulls)
+    return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(values.view(np.int64)), mask=mask)
 
 
 _SIGNED = "doc_id long, n_shingles long, digest binary, bands array<long>, parity array<long>"
@@ -104,18 +163,13 @@ def signatures(docs: DataFrame, words: int, hashed: bool = False) -> DataFrame:
     schema = f"{_SIGNED}, text_hash binary" if hashed else _SIGNED
 
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, digest, bands, parity = [], [], [], []
-            for text in strings(batch.column(1)):
-                found = shingle_set(text, words)
-                some = len(found) > 0
-                n.append(len(found))
-                digest.append(xxhash.xxh3_128_digest(found.tobytes()) if some else None)
-                bands.append(bands_of(super_minhash(found)).astype(np.int64) if some else None)
-                parity.append(parity_of(found) if some else None)
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(parity, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*columns, *batch.columns[2:]], names=[x.split()[0] for x in schema.split(", ")])
-        forget_codes()
+        for some in (piece for batch in batches for piece in _pieces(batch)):
+            codes, starts = sets_of(some.column(1), words)
+            n = np.diff(starts)
+            digest = [xxhash.xxh3_128_digest(codes[at:end]) if end > at else None for at, end in zip(starts[:-1].tolist(), starts[1:].tolist())]
+            bands, parity = bands_of(super_minhashes(codes, starts)), parities(codes, starts)
+            lists = (_lists(x.reshape(-1), np.arange(len(n) + 1) * x.shape[1], n == 0) for x in (bands, parity))
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), *lists, *some.columns[2:]], names=[x.split()[0] for x in schema.split(", ")])
 
     return in_small_batches(docs).mapInArrow(sign, schema)
 
@@ -135,11 +189,8 @@ def _sets(docs: DataFrame, asked: DataFrame, words: int) -> DataFrame:
     """(a, codes): full sets of the asked documents (a, distinct). Texts of all others are left behind."""
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), 512):
-                some = batch.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([shingle_set(t, words).astype(np.int64) for t in strings(some.column(1))], pa.list_(pa.int64()))], names=["a", "codes"])
-        forget_codes()
+        for some in (piece for batch in batches for piece in _pieces(batch)):
+            yield pa.RecordBatch.from_arrays([some.column(0), _lists(*sets_of(some.column(1), words))], names=["a", "codes"])
 
     asked = sent_if_few(asked, BROADCAST_IDS)
     return in_small_batches(docs.select(F.col("doc_id").alias("a"), "text").join(asked, "a", "left_semi")).mapInArrow(sets, "a long, codes array<long>")
@@ -335,13 +386,16 @@ def _judged(documents: DataFrame, words: int, threshold: int, hashed: bool) -> D
     large = rows.where(F.col("members") > DIRECT)
     # buckets with one central member are one from here on
     large = large.select(F.col("b").alias("key"), "a", "component", "b").distinct()
+    asked = None
     # a bucket made from another lacks that one's central member, so each is smaller and the rounds end
     while not large.isEmpty():
         center = large.select("b").distinct().join(found.withColumnRenamed("node", "b"), "b", "left").select("b", F.coalesce("component", "b").alias("center"))
         members = table(large.where("a <> b").join(center, "b"), "members")
-        asked = table(_sets(docs, members.select("a").union(members.select("b")).distinct(), words), "sets")
+        held, of = asked, members.select("a").union(members.select("b")).distinct()
+        # a round's members are among those of the round before, so texts are read for the first round alone
+        asked = table(_sets(docs, of, words) if held is None else held.join(sent_if_few(of, BROADCAST_IDS), "a", "left_semi"), "sets")
+        scratch.drop(held)
         differences = table(_differences(members.select("a", "b").distinct(), asked, threshold), "differences")
-        scratch.drop(asked)
         found = extended(found, differences.where("linked").select("a", "b"))
         split = table(_split(members, differences, threshold), "split")
         scratch.drop(differences, members)
@@ -351,6 +405,8 @@ def _judged(documents: DataFrame, words: int, threshold: int, hashed: bool) -> D
         large = made.where(F.col("members") > DIRECT)
         large = table(large.join(_central(large), "key").select("key", "a", "component", "b"), "large")
 
+    scratch.drop(asked)
+
     left = table(small.join(facts, "a"), "small")
     y = _other(left, key="key", component="second")
     more = left.join(y, (left["key"] == y["key"]) & F.expr(f"a < b and component <> second and {_possible(threshold)}")).select("a", "b").distinct()

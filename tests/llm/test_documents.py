@@ -464,6 +464,57 @@ def test_large_buckets_are_split_without_losing_links(spark, monkeypatch, direct
     assert {r["doc_id"]: r["component_id"] for r in got} == near_components(rows, 2)
 
 
+def test_texts_are_read_for_the_first_split_alone(spark, monkeypatch):
+    """Buckets that are split again and again take their sets from the round before."""
+    from paperloom.llm import near_dup
+
+    reads, rounds, sets, split = [], [], near_dup._sets, near_dup._split
+    monkeypatch.setattr(near_dup, "DIRECT", 4)
+    monkeypatch.setattr(near_dup, "_sets", lambda *a: reads.append(1) or sets(*a))
+    monkeypatch.setattr(near_dup, "_split", lambda *a: rounds.append(1) or split(*a))
+    rng = random.Random(3)
+    rows = []
+    for k in range(120):
+        parts = [f"b{j}" for j in range(60)]
+        for _ in range(rng.randrange(4, 12)):
+            parts[rng.randrange(60)] = f"e{rng.randrange(6)}"
+        rows.append((k, " ".join(parts)))
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == near_components(rows, 2)
+    assert len(rounds) > 2 and len(reads) <= 3
+
+
+def test_texts_are_signed_together(monkeypatch):
+    """The sets of plain Python, each signed as it is alone, in few calls for many texts."""
+    import pyarrow as pa
+
+    from paperloom.llm import near_dup, words
+
+    rng = random.Random(9)
+    kinds = [" ", "  ", "\t", "\n", "\x0b", "\x0c", "\r", "\x1c", "\x00", "\xa0", "a", "A", "\u00e9", "\u00c9", "\U0001f600", *("x" * n for n in (7, 8, 9, 16, 17, 63, 64, 65, 130))]
+    texts = [None if k % 50 == 7 else "".join(rng.choice(kinds) for _ in range(rng.choice((0, 1, 2, 5, 40)))) for k in range(600)]
+    for size in (1, 2, 5):
+        codes, starts = words.sets_of(pa.array(["left out", *texts]).slice(1), size)
+        known = {}
+        for k, text in enumerate(texts):
+            w = split(lower(text))
+            n = min(size, len(w))
+            want = {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if w else set()
+            own = codes[starts[k] : starts[k + 1]]
+            assert len(own) == len(want) and (own[1:] > own[:-1]).all()
+            assert known.setdefault(frozenset(want), own.tobytes()) == own.tobytes()
+        assert len(set(known.values())) == len(known)
+    calls, mixed = [], near_dup.mixed
+    monkeypatch.setattr(near_dup, "mixed", lambda x: calls.append(1) or mixed(x))
+    together = near_dup.super_minhashes(codes, starts)
+    assert len(calls) <= 2 * near_dup.SIZE * (1 + len(codes) // near_dup.TOGETHER)
+    parities = near_dup.parities(codes, starts)
+    for k in range(len(texts)):
+        own = codes[starts[k] : starts[k + 1]]
+        if len(own):
+            assert (together[k] == near_dup.super_minhash(own)).all() and (parities[k] == near_dup.parity_of(own)).all()
+
+
 def test_parities_bound_what_sets_differ_in():
     from paperloom.llm.near_dup import parity_of
 
