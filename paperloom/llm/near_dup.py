@@ -11,8 +11,10 @@ round. Rounds run over all elements of many documents at once.
 * What is left are members of one bucket in different components. Buckets of at most ``DIRECT``
   classes compare them with each other. A larger one is split: of two sets that are linked while one
   of them isn't linked with the central member, both differ from that member by a common shingle. So
-  shingles that several differ by make smaller buckets, which are treated alike (``_split``). A group
-  of near copies costs about as many checks as it has members, however large it is.
+  shingles that several differ by make smaller buckets, which are treated alike (``_split``). Where
+  a round would not make much less of what is to be compared (edits that very many members share),
+  its buckets, or those before it, are compared directly, in blocks (``_met``): all pairs of a bucket, by
+  sizes and parities first. So rows don't grow from round to round.
 * Before full sets are compared, sizes and parities rule pairs out. The parities count shingles in
   512 slots by one bit each; where they differ the sets differ, so this bound is exact.
 * Every link is confirmed on full sets, of 64-bit shingle codes. Components come from star
@@ -42,6 +44,14 @@ BANDS, ROWS = 32, 6
 SIZE = BANDS * ROWS
 #: Buckets of so many classes compare all that is undecided; larger ones are split.
 DIRECT = 512
+#: So many comparisons of sizes and parities take less time than a round of splitting.
+CHEAP = 2**26
+#: Beyond, buckets made by splitting are compared up to so many times ``DIRECT`` classes; rows would grow from round to round.
+LATER = 8
+#: Rounds of splitting where what is left is cheap to compare.
+ROUNDS = 3
+#: Classes of a bucket that are held against as many others in one place.
+BLOCK = 2048
 BROADCAST_IDS = SENT_KEYS
 #: Sets that one task holds against the same set, at most.
 SHARE = 2048
@@ -324,6 +334,26 @@ def _undecided(rows: DataFrame, found: DataFrame) -> DataFrame:
     return placed.join(several, "key")
 
 
+def _comparisons(rows: DataFrame) -> int:
+    """Comparisons that buckets of rows (key, ...) take if each member is held against all others, twice over."""
+    n = F.count("*").cast("double")
+    return int(rows.groupBy("key").agg((n * n).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0.0))).first()[0])
+
+
+def _met(left: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) of members (key, a, component, n, p...) of one bucket, in different components, that may be linked.
+
+    A bucket of many members is dealt out in cells: some of its members against some, each pair in one cell.
+    """
+    sizes = left.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = left.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
+    across = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    x = dealt.withColumn("other", across).drop("blocks")
+    y = _other(left, key="key", component="second").join(sizes, "key").withColumn("other", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
+    y = y.withColumn("block", across).drop("blocks")
+    return x.join(y, ["key", "block", "other"]).where(f"a < b and component <> second and {_possible(threshold)}").select("a", "b").distinct()
+
+
 def near_duplicates(documents: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of ``documents`` (doc_id, text).
 
@@ -366,7 +396,8 @@ def _judged(documents: DataFrame, words: int, threshold: int, hashed: bool) -> D
         "classes",
     )
     facts = classes.select("a", "n", *(F.col("parity")[k].alias(p) for k, p in enumerate(PARITY)))
-    rows = classes.select("a", F.explode("bands").alias("key"))
+    # dealt out once, for the count and for the rows
+    rows = classes.select("a", F.explode("bands").alias("key")).repartition("key")
     shared_keys = rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     met = table(rows.join(shared_keys, "key"), "buckets")  # of buckets that hold more than one class
     rows = table(met.join(_central(met), "key"), "starred")
@@ -385,10 +416,9 @@ def _judged(documents: DataFrame, words: int, threshold: int, hashed: bool) -> D
     small = rows.where(F.col("members") <= DIRECT).select("key", "a", "component")
     large = rows.where(F.col("members") > DIRECT)
     # buckets with one central member are one from here on
-    large = large.select(F.col("b").alias("key"), "a", "component", "b").distinct()
-    asked = None
-    # a bucket made from another lacks that one's central member, so each is smaller and the rounds end
-    while not large.isEmpty():
+    large = table(large.select(F.col("b").alias("key"), "a", "component", "b").distinct(), "large")
+    asked, rounds, cost = None, 0, _comparisons(large)
+    while cost:
         center = large.select("b").distinct().join(found.withColumnRenamed("node", "b"), "b", "left").select("b", F.coalesce("component", "b").alias("center"))
         members = table(large.where("a <> b").join(center, "b"), "members")
         held, of = asked, members.select("a").union(members.select("b")).distinct()
@@ -401,15 +431,28 @@ def _judged(documents: DataFrame, words: int, threshold: int, hashed: bool) -> D
         scratch.drop(differences, members)
         made = table(_undecided(_distinct_buckets(split), found), "undecided")
         scratch.drop(split)
-        small = small.unionByName(made.where(F.col("members") <= DIRECT).select("key", "a", "component"))
-        large = made.where(F.col("members") > DIRECT)
-        large = table(large.join(_central(large), "key").select("key", "a", "component", "b"), "large")
+        limit, rounds, before, cost = DIRECT, rounds + 1, cost, _comparisons(made.where(F.col("members") > DIRECT))
+        if cost > max(CHEAP, before):
+            # members meet more often in the new buckets than in those these were made from
+            made, cost = _undecided(large.select("key", "a"), found), 0
+        elif cost > CHEAP:
+            limit = LATER * DIRECT
+            cost = _comparisons(made.where(F.col("members") > limit))
+            cost = cost if 4 * cost <= before else 0
+        elif rounds >= ROUNDS:
+            cost = 0
+        if not cost:
+            small = small.unionByName(made.select("key", "a", "component"))
+            break
+        small = small.unionByName(made.where(F.col("members") <= limit).select("key", "a", "component"))
+        scratch.drop(large)
+        further = made.where(F.col("members") > limit)
+        large = table(further.join(_central(further), "key").select("key", "a", "component", "b"), "large")
 
     scratch.drop(asked)
 
     left = table(small.join(facts, "a"), "small")
-    y = _other(left, key="key", component="second")
-    more = left.join(y, (left["key"] == y["key"]) & F.expr(f"a < b and component <> second and {_possible(threshold)}")).select("a", "b").distinct()
+    more = _met(left, threshold)
     # both ways round the star's pairs, which have been judged
     judged = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
     more = table(more.join(judged, ["a", "b"], "left_anti"), "pairs")

@@ -484,6 +484,28 @@ def test_texts_are_read_for_the_first_split_alone(spark, monkeypatch):
     assert len(rounds) > 2 and len(reads) <= 3
 
 
+@pytest.mark.parametrize("cheap", [0, 4000])
+def test_splitting_ends_where_it_makes_no_less(spark, monkeypatch, cheap):
+    """Edits that all recur: buckets of many members are compared in blocks, rows don't grow from round to round."""
+    from paperloom.llm import near_dup
+
+    held, split = [], near_dup._split
+    monkeypatch.setattr(near_dup, "DIRECT", 4)
+    for name, value in (("CHEAP", cheap), ("LATER", 2), ("BLOCK", 16)):
+        monkeypatch.setattr(near_dup, name, value, raising=False)
+    monkeypatch.setattr(near_dup, "_split", lambda members, *a: held.append(members.count()) or split(members, *a))
+    rng = random.Random(5)
+    rows = []
+    for k in range(150):
+        parts = [f"b{j}" for j in range(40)]
+        for at in rng.sample(range(12), 6):
+            parts[at] = f"e{rng.randrange(2)}"
+        rows.append((k, " ".join(parts)))
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == near_components(rows, 2)
+    assert held and max(held) <= 2 * held[0] and len(held) <= 3, held
+
+
 def test_texts_are_signed_together(monkeypatch):
     """The sets of plain Python, each signed as it is alone, in few calls for many texts."""
     import pyarrow as pa
